@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .decontaminate import SQL as OP4_SQL
+from .decontaminate import op4_decontamination
+from .line_dedup import SQL as OP8_SQL
+from .line_dedup import op8_line_dedup
 from .token_count import op10_token_counts
 from .url_filter import SQL as OP5_SQL
 from .url_filter import op5_url_filter
 
 QUERIES = {
+    "op4_decontamination": op4_decontamination,
     "op5_url_filter": op5_url_filter,
+    "op8_line_dedup": op8_line_dedup,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE_SQL = {"op5_url_filter": OP5_SQL}
+ORACLE_SQL = {"op4_decontamination": OP4_SQL, "op5_url_filter": OP5_SQL, "op8_line_dedup": OP8_SQL}
