@@ -6,14 +6,20 @@ from .decontaminate import SQL as OP4_SQL
 from .decontaminate import op4_decontamination
 from .line_dedup import SQL as OP8_SQL
 from .line_dedup import op8_line_dedup
+from .media import op1_media_columns
+from .pack import op7_best_fit_packing
+from .quality import op9_quality_classifier
 from .token_count import op10_token_counts
 from .url_filter import SQL as OP5_SQL
 from .url_filter import op5_url_filter
 
 QUERIES = {
+    "op1_media_columns": op1_media_columns,
     "op4_decontamination": op4_decontamination,
     "op5_url_filter": op5_url_filter,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_line_dedup": op8_line_dedup,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL = {"op4_decontamination": OP4_SQL, "op5_url_filter": OP5_SQL, "op8_line_dedup": OP8_SQL}
