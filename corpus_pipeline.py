@@ -1,17 +1,63 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns the columns of documents;
+the last returns packed pieces. None of the stages' results can be written in SQL as a whole (a fitted classifier,
+weighted sampling, a tokenizer), so there is no ORACLE_SQL; tests hold the stages against brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.llm.common import materialise, table
+from graphloom.llm.decontaminate import drop_contaminated
+from graphloom.llm.line_dedup import drop_lines
+from graphloom.llm.near_dup import drop_near_duplicates
+from graphloom.llm.pack import packed
+from graphloom.llm.quality import THRESHOLD, train, with_scores
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score reaches the threshold."""
+    scored = with_scores(docs, train(docs, table(spark, sf_dir, "labels")), column="__score")
+    return scored.where(F.col("__score") >= THRESHOLD).drop("__score")
+
+
+def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines that several documents share; n_chars is counted anew."""
+    left = drop_lines(docs)
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return drop_near_duplicates(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of any benchmark item."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of what is left, packed."""
+    return packed(docs)
 
-from graphloom.llm.common import materialise
 
-STAGES: list = []
+STAGES = [
+    ("quality", good_quality),
+    ("lines", without_shared_lines),
+    ("near_duplicates", without_near_duplicates),
+    ("benchmark", without_benchmark),
+    ("packing", packed_sequences),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents."""
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

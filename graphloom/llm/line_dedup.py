@@ -152,19 +152,21 @@ def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, key: str = "doc_id", text:
 
 
 def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **limits) -> DataFrame:
-    """docs with the shared lines taken out of the text (a null text stays null); other columns as they are."""
+    """docs with the shared lines taken out of the text (a null text stays null); other columns as they are, but for
+    columns named keep_bitmap or n_dropped, which go."""
     marked = with_bitmaps(docs, keep_bitmaps(docs, key, text, **limits), key, text)
-    at = docs.columns.index(text)
+    names = [c for c in docs.columns if c not in ("keep_bitmap", "n_dropped")]
+    at, width = names.index(text), len(names)
 
     def run(batches):
         for batch in batches:
-            bitmaps, column = batch.column(len(docs.columns)).to_pylist(), batch.column(at).to_pylist()
+            bitmaps, column = batch.column(width).to_pylist(), batch.column(at).to_pylist()
             new = [t if t is None else apply_bitmap(t, b) for t, b in zip(column, bitmaps, strict=True)]
-            arrays = [pa.array(new, batch.schema.field(at).type) if i == at else batch.column(i) for i in range(len(docs.columns))]
-            yield pa.RecordBatch.from_arrays(arrays, names=docs.columns)
+            arrays = [pa.array(new, batch.schema.field(at).type) if i == at else batch.column(i) for i in range(width)]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return arrow_map(marked.select(*[f"`{c}`" for c in docs.columns], "keep_bitmap"), run, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
+    return arrow_map(marked.select(*[f"`{c}`" for c in names], "keep_bitmap"), run, schema)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from .decontaminate import op4_decontamination
 from .line_dedup import SQL as OP8_SQL
 from .line_dedup import op8_line_dedup
 from .media import op1_media_columns
+from .near_dup import op3_minhash_near_dedup
 from .pack import op7_best_fit_packing
 from .quality import op9_quality_classifier
 from .token_count import op10_token_counts
@@ -15,6 +16,7 @@ from .url_filter import op5_url_filter
 
 QUERIES = {
     "op1_media_columns": op1_media_columns,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_url_filter": op5_url_filter,
     "op7_best_fit_packing": op7_best_fit_packing,
