@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, materialise, table, texts, tokenizer_text
 
-CAPACITY, END_ID, MEMO_WORDS = 4096, 1, 400_000
+CAPACITY, END_ID, MEMO_WORDS = 4096, 1, 900_000
+MARKS = ".,!?%*#$&;:"
 
 
 class WordIds:
@@ -41,6 +42,13 @@ class WordIds:
         self.tokenizer = Tokenizer.from_str(spec)
         self.memo: dict[str, bytes] = {"": b""}
 
+    def parts(self, stretch: str) -> tuple[str, str]:
+        """A stretch as a stem and marks behind it, which the pre-tokenizer always parts; ASCII stems in the lower case that the normaliser gives them."""
+        stem = stretch.rstrip(MARKS)
+        if not stem or not stem[-1].lower()[-1].isalpha():
+            stem = stretch
+        return stem.lower() if stem.isascii() else stem, stretch[len(stem) :]
+
     def encode(self, values: list[str]) -> list[bytes]:
         lists = [t.replace("\n", " ").split(" ") for t in values]
         missing = set().union(*lists).difference(self.memo)
@@ -48,11 +56,13 @@ class WordIds:
             self.memo = {"": b""}
             missing = set().union(*lists).difference(self.memo)
         if missing:
-            order = sorted(missing)
+            split = {w: self.parts(w) for w in missing}
+            order = sorted({x for both in split.values() for x in both}.difference(self.memo))
             for i in range(0, len(order), 20_000):
                 part = order[i : i + 20_000]
-                for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
+                for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                     self.memo[w] = np.array(e.ids, dtype="<u4").tobytes()
+            self.memo.update({w: self.memo[stem] + self.memo[tail] for w, (stem, tail) in split.items()})
         get = self.memo.__getitem__
         return [b"".join(map(get, words)) for words in lists]
 
