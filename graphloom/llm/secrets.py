@@ -15,8 +15,6 @@ are read; several equal candidates in a text are several findings, told apart by
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -124,7 +122,10 @@ def forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: in
         return F.when(F.col(names[split.featureIndex()]) <= F.lit(float(split.threshold())), expression(node.leftChild())).otherwise(expression(node.rightChild()))
 
     every = [expression(t._java_obj.rootNode()) for t in model.trees]
-    return reduce(lambda a, b: a + b, every) / F.lit(float(len(every)))
+    count = len(every)
+    while len(every) > 1:  # added by pairs, so that the expression stays flat
+        every = [every[i] + every[i + 1] if i + 1 < len(every) else every[i] for i in range(0, len(every), 2)]
+    return every[0] / F.lit(float(count))
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, key: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
