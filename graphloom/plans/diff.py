@@ -186,7 +186,7 @@ class _Differ:
                     self.say("constraint-changed", "constraint", i, f"{n.name}.{c.name}", "asserts something else", "unknown")
                 elif (was.message, was.severity) != (c.message, c.severity):
                     self.say("other-changed", "constraint", i, f"{n.name}.{c.name}", "message or severity changed", "loosens")
-        return sorted(self.out, key=lambda c: (ORDER.index(c.element), c.label, c.kind, c.detail))
+        return sorted(self.out, key=lambda c: (ORDER.index(c.element), c.label, c.kind != "removed", c.kind, c.detail))
 
 
 def diff_models(before: Model, after: Model) -> list[Change]:
