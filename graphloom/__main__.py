@@ -16,7 +16,7 @@ from .plans.views import describe, list_types
 from .sinks import TARGETS, emit
 from .sources.lockfile import ids_not_written, read_lockfile, write_lockfile
 from .sources.model_yaml import serialize_model
-from .sources.sql_ddl import import_sql
+from .sources.importers import import_texts
 
 
 def _say(diagnostics) -> int:
@@ -61,7 +61,7 @@ def main(argv: list[str] | None = None) -> int:
         print(*sorted(TARGETS), sep="\n")
         return 0
     if a.verb == "import":
-        model, said = import_sql("\n;\n".join(Path(f).read_text(encoding="utf-8") for f in a.files))
+        model, said = import_texts({f: Path(f).read_text(encoding="utf-8") for f in a.files})
         print(serialize_model(model), end="")
         return _say(said)
     model, said = resolve_model(a.model)

@@ -266,3 +266,33 @@ def test_command_line(tmp_path, capsys):
     assert main(["lint-queries", str(model), str(query)]) == 1 and main(["emit", str(model), "--target", "gql"]) == 0 and main(["targets"]) == 0 and main(["describe", str(model), "Car"]) == 0
     model.write_text("nodes: 3")
     assert main(["check", str(model)]) == 1
+
+
+def test_importers_read_what_the_targets_write():
+    from graphloom.sources.importers import import_texts, register_importer
+
+    m = model_of(shop.BASE)
+    tables, said = import_texts({"a.cypher": emit(m, "ladybug").content})
+    assert {n.name for n in tables.concrete()} == {"Car", "Company", "Person"} and tables.node("Car").key == ("vin",) and tables.edge("KNOWS").source == "Person"
+    assert tables.node(tables.edge("OWNS").source).abstract and {d.code for d in said} == {"import-union"}
+    shapes, _ = import_texts({"a.ttl": emit(m, "shacl").content + emit(m, "owl").content})
+    assert {n.name: n.extends for n in shapes.nodes} == {"Asset": None, "Car": "Asset", "Company": "Party", "Party": None, "Person": "Party"}
+    assert shapes.node("Person").key == ("id",) and shapes.edge("KNOWS").target == "Person" and shapes.edge("OWNS").source == "Party" and [p.name for p in shapes.edge("OWNS").props] == ["since"]
+    assert shapes.enum(shapes.node("Car").prop("status").enum).values == ("active", "retired") and str(shapes.node("Car").prop("seats").type) == "int"
+    both, _ = import_texts({"a.ttl": emit(m, "shacl").content, "b.cypher": emit(m, "ladybug").content})
+    assert both.node("Car").key == ("vin",)
+    notes, _ = import_texts({"a.md": emit(m, "tgs").content})
+    assert {n.name for n in notes.concrete()} == {"Car", "Company", "Person"} and notes.edge("OWNS").source == "Party"
+    assert import_texts({"a.sql": "CREATE TABLE a (b int);", "b.md": ""})[1][0].code == "import-mixed" and import_texts({"x": "?"})[1][0].code == "import-format"
+    register_importer("mine", lambda t: (m, []), (".mine",))
+    assert import_texts({"x.mine": ""})[0] is m
+    with pytest.raises(ValueError):
+        register_importer("sql", import_sql)
+
+
+def test_turtle_syntax():
+    from graphloom.sources.turtle import import_turtle, read_triples
+
+    triples, prefixes = read_triples('@prefix x: <http://x#> . x:a a x:B ; x:p "q\\"r"@en, 3.5 ; x:l ( x:c "d" ) . # end\nPREFIX y: <http://y#>\ny:z x:p [ x:q true ] .')
+    assert prefixes == {"x": "http://x#", "y": "http://y#"} and len(triples) == 10 and ("http://x#a", "http://x#p", 'q"r') in triples
+    assert import_turtle("<a> <b> [")[1][0].code == "turtle-syntax"
