@@ -1,7 +1,8 @@
 """Secret scans: candidate strings judged by a random forest, in DataFrame functions alone.
 
-A candidate is a run of at least 16 characters of [A-Za-z0-9+/_-] with a digit in it, with up to two closing `=`. Its
-features are its length, transitions between kinds of characters, the share of it that dictionary words cover, the
+A candidate is a run of at least 16 characters of [A-Za-z0-9+/_-] with a digit in it, or after an assignment (`=`, `:`,
+`=>` or `Bearer`, up to three blanks and a quote) any run of at least `ASSIGNED_LEAST`; up to two closing `=` belong to
+it. Runs that start with the `//` of `scheme://` are no values. Its features are its length, transitions between kinds of characters, the share of it that dictionary words cover, the
 path of its document and the words beside it. The forest is trained by Spark's own library on labelled findings and
 then written out as one SQL expression, so that scoring is part of the query's generated code.
 
@@ -20,13 +21,16 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
+ASSIGNED_LEAST = 4
+#: Lookbehinds of one width each, for Python and Java alike: sign, blanks, quote.
+_AFTER = "|".join(rf"(?<={sign}[ \t]{{{n}}}{quote})" for sign in ("[:=]", "=>") for n in range(4) for quote in ("", "[\"'`]")) + "|(?<=[Bb]earer )"
+CANDIDATE = rf"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{{16,}}|(?=[A-Za-z0-9+/_-]{{{ASSIGNED_LEAST}}})(?:{_AFTER})(?!(?<=:)//)[A-Za-z0-9+/_-]+)(?:={{1,2}}(?![A-Za-z0-9+/_=-]))?"
 CONTEXT, TRAINING_ROWS, TREES, DEPTH = 80, 4000, 15, 5
 #: Words that make up names rather than keys, and words beside findings (fixed values).
 DICTIONARY = "(?i)(example|sample|test|dummy|fake|your|insert|changeme|password|secret|token|image|photo|file|index|version|release|build|page|article|product|order|user|customer|account|number|date|time|http|html|json|data|node|module|package|commit|branch|master|main|abcdef|123456|xxxx|0000)"
 SECRET_WORDS = r"(?i)(secret|token|passw|pwd|api.?key|access.?key|auth|bearer|credential|private|signing|client.?key|-key|_key)[a-z_\- ]{0,20}$"
 ASSIGNED = r"""(?i)[a-z_\-]+\s{0,3}[:=]{1,2}>?\s{0,3}["'`]?$"""
-SECRET_ASSIGNED = r"""(?i)(secret|token|passw|pwd|key|auth|bearer|credential|private)[a-z_\-]{0,20}["']?\s{0,3}[:= ]{1,3}>?\s{0,3}["'`]?$"""
+SECRET_ASSIGNED = r"""(?i)(secret|token|passw|pwd|key|auth|bearer|credential|private)[a-z0-9_\-]{0,20}["']?\s{0,3}[:= ]{1,3}>?\s{0,3}["'`]?$"""
 DIGEST_WORDS = r"(?i)(sha|md5|hash|digest|checksum|commit|integrity|etag|revision|uuid|guid|fingerprint|tree|blob)[a-z0-9_\- :=\"']{0,12}$"
 TEST_PATHS = r"(?i)(test|example|fixture|sample|mock|doc|readme|lock|vendor|\.min\.)"
 PREFIXES = r"^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abp]-|sk_live_|rk_live_|AIza|SG|eyJ|npm_|pypi-)"
@@ -37,7 +41,11 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.col(text).alias("text"))
     cut = rows.where(F.col("text").rlike(CANDIDATE)).select("key", "path", F.monotonically_increasing_id().alias("row"), F.regexp_extract_all("text", F.lit(CANDIDATE), 0).alias("found"), F.split("text", CANDIDATE, -1).alias("gaps"))
     gap = lambda i: F.get("gaps", i)
-    parts = F.transform("found", lambda c, i: F.struct(c.alias("candidate"), F.right(gap(i), F.lit(CONTEXT)).alias("before"), F.left(gap(i + 1), F.lit(CONTEXT)).alias("after"), (F.length(gap(i)) + F.length(c)).alias("steps")))
+    # what lies before a candidate may be a candidate itself, as the name in NAME_OF_16_OR_MORE_1=value
+    back = -(-CONTEXT // ASSIGNED_LEAST)
+    cut = cut.withColumn("ends", F.transform("found", lambda c, i: F.right(F.concat(gap(i), c), F.lit(CONTEXT))))
+    earlier = lambda i: F.array_join(F.slice("ends", F.greatest(i + 1 - back, F.lit(1)), F.least(i, F.lit(back))), "")
+    parts = F.transform("found", lambda c, i: F.struct(c.alias("candidate"), F.right(F.concat(earlier(i), gap(i)), F.lit(CONTEXT)).alias("before"), F.left(gap(i + 1), F.lit(CONTEXT)).alias("after"), (F.length(gap(i)) + F.length(c)).alias("steps")))
     each = cut.select("key", "path", "row", F.posexplode(parts).alias("n", "part")).select("key", "path", "row", "n", "part.*")
     ends = F.sum("steps").over(Window.partitionBy("row").orderBy("n"))
     return each.select("key", "path", (ends - F.length("candidate")).cast("long").alias("start"), "candidate", "before", "after")
@@ -88,6 +96,10 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFra
     digest = names("commit ", "sha256:", "md5 = ", "checksum: ", "etag=", "integrity sha512-", "revision ", "hash ")
     plain = names("the ", "see ", "of ", "number ", "call ", "id ", "order ", "version ")
     cut = lambda x, n: F.substring(x, 1, n)
+    letters = F.translate(base, "0123456789+/", "ghJKmnPQrsTU")
+    variable = names("DB_PASSWORD=", "AUTH_TOKEN=", "AWS_SECRET_ACCESS_KEY=", "API_KEY=", "export CLIENT_SECRET=", "password: ")
+    parameter = names("https://site/x?access_token=", "https://site/x?id=7&api_key=", "https://site/?client_secret=", "/login?password=")
+    setting = names("color: ", 'name = "', "type: ", "lang=", "mode=", "width=", "https://site/x?page=", "https://site/?sort=", 'title: "', "DEBUG=", "Note: ", "key: ", "etag=")
     #: (candidate, before, after, label) by template
     templates = [
         (cut(hexes, 40), secret, '"', 1), (cut(hexes, 32), secret, '" and', 1), (cut(base, 40), secret, '"', 1), (cut(base, 24), secret, "'", 1), (hexes, secret, "\n", 1),
@@ -98,11 +110,16 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFra
         (F.concat_ws("-", F.lit("2024"), F.lit("05"), F.lpad(F.pmod(i, F.lit(28)).cast("string"), 2, "0"), word, F.lit("build7")), plain, " ", 0),
         (F.concat(F.lit("your_token_example_"), cut(digits, 4)), secret, '"', 0), (F.concat(F.lit("xxxx0000"), word, F.lit("_changeme_1")), secret, '"', 0),
         (F.concat(F.lit("/images/"), word, F.lit("/photo-"), cut(digits, 5)), names('src="', "https://site/", 'href="', "see "), '"', 0), (F.concat(word, F.lit("_module_version_"), cut(digits, 3)), plain, " ", 0),
+        (cut(base, 40), variable, "\n", 1), (cut(hexes, 40), parameter, "&", 1), (cut(letters, 24), variable, "\n", 1), (cut(letters, 16), secret, '"', 1), (cut(letters, 20), parameter, " ", 1),
+        (cut(base, 8), variable, "\n", 1), (cut(base, 10), secret, '"', 1), (F.concat(cut(word, 6), cut(digits, 2)), secret, '"', 1), (F.concat(cut(word, 6), F.substring(digits, 5, 1)), variable, "\n", 1),
+        (word, setting, " ", 0), (word, secret, " ", 0), (word, variable, "\n", 0), (names("changeme", "your_password", "example", "test", "true", "null", "required", "string"), secret, '"', 0), (names("false", "none", "true", "null", "required", "string"), variable, "\n", 0),
+        (cut(digits, 4), setting, " ", 0), (F.concat_ws("-", word, names("page", "left", "main", "blue")), setting, " ", 0), (F.concat(F.lit("/data/"), word), setting, " ", 0), (cut(hexes, 8), setting, " ", 0),
     ]
     picks = F.array(*(F.struct(c.alias("candidate"), b.alias("before"), F.lit(a).alias("after"), F.lit(float(y)).alias("label")) for c, b, a, y in templates))
     row = F.element_at(picks, (F.pmod(i, F.lit(len(templates))) + 1).cast("int"))
     path = F.when(F.pmod(F.xxhash64(i, F.lit(3)), F.lit(5)) == 0, F.when(row["label"] == 0, "tests/example.py").otherwise("src/app.py")).otherwise("src0")
-    return spark.range(rows).select(path.alias("path"), row["candidate"].alias("candidate"), F.concat(F.lit("text and "), row["before"]).alias("before"), row["after"].alias("after"), row["label"].alias("label"))
+    made = spark.range(rows).select(path.alias("path"), row.alias("row")).select("path", "row.candidate", F.concat(F.lit("text and "), F.col("row.before")).alias("before"), "row.after", "row.label")
+    return spark.createDataFrame(made.toArrow())  # a fixed number of short rows, so that no feature repeats the templates' expressions
 
 
 def forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 5) -> Column:

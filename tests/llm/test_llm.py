@@ -103,6 +103,22 @@ def test_secrets(spark, empty):
     assert secrets.scan(empty).count() == 0
 
 
+def test_secrets_after_assignments(spark):
+    key, letters, short = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "QwErTyUiOpAsDfGhJkLzXcVb", "Xk9qLw2T"
+    planted = [
+        (f"AUTH_TOKEN={key}", key), (f"GET https://h.com/x?access_token=ghp_{key[:36]}&page=2", f"ghp_{key[:36]}"), (f"export AWS_SECRET_ACCESS_KEY={key[:20]}Zz/+Q1", f"{key[:20]}Zz/+Q1"),
+        (f"API_KEY={letters}", letters), (f'client_secret": "{letters}"', letters), (f"DB_PASSWORD={short}", short), ("password = 'hunter2'", "hunter2"), (f"AWS_SECRET_ACCESS_KEY_1={key}", key),
+    ]
+    harmless = [("lang=english more", "english"), ("see color: report here", "report"), ("width=1200", "1200")]
+    docs = spark.createDataFrame([(i, t, "s") for i, (t, _) in enumerate(planted + harmless)], "doc_id int, text string, source string")
+    got = {(r.doc_id, r.start, r.candidate): r.is_secret for r in secrets.scan(docs).collect()}
+    for i, (t, c) in enumerate(planted + harmless):
+        assert got.get((i, t.index(c), c)) is (i < len(planted)), t
+    before = {r.candidate: r.before for r in secrets.candidates(docs).where(f"key = {len(planted) - 1}").collect()}
+    assert before[key] == "AWS_SECRET_ACCESS_KEY_1="
+    assert not re.findall(secrets.CANDIDATE, "see https://site and C://x or ab=cd")
+
+
 def test_secret_forest_on_held_out_findings(spark):
     every = secrets.labelled_findings(spark, 6000)
     score = secrets.forest(every.limit(3000))
