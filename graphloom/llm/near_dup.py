@@ -13,8 +13,11 @@ their weighted Jaccard similarity. r, c ~ Gamma(2, 1) and b ~ U(0, 1) are read f
 16 bands of 4 draws give candidates, which weighted Jaccard over the whole sets confirms at 0.8 or more.
 
 Texts with equal words are one node from the start. A bucket of a band with up to `SMALL` nodes compares all its
-pairs; a larger one compares its nodes with a leader, and as long as a bucket has nodes of several classes and the last
-round found a link, with another leader. Classes are connected components, by label propagation over written tables.
+pairs; a larger one compares its nodes with a leader first. A bucket that then still holds several classes is cut into
+chunks, and every two chunks are laid side by side in one task, which decides all their pairs that are not in one class
+yet. Pairs whose total weights differ by more than the similarity allows are left out, as are those that an earlier band
+decides; both change no result. So every pair of a bucket is decided, and the work of a large bucket of many classes
+grows with the square of its nodes. Classes are connected components, by label propagation over written tables.
 
 Null texts count as empty. Texts without words are the same if they are equal. Repeated documents join one class.
 """
@@ -35,6 +38,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
 SLOTS, BLOCKS, STRENGTH, GRID, SMALL = 1 << 20, 256, 0.25, 0.05, 6
 LEVELS = 60
+#: Nodes and bytes of shingles of a chunk of a bucket.
+CHUNK, CHUNK_BYTES = 512, 8 << 20
 
 
 def shingles(text: str, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -177,6 +182,62 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, sampler, similarity: float) ->
     return arrow_map(both, run, "a long, b long")
 
 
+def block_links(sampler: Sampler, similarity: float, chunks: np.ndarray, labels: np.ndarray, keys: np.ndarray, band: int, sets: list[tuple[bytes, bytes]]) -> list[tuple[int, int]]:
+    """Pairs (i, j) of a block's nodes that join its classes: all pairs of different classes and, if the block has two chunks, of different chunks.
+
+    `keys` has a row of band keys for each node; a pair that shares a key of a band before `band` is left to that band."""
+    n, both = len(sets), chunks.min() != chunks.max()
+    hashes = [np.frombuffer(h, np.uint32) for h, _ in sets]
+    weights = np.concatenate([np.exp(sampler.levels(h, c) * GRID) for h, (_, c) in zip(hashes, sets, strict=True)])
+    _, ids = np.unique(np.concatenate(hashes), return_inverse=True)
+    starts = np.cumsum([0, *map(len, hashes)])
+    totals = np.add.reduceat(weights, starts[:-1])
+    dense = np.zeros(ids.max() + 1)
+    _, group = np.unique(labels, return_inverse=True)
+    found = []
+    for i in range(n - 1):
+        j = np.arange(i + 1, n)
+        open_ = (group[j] != group[i]) & (np.minimum(totals[i], totals[j]) >= similarity * np.maximum(totals[i], totals[j]) * (1 - 1e-9))
+        if both:
+            open_ &= chunks[j] != chunks[i]
+        j = j[open_]
+        if len(j) and band:
+            j = j[~(keys[j, :band] == keys[i, :band]).any(axis=1)]
+        if not len(j):
+            continue
+        own = slice(starts[i], starts[i + 1])
+        dense[ids[own]] = weights[own]
+        low = starts[j[0]]
+        shared = np.add.reduceat(np.minimum(weights[low:], dense[ids[low:]]), starts[j[0] : -1] - low)[j - j[0]]
+        dense[ids[own]] = 0
+        alike = shared / np.maximum(totals[i] + totals[j] - shared, 1e-12)
+        for k in j[alike >= similarity - 1e-9].tolist():
+            if group[k] != group[i] and sampler.similarity(sets[i], sets[k]) >= similarity:
+                found.append((i, k))
+                group[group == group[k]] = group[i]
+    return found
+
+
+def _mixed_links(large: DataFrame, labels: DataFrame, contents: DataFrame, sets: DataFrame, sampler, similarity: float) -> DataFrame:
+    """Links (a, b) that join the classes of the buckets `large` (band, node) which hold several."""
+    names = [f"k{i}" for i in range(BANDS)]
+    tagged = large.join(labels, large["node"] == labels["v"], "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+    keyed = tagged.join(contents.select("node", "bytes", F.array(*names).alias("keys")), "node")
+    mixed = keyed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.greatest(F.count("*") / F.lit(CHUNK), F.sum("bytes") / F.lit(CHUNK_BYTES))).cast("int").alias("n")).where("low < high").select("band", "n")
+    chunked = keyed.join(mixed, "band").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    placed = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "label", "keys")
+    rows = placed.join(sets.withColumnRenamed("rid", "node"), "node").select("band", "i", "j", "chunk", "node", "label", "keys", "shingles", "counts")
+
+    def run(block: pa.Table) -> pa.Table:
+        node = block["node"].to_numpy()
+        keys = np.array(block["keys"].to_pylist(), dtype=np.int64)
+        place = int(np.flatnonzero(keys[0] == block["band"][0].as_py())[0])
+        pairs = block_links(sampler.value, similarity, block["chunk"].to_numpy(), block["label"].to_numpy(), keys, place, list(zip(block["shingles"].to_pylist(), block["counts"].to_pylist(), strict=True)))
+        return pa.table({"a": pa.array([int(node[i]) for i, _ in pairs], pa.int64()), "b": pa.array([int(node[j]) for _, j in pairs], pa.int64())})
+
+    return rows.groupBy("band", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, label) of all nodes in edges (a, b): the least node of each connected component."""
     both = materialise(edges.unionByName(edges.selectExpr("b AS a", "a AS b")).distinct(), "edges")
@@ -203,11 +264,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
             rows = [sampler.value.bands(np.frombuffer(h, np.uint32), c) if h else np.zeros(BANDS, np.int64) for h, c in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
             keys = np.array(rows, dtype=np.int64).reshape(-1, BANDS)
             empty = pa.array([not h for h in batch.column(3).to_pylist()], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], empty, *(pa.array(keys[:, i]) for i in range(BANDS))], names=["rid", "c1", "c2", "empty", *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], empty, pa.array([len(h) for h in batch.column(3).to_pylist()], pa.int64()), *(pa.array(keys[:, i]) for i in range(BANDS))], names=["rid", "c1", "c2", "empty", "bytes", *names])
 
-    signed = arrow_map(sets.select("rid", "c1", "c2", "shingles", "counts"), sign, "rid long, c1 long, c2 long, empty boolean, " + ", ".join(f"{k} long" for k in names))
+    signed = arrow_map(sets.select("rid", "c1", "c2", "shingles", "counts"), sign, "rid long, c1 long, c2 long, empty boolean, bytes long, " + ", ".join(f"{k} long" for k in names))
     # copies have the same keys, so one partial aggregate puts a group of any size into one row
-    contents = materialise(signed.groupBy("c1", "c2").agg(F.min("rid").alias("node"), F.min("empty").alias("empty"), *(F.min(k).alias(k) for k in names)), "contents")
+    contents = materialise(signed.groupBy("c1", "c2").agg(F.min("rid").alias("node"), F.min("empty").alias("empty"), F.min("bytes").alias("bytes"), *(F.min(k).alias(k) for k in names)), "contents")
     banded = contents.where(~F.col("empty")).select("node", F.explode(F.array(*names)).alias("band"))
     buckets = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = materialise(banded.join(buckets, "band"), "buckets")
@@ -220,19 +281,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     leaders = large.groupBy("band").agg(F.min("node").alias("b"))
     pairs = pairs.unionByName(large.withColumnRenamed("node", "a").join(leaders, "band").where("a <> b").select("a", "b")).distinct()
     edges = materialise(_confirmed(pairs, kept, sampler, similarity), "links")
-    labels, turn, has_large = components(edges), 0, large.limit(1).count() > 0
-    while has_large:
-        turn += 1
-        tagged = large.join(labels, large["node"] == labels["v"], "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-        mixed = tagged.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.xxhash64("node", F.lit(turn))).alias("least")).where("low < high").select("band", "least")
-        open_ = materialise(tagged.join(mixed, "band"), "open")
-        leaders = open_.where(F.xxhash64("node", F.lit(turn)) == F.col("least")).select("band", F.col("node").alias("b"), F.col("label").alias("to"))
-        pairs = open_.join(leaders, "band").where("label <> to").select(F.col("node").alias("a"), "b").distinct()
-        found = materialise(_confirmed(pairs, kept, sampler, similarity), "links")
-        if not found.limit(1).count():
-            break
-        edges = edges.unionByName(found)
-        labels = components(edges)
+    labels = components(edges)
+    found = materialise(_mixed_links(large, labels, contents, kept, sampler, similarity), "links")
+    if found.limit(1).count():
+        labels = components(edges.unionByName(found))
     rows = sets.select("rid", "doc", "body", "c1", "c2").join(contents.select("c1", "c2", "node"), ["c1", "c2"])
     firsts = rows.groupBy("node").agg(F.min("doc").alias("first")).join(labels, F.col("node") == F.col("v"), "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     classes = materialise(firsts, "classes")

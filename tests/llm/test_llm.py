@@ -167,6 +167,44 @@ def test_near_duplicates(spark, empty):
     assert near_dup.near_duplicates(empty).count() == 0
 
 
+def test_large_buckets_of_many_classes(spark):
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    template, texts = [word() for _ in range(200)], []
+    for _ in range(60):  # pairs of versions of one template: 0.98 alike in a pair, about 0.7 across pairs
+        own = [word() for _ in range(43)]
+        texts += [" ".join(template + own), " ".join([*template, *own[:-1], word()])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(4)
+    got = {r.doc: r.class_id for r in near_dup.near_duplicates(docs).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
+@pytest.mark.parametrize("chunks", [1, 2])
+def test_block_links_against_all_pairs(chunks):
+    rng = random.Random(7)
+    sampler = near_dup.Sampler(np.random.default_rng(1).integers(0, 5, near_dup.SLOTS).astype(np.uint8))
+    words = [f"v{rng.randrange(10**9)}" for _ in range(120)]
+    texts = []
+    for _ in range(40):  # a chain: each version is 0.8 or more like the next one, not like those further on
+        words = words[6:] + [f"v{rng.randrange(10**9)}" for _ in range(6)]
+        texts.append(" ".join(words))
+    rng.shuffle(texts)
+    sets = [(h.tobytes(), tf.astype(np.int32).tobytes()) for h, tf in map(near_dup.shingles, texts)]
+    n, side = len(texts), np.array([i % chunks for i in range(len(texts))])
+    keys = np.zeros((n, near_dup.BANDS), dtype=np.int64)
+
+    def classes(links):
+        group = list(range(n))
+        for a, b in links:
+            group = [group[a] if g == group[b] else g for g in group]
+        return {frozenset(i for i in range(n) if group[i] == g) for g in group}
+
+    found = near_dup.block_links(sampler, 0.8, side, np.arange(n), keys, 0, sets)
+    brute = [(a, b) for a, b in itertools.combinations(range(n), 2) if (chunks == 1 or side[a] != side[b]) and sampler.similarity(sets[a], sets[b]) >= 0.8]
+    assert classes(found) == classes(brute) and (chunks == 2 or len(classes(brute)) == 1)
+    assert near_dup.block_links(sampler, 0.8, side, np.arange(n), keys, 1, sets) == []
+
+
 def test_repeated_rows_leave_one(spark):
     docs = documents(spark, ODD)
     kept = near_dup.drop_near_duplicates(docs)
