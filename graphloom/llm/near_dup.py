@@ -20,6 +20,8 @@ decides; both change no result. So every pair of a bucket is decided, and the wo
 grows with the square of its nodes. Classes are connected components, by label propagation over written tables.
 
 Null texts count as empty. Texts without words are the same if they are equal. Repeated documents join one class.
+A class is told by its label, a number; class_id is for output: the least key, or where that is null or the least of
+several classes, a value that no row has as its key (for integers a number below all keys, for strings `key#label`).
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_map, materialise, table, texts
 from .decontaminate import words_of
@@ -253,7 +256,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """A row for each row of docs: doc (its key), body (xxhash64 of the text), rid, node (a number shared by equal texts) and class_id (the least key of the class)."""
+    """A row for each row of docs: doc (its key), body (xxhash64 of the text), rid, node (a number shared by equal texts), label (the number of its class) and class_id (the least key of the class, or its substitute)."""
     spark = docs.sparkSession
     sets = materialise(shingle_sets(docs, key, text), "shingles")
     sampler = spark.sparkContext.broadcast(Sampler(idf_levels(sets)))  # a fixed size of about 50 MB in tables
@@ -288,17 +291,32 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     rows = sets.select("rid", "doc", "body", "c1", "c2").join(contents.select("c1", "c2", "node"), ["c1", "c2"])
     firsts = rows.groupBy("node").agg(F.min("doc").alias("first")).join(labels, F.col("node") == F.col("v"), "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     classes = materialise(firsts, "classes")
-    ids = classes.groupBy("label").agg(F.min("first").alias("class_id"))
-    named = classes.join(ids, "label").select("node", "class_id")
-    return rows.join(named, "node").select("rid", "doc", "body", "node", "class_id")
+    ids = _class_ids(classes.groupBy("label").agg(F.min("first").alias("class_id")), sets)
+    named = classes.join(ids, "label").select("node", "label", "class_id")
+    return rows.join(named, "node").select("rid", "doc", "body", "node", "label", "class_id")
+
+
+def _class_ids(ids: DataFrame, sets: DataFrame) -> DataFrame:
+    """(label, class_id) with another class_id for each class whose least key is null or not its own alone."""
+    kind = ids.schema["class_id"].dataType
+    if isinstance(kind, T.IntegralType):
+        low = min(0, sets.agg(F.min("doc")).first()[0] or 0)
+        ids, own = ids.withColumn("class_id", F.col("class_id").cast("long")), F.lit(low).cast("long") - 1 - F.col("label")
+    elif isinstance(kind, T.StringType):
+        own = F.concat(F.coalesce("class_id", F.lit("")), F.lit("#"), F.col("label").cast("string"))
+    else:
+        return ids
+    known = ids.where("class_id IS NOT NULL")
+    shared = known.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1")
+    named = known.join(shared, "class_id", "left").select("label", F.when(F.col("n").isNull(), F.col("class_id")).otherwise(own).alias("class_id"))
+    return named.unionByName(ids.where("class_id IS NULL").select("label", own.alias("class_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each class: that of the least key (of rows that share it, the first)."""
     rows = materialise(near_duplicates(docs, key, text, similarity), "classes")
-    keep = rows.where(F.col("doc").eqNullSafe(F.col("class_id"))).select("doc", "body", "rid", "class_id")
-    first = keep.groupBy("class_id").agg(F.min("rid").alias("rid"))
-    chosen = keep.join(first.select("rid"), "rid").select(F.col("doc").alias("__doc"), F.col("body").alias("__body"))
+    first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "rid", "body")).alias("row"))
+    chosen = first.select(F.col("row.doc").alias("__doc"), F.col("row.body").alias("__body"))
     same = docs[key].eqNullSafe(chosen["__doc"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == chosen["__body"])
     left = docs.join(chosen, same, "left_semi")
     repeated = rows.groupBy("doc", "body").count().where("count > 1").limit(1).count()

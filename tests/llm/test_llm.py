@@ -211,6 +211,16 @@ def test_repeated_rows_leave_one(spark):
     assert kept.columns == docs.columns and kept.count() == len({near_dup.content(t or "") for t in [*ODD, "null id"]})
 
 
+@pytest.mark.parametrize("kind", ["int", "long", "string"])
+def test_null_and_shared_ids_keep_their_classes(spark, kind):
+    rows = [(None, "first text of no id"), (None, "second text, also without"), (None, "a third one, unlike both"), (5, "one text under five"), (5, "a wholly different text"), (9, "One text, under five!"), (None, "second text also WITHOUT")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    kept = near_dup.drop_near_duplicates(docs).collect()
+    assert len(kept) == 5 and {r.text for r in kept} >= {r[1] for r in rows[:1] + rows[2:5]}
+    found = near_dup.near_duplicates(docs).collect()
+    assert len({r.class_id for r in found}) == len({r.label for r in found}) == 5 and all(r.class_id is not None for r in found)
+
+
 def test_sampling_estimates_weighted_jaccard():
     rng = np.random.default_rng(1)
     sampler = near_dup.Sampler(rng.integers(0, 5, near_dup.SLOTS).astype(np.uint8))
