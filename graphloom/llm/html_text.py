@@ -6,7 +6,8 @@ in order by a range partition; a page's mate is the one of its two neighbours wh
 (the earlier one if they are level). The mates' lines are aligned by longest common subsequence and shared lines are
 deleted; so are lines in boilerplate elements. Lines of a page's article are never deleted for being shared: two pages
 may well quote the same paragraph, and copies of an article share it all. If a page has an article, that is its text.
-A mate that shares nine tenths of a page's lines is taken for a copy and deletes nothing.
+A mate with the very same lines is a copy and deletes nothing. Class and role words that mark boilerplate do not hide an
+article inside the marked element, unless another article lies outside of all such elements.
 
 Null and empty pages give an empty text; null URLs and URLs without `://` have an empty host and path. Pages without a
 mate keep what is not boilerplate. Repeated pages get equal texts. Pages of any length are read whole.
@@ -39,8 +40,8 @@ MARKS = re.compile(r"(?:^|[^a-z])(?:ads?|adverts?|advertisements?|advertising|ad
 #: An end tag closes open elements up to its own start, but not past these.
 CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 IN_ARTICLE, IS_BOILER = 1, 2
-#: A mate with this share of a page's lines is a copy.
-COPY = 0.9
+#: While a page is read: inside an element that is boilerplate by its name, and in an article that only marks make boilerplate.
+_BY_NAME, _HELD = 4, 8
 
 
 def page_lines(page: str) -> list[tuple[str, int]]:
@@ -93,13 +94,15 @@ def page_lines(page: str) -> list[tuple[str, int]]:
             continue
         stack.append((name, flags))
         if name == "article" or name == "main" or (name == "div" and "role" in attributes.lower() and re.search(r"role\s*=\s*[\"']?(?:main|article)\b", attributes, re.I)):
-            flags |= IN_ARTICLE
+            flags |= IN_ARTICLE | (_HELD if flags & IS_BOILER and not flags & _BY_NAME else 0)
         if name in BOILER and not (name == "header" and flags & IN_ARTICLE):
-            flags |= IS_BOILER
+            flags = (flags | IS_BOILER | _BY_NAME) & ~_HELD
         elif attributes and name not in ("html", "body", "article", "main") and any(MARKS.search(x.lower()) for found in _NAMES.findall(attributes) for x in found if x):
-            flags |= IS_BOILER
+            flags = (flags | IS_BOILER) & ~_HELD
     flush()
-    return out
+    if not any(f & IN_ARTICLE and not f & IS_BOILER for _, f in out):
+        out = [(x, f & ~IS_BOILER if f & _HELD else f) for x, f in out]
+    return [(x, f & (IN_ARTICLE | IS_BOILER)) for x, f in out]
 
 
 def common_lines(a: list, b: list) -> list[bool]:
@@ -129,8 +132,7 @@ def deleted_lines(flags: bytes, own: list[int], mate: list[int] | None) -> list[
     """The numbers of the lines that a page loses for being shared with its mate, both given as hashes."""
     if not mate or any(f & IN_ARTICLE and not f & IS_BOILER for f in flags):
         return []
-    shared = common_lines(own, mate)
-    return [] if sum(shared) >= COPY * len(own) else [i for i, s in enumerate(shared) if s]
+    return [] if own == mate else [i for i, s in enumerate(common_lines(own, mate)) if s]
 
 
 def main_text(lines: list[tuple[str, int]], deleted: list[int] | None) -> str:

@@ -345,6 +345,15 @@ def test_differencing(spark):
     assert got == {1: "first text\nmore & more\nand even more", 2: "second text\nsomething else\nand a third", 3: "zzz\nyyy\nxxx", 4: "Site head\nalone\nAll rights", 5: "first text\nmore & more\nand even more", 6: "first text", 7: "", 8: "", 9: "unclosed tag", 10: "yes <p> é x"}
 
 
+def test_thin_pages_and_marked_containers():
+    menu, own = list(range(30)), [100, 101, 102]
+    assert html_text.deleted_lines(bytes(33), menu + own, menu + [200]) == menu and html_text.deleted_lines(bytes(30), menu, menu) == []
+    text = lambda page: html_text.main_text(html_text.page_lines(page), None)
+    assert text('<div class="layout sidebar"><p>menu</p><article><p>text</p><div class="share">share</div></article></div>') == "text"
+    assert text('<article><p>text</p></article><div class="comments"><article><p>remark</p></article></div>') == "text"
+    assert text('<nav><article>menu</article></nav><p>text</p>') == "text"
+
+
 def test_op6_on_pages(spark, small):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
     for r in html_text.op6_html_extraction(spark, small).collect():
