@@ -161,8 +161,8 @@ def optional_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("match_optional_count", optional_counts, "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 
 
-def next_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as a chain: what the first turn of each conversation leads to, in any number of hops."""
+def next_turns(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    """Turns as a chain: what each turn leads to, in any number of hops; of all conversations, or of the ten in the SQL of match_reachable."""
     from .operators.graph import PropertyGraph
     from .plans.resolve import model_of
 
@@ -171,7 +171,7 @@ namespace: { prefix: t, iri: "https://example.org/turns#" }
 nodes: { Turn: { key: [id], props: { id: { type: string, required: true } } } }
 edges: { NEXT: { from: Turn, to: Turn } }
 """)
-    turns = warehouse.read(spark, sf_dir, "conversations").where("conv_id % 10 = conv_id AND turn IS NOT NULL")  # the ten conversations that the question is about
+    turns = warehouse.read(spark, sf_dir, "conversations").where("turn IS NOT NULL" if every else "conv_id % 10 = conv_id AND turn IS NOT NULL")
     name = lambda c: F.concat_ws("/", "conv_id", c)
     w = Window.partitionBy("conv_id").orderBy("turn")
     edges = turns.select(name("turn").alias("src_id"), F.concat_ws("/", "conv_id", F.lead("turn").over(w)).alias("dst_id"), F.lead("turn").over(w).alias("next")).where("next IS NOT NULL").drop("next")
@@ -183,6 +183,7 @@ add("match_reachable", next_turns, """WITH RECURSIVE t AS (SELECT conv_id, turn,
 e AS (SELECT conv_id || '/' || turn AS src_id, conv_id || '/' || next AS dst_id FROM t WHERE next IS NOT NULL),
 r AS (SELECT src_id, dst_id, 1 AS hops FROM e UNION ALL SELECT r.src_id, e.dst_id, hops + 1 FROM r JOIN e ON r.dst_id = e.src_id)
 SELECT src_id, dst_id, CAST(min(hops) AS BIGINT) AS hops FROM r GROUP BY src_id, dst_id""")
+add("match_reachable_all", partial(next_turns, every=True))
 
 
 # profiles: parties, nations and regions as labelled elements

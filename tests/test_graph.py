@@ -224,3 +224,16 @@ def test_drift(spark):
     keyed = expected.withColumn("key", F.when(F.col("column") == "vin", F.lit(None)).otherwise(F.col("key")))
     assert drifts.column_drift(expected, keyed, compare_keys=True).collect() == [("different", "key of Car", "declared (vin), found ()")]
     assert drifts.column_drift(expected, drifts.found_columns(spark, {}), True).count() == 3
+
+
+def test_all_conversations_are_reached(spark, small):
+    from graphloom.queries import QUERIES
+
+    turns, want = {}, set()
+    for r in spark.read.parquet(f"{small}/conversations.parquet").collect():
+        if r.conv_id is not None and r.turn is not None:
+            turns.setdefault(r.conv_id, set()).add(r.turn)
+    for c, own in turns.items():
+        order = sorted(own)
+        want |= {(f"{c}/{order[i]}", f"{c}/{order[j]}", j - i) for i in range(len(order)) for j in range(i + 1, len(order))}
+    assert len(turns) > 10 and {tuple(r) for r in QUERIES["match_reachable_all"](spark, small).collect()} == want
