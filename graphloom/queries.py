@@ -279,14 +279,16 @@ def steps_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("migrate_data_steps", steps_of, values([("remove_node_type", 0, "delete-edges", "OWNS", "", ""), ("remove_node_type", 1, "delete-nodes", "Car", "", ""), ("rename_edge", 0, "retype-edges", "KNOWS", "KNOWS", "ACQUAINTED"), ("rename_node_type", 0, "relabel", "Person", "Person", "Individual"), ("rename_property", 0, "rename-node-property", "Person", "email", "mail")], "pair, place, kind, on_, old, new", ["VARCHAR", "INTEGER", "VARCHAR", "VARCHAR", "VARCHAR", "VARCHAR"]))
 
 
-def retyped_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """HAS_LINE renamed: the lines numbered 7 under the new edge."""
+def retyped_edges(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    """HAS_LINE renamed: all lines under the new edge, or those numbered 7 as in the SQL of migrate_retype_edges."""
     after = warehouse.model().edit_edge("HAS_LINE", name="CONTAINS")
     moved = migrate_graph(warehouse.graph(spark, sf_dir), after)
-    return moved.edges["CONTAINS", "Order", "LineItem"].where("dst_l_linenumber = 7")
+    edges = moved.edges["CONTAINS", "Order", "LineItem"]
+    return edges if every else edges.where("dst_l_linenumber = 7")
 
 
 add("migrate_retype_edges", retyped_edges, "SELECT l_orderkey AS src_o_orderkey, l_orderkey AS dst_l_orderkey, l_linenumber AS dst_l_linenumber FROM lineitem WHERE l_linenumber = 7")
+add("migrate_retype_edges_all", partial(retyped_edges, every=True), "SELECT l_orderkey AS src_o_orderkey, l_orderkey AS dst_l_orderkey, l_linenumber AS dst_l_linenumber FROM lineitem")
 
 
 def renamed_property(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -237,3 +237,12 @@ def test_all_conversations_are_reached(spark, small):
         order = sorted(own)
         want |= {(f"{c}/{order[i]}", f"{c}/{order[j]}", j - i) for i in range(len(order)) for j in range(i + 1, len(order))}
     assert len(turns) > 10 and {tuple(r) for r in QUERIES["match_reachable_all"](spark, small).collect()} == want
+
+
+def test_all_edges_are_retyped(spark, small):
+    from graphloom.queries import QUERIES
+
+    got = QUERIES["migrate_retype_edges_all"](spark, small)
+    assert got.columns == ["src_o_orderkey", "dst_l_orderkey", "dst_l_linenumber"]
+    lines = spark.read.parquet(f"{small}/lineitem.parquet").select("l_orderkey", "l_orderkey", "l_linenumber")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, lines.collect()))
