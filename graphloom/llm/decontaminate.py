@@ -5,7 +5,8 @@ is longer), and for each term of the test set the sorted positions at which the
 table. A search takes every window of the test items to every block: the postings of the window's rarest term there
 are moved by the term's offset, and each further term in order of rarity strikes out the starts at which its own
 moved postings have no entry. Windows of all items are worked off together as arrays. `near` finds the places where all
-terms lie within a span, in any order.
+terms lie within a span, in any order: `find_passages` with a span also returns the places of a window's first word around
+which all its other words lie at most span words away, and the items of such windows. Without a span it gives phrases alone.
 
 Only the terms of the test set are indexed, for nothing else is ever looked up. The test set is sent to the workers
 after its size is checked; beyond `max_bytes` it is split into parts of that size, each searched in turn, and the
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, materialise, table, texts
 
 WINDOW, BLOCK_WORDS, MAX_BYTES = 10, 1_000_000, 32 << 20
+NEAR = ("near", "near_items")
 _KEEP = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
 _FOLD = bytes((b + 32 if 0x41 <= b <= 0x5A else b if b in _KEEP else 0x20) for b in range(256))
 
@@ -104,9 +106,9 @@ class Block:
         inside = np.searchsorted(self.doc_ends, start, "right") == np.searchsorted(self.doc_ends, start + size - 1, "right")
         return alive[which[inside]], start[inside]
 
-    def near(self, terms: list[int], span: int) -> np.ndarray:
-        """Positions of the rarest term around which, in the same document, every other term lies at most `span` words away."""
-        order = sorted(terms, key=lambda t: (self.frequency[t], t))
+    def near(self, terms: list[int], span: int, pivot: int | None = None) -> np.ndarray:
+        """Positions of the rarest term, or of the pivot, around which, in the same document, every other term lies at most `span` words away."""
+        order = sorted(terms, key=lambda t: (t != pivot, self.frequency[t], t))
         t = order[0]
         found = self.positions[self.first[t] : self.first[t] + self.frequency[t]]
         doc = np.searchsorted(self.doc_ends, found, "right")
@@ -161,8 +163,10 @@ def build_index(docs: DataFrame, windows, key: str = "doc_id", text: str = "text
     return arrow_map(texts(docs, key, text=text), run, f"ids array<{kind}>, doc_ends array<bigint>, terms binary, ends binary, positions binary")
 
 
-def search(index: DataFrame, windows, key: str = "doc_id") -> DataFrame:
-    """A row for each document: n_words, n_hit, the hit spans in words [from, to) and the items found, as sorted strings."""
+def search(index: DataFrame, windows, key: str = "doc_id", span: int | None = None) -> DataFrame:
+    """A row for each document: n_words, n_hit, the hit spans in words [from, to) and the items found, as sorted strings.
+
+    With a span also near, the words at which windows lie within it, and near_items."""
     kind = index.schema["ids"].dataType.elementType.simpleString()
 
     def run(batches):
@@ -195,12 +199,24 @@ def search(index: DataFrame, windows, key: str = "doc_id") -> DataFrame:
                         step = np.diff(hit[doc_starts[d] : doc_ends[d]].astype(np.int8), prepend=0, append=0)
                         own = [{"from": int(a), "to": int(b)} for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True)]
                     spans.append(own)
+                more = []
+                if span is not None:
+                    places: list[set[int]] = [set() for _ in doc_ends]
+                    close: list[set[str]] = [set() for _ in doc_ends]
+                    for group, item_ends, items in wanted.groups:
+                        for w in np.flatnonzero(block.frequency[group].min(axis=1) > 0).tolist():
+                            own = [wanted.ids[i] for i in items[item_ends[w] : item_ends[w + 1]].tolist()]
+                            for p in block.near(list(set(group[w].tolist())), span, int(group[w, 0])).tolist():
+                                d = int(np.searchsorted(doc_ends, p, "right"))
+                                places[d].add(p - int(doc_starts[d]))
+                                close[d].update(own)
+                    more = [pa.array([sorted(x) for x in places], pa.list_(pa.int64())), pa.array([sorted(x) for x in close], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.values, pa.array(doc_ends - doc_starts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), pa.array([sorted(found.get(d, ())) for d in range(len(doc_ends))], pa.list_(pa.string()))],
-                    names=[key, "n_words", "n_hit", "spans", "items"],
+                    [ids.values, pa.array(doc_ends - doc_starts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), pa.array([sorted(found.get(d, ())) for d in range(len(doc_ends))], pa.list_(pa.string())), *more],
+                    names=[key, "n_words", "n_hit", "spans", "items", *(NEAR if more else ())],
                 )
 
-    return arrow_map(index, run, f"`{key}` {kind}, n_words long, n_hit long, spans array<struct<`from`:bigint,`to`:bigint>>, items array<string>")
+    return arrow_map(index, run, f"`{key}` {kind}, n_words long, n_hit long, spans array<struct<`from`:bigint,`to`:bigint>>, items array<string>" + (", near array<bigint>, near_items array<string>" if span is not None else ""))
 
 
 def _parts(benchmark: DataFrame, item: str, text: str, max_bytes: int):
@@ -217,7 +233,7 @@ def _united(parts: list[DataFrame]) -> DataFrame:
     every = parts[0].dropDuplicates(["row"])
     for p in parts[1:]:
         every = every.unionByName(p.dropDuplicates(["row"]))
-    grouped = every.groupBy("row").agg(F.first("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    grouped = every.groupBy("row").agg(F.first("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"), *(F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", *NEAR) if c in every.columns))
     # spans in order of their starts: a span joins the one before it or begins anew
     start = F.expr("CAST(array() AS array<struct<`from`:bigint,`to`:bigint>>)")
     join = lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["to"] >= x["from"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["from"].alias("from"), F.greatest(F.element_at(acc, -1)["to"], x["to"]).alias("to"))))).otherwise(F.concat(acc, F.array(x)))
@@ -225,19 +241,19 @@ def _united(parts: list[DataFrame]) -> DataFrame:
     return merged.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["to"] - x["from"]))
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WINDOW, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """A row for each row of docs: key, body (xxhash64 of the text), n_words, n_hit, spans, items."""
+def find_passages(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WINDOW, max_bytes: int = MAX_BYTES, span: int | None = None) -> DataFrame:
+    """A row for each row of docs: key, body (xxhash64 of the text), n_words, n_hit, spans, items; with a span also near and near_items."""
     sc, found = docs.sparkSession.sparkContext, []
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.struct(F.col(key).alias("id"), F.xxhash64(body).alias("body")).alias("row"), body.alias("text"))
     for part in _parts(benchmark, item, item_text, max_bytes):
         windows = sc.broadcast(Windows(part, size))
-        found.append(search(materialise(build_index(keyed, windows, "row"), "postings"), windows, "row"))
+        found.append(search(materialise(build_index(keyed, windows, "row"), "postings"), windows, "row", span))
     if len(found) == 1:
         done = found[0]
     else:
         done = keyed.select("row").join(_united(found), "row")
-    return done.select(F.col("row.id").alias(key), "row.body", "n_words", "n_hit", "spans", "items")
+    return done.select(F.col("row.id").alias(key), "row.body", "n_words", "n_hit", "spans", "items", *(NEAR if span is not None else ()))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -288,6 +288,22 @@ def test_proximity():
     assert near(3) == {0} and near(6) == {0, 1} and near(1) == set()
 
 
+@pytest.mark.parametrize("max_bytes", [1 << 20, 60])
+def test_proximity_of_passages(spark, max_bytes):
+    rng = random.Random(8)
+    items = [(1, "a1 b1 c1 d1 e1 f1 g1 h1 i1 j1 k1"), (2, "p2 q2 r2"), (3, "p2 a1 z9")]
+    texts = ["x a1 b1 c1 d1 e1 new f1 g1 h1 i1 j1 k1 x", "b1 a1 c1 d1 e1 f1 g1 h1 i1 k1 j1", "r2 x q2 x p2", "p2 q2 x x x x x x x x x x x x x x r2", None, ""]
+    texts += [" ".join(rng.choice("p2 q2 r2 a1 z9 x y".split()) for _ in range(30)) for _ in range(8)]
+    bench, span = spark.createDataFrame(items, "item_id int, text string"), 12
+    found = decontaminate.find_passages(documents(spark, texts), bench, max_bytes=max_bytes, span=span)
+    windows = [(str(i), t.split()[k : k + 10]) for i, t in items for k in range(max(1, len(t.split()) - 9))]
+    for r in found.collect():
+        w = ("null id" if r.doc_id is None else texts[r.doc_id] or "").split()
+        hits = [(k, i) for i, win in windows for k, x in enumerate(w) if x == win[0] and set(win) <= set(w[max(0, k - span) : k + span + 1])]
+        assert (r.near, r.near_items) == (sorted({k for k, _ in hits}), sorted({i for _, i in hits}))
+        assert r.doc_id != 0 or r.near_items == ["1"] and not r.n_hit
+
+
 # 5
 def test_url_filter(spark):
     rules = [("com", "/", "allow"), ("a.com", "/x", "block"), ("b.a.com", "/", "allow"), ("a.com", "/xy/", "allow"), ("net", "", "block")]
