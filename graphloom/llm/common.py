@@ -39,6 +39,33 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables of one run of an operator, each under a name of its own: writing a name again removes its older table.
+
+    All that is left goes when the block ends, so nothing returned from it may read them."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*list(self.paths))
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        path, old = f"{scratch_root(self.spark)}/{name}-{uuid.uuid4().hex}", self.paths.get(name)
+        df.write.parquet(path)
+        self.paths[name] = path
+        if old:
+            _remove(self.spark, old)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            _remove(self.spark, self.paths.pop(name))
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

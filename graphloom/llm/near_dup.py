@@ -12,20 +12,26 @@ c / (y e^r), y = e^(r (t - b)), t = floor(ln w / r + b); two texts draw the same
 their weighted Jaccard similarity. r, c ~ Gamma(2, 1) and b ~ U(0, 1) are read from a table by 16 bits of the hash.
 16 bands of 4 draws give candidates, which weighted Jaccard over the whole sets confirms at 0.8 or more.
 
-Texts with equal words are one node from the start. A bucket of a band with up to `SMALL` nodes compares all its
-pairs; a larger one compares its nodes with a leader first. A bucket that then still holds several classes is cut into
-chunks, and every two chunks are laid side by side in one task, which decides all their pairs that are not in one class
-yet. Pairs whose total weights differ by more than the similarity allows are left out, as are those that an earlier band
-decides; both change no result. So every pair of a bucket is decided, and the work of a large bucket of many classes
-grows with the square of its nodes. Classes are connected components, by label propagation over written tables.
-
-Null texts count as empty. Texts without words are the same if they are equal. Repeated documents join one class.
+Texts with equal words are one node from the start. Every pair of nodes that share a bucket of a band is decided, in an
+order that spares work: first each node is compared with the least node of its buckets, which joins most of a group of
+copies; then the buckets that still hold several classes compare all pairs of nodes of different classes. Such a bucket
+is cut by total weight (pairs whose weights differ by more than the similarity allows cannot be similar) and by hash
+into chunks, and every two chunks that may hold a pair are laid side by side in one task. Buckets with the same nodes are
+worked off once, and a pair that shares several buckets once; neither changes a result. The work of a large bucket of many
+classes of like weight grows with the square of its nodes. Classes are connected components, by label propagation over
+written tables; the second step joins classes, so its components are those of labels. Tables are removed as soon as they
+are used up.
+
+Null texts count as empty. Texts without words are the same if they are equal. Repeated documents join one class. An
+empty table gives an empty result. Columns of docs besides key and text are not read, so none can clash.
 A class is told by its label, a number; class_id is for output: the least key, or where that is null or the least of
 several classes, a value that no row has as its key (for integers a number below all keys, for strings `key#label`).
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,12 +40,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, materialise, table, texts
+from .common import Scratch, arrow_map, materialise, table
 from .decontaminate import words_of
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
-SLOTS, BLOCKS, STRENGTH, GRID, SMALL = 1 << 20, 256, 0.25, 0.05, 6
+SLOTS, BLOCKS, STRENGTH, GRID = 1 << 20, 256, 0.25, 0.05
 LEVELS = 60
 #: Nodes and bytes of shingles of a chunk of a bucket.
 CHUNK, CHUNK_BYTES = 512, 8 << 20
@@ -120,16 +126,20 @@ def idf_levels(sets: DataFrame) -> np.ndarray:
     return np.clip(np.round(np.log(idf) / GRID), 0, LEVELS - 1).astype(np.uint8)
 
 
+@lru_cache(maxsize=1)
+def _tables(seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ln of c / (y e^r) and t by level and 16 bits of a hash, and the multipliers and shifts of the hash functions: 47 MB, made from the seed in each worker."""
+    rng, n = np.random.default_rng(seed), 1 << 16
+    r, c, b = rng.gamma(2, 1, n), rng.gamma(2, 1, n), rng.random(n)
+    t = np.floor(np.arange(LEVELS)[:, None] * GRID / r + b)
+    least = (np.log(c) - r * (t - b) - r).astype(np.float32).ravel()
+    odd = rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    return least, t.astype(np.int64).ravel(), odd, rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+
+
 class Sampler:
     def __init__(self, idf: np.ndarray, seed: int = 11) -> None:
-        rng, n = np.random.default_rng(seed), 1 << 16
-        r, c, b = rng.gamma(2, 1, n), rng.gamma(2, 1, n), rng.random(n)
-        t = np.floor(np.arange(LEVELS)[:, None] * GRID / r + b)
-        self.least = (np.log(c) - r * (t - b) - r).astype(np.float32).ravel()
-        self.t = t.astype(np.int64).ravel()
-        self.odd = rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-        self.shift = rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
-        self.idf = idf
+        self.idf, self.seed = idf, seed
 
     def levels(self, h: np.ndarray, counts: bytes) -> np.ndarray:
         level = self.idf[h >> 12].astype(np.int32)
@@ -140,19 +150,20 @@ class Sampler:
     def bands(self, h: np.ndarray, counts: bytes) -> np.ndarray:
         """One 64-bit key for each band."""
         level = self.levels(h, counts) << 16
-        best, which = np.full(len(self.odd), np.inf, dtype=np.float32), np.zeros(len(self.odd), dtype=np.int64)
+        least, t, odd, shift = _tables(self.seed)
+        best, which = np.full(len(odd), np.inf, dtype=np.float32), np.zeros(len(odd), dtype=np.int64)
         for i in range(0, len(h), 2048):
             part = h[i : i + 2048]
-            at = (((part[:, None] + self.shift) * self.odd) >> np.uint32(16)).astype(np.int32)
+            at = (((part[:, None] + shift) * odd) >> np.uint32(16)).astype(np.int32)
             at += level[i : i + 2048, None]
-            values = self.least[at]
+            values = least[at]
             row = values.argmin(axis=0)
             value = values[row, np.arange(len(row))]
             better = value < best
             best = np.where(better, value, best)
             which = np.where(better, i + row, which)
-        at = ((h[which] + self.shift) * self.odd >> np.uint32(16)).astype(np.int64) + level[which]
-        draws = h[which].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + self.t[at].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        at = ((h[which] + shift) * odd >> np.uint32(16)).astype(np.int64) + level[which]
+        draws = h[which].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + t[at].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
         draws ^= draws >> np.uint64(31)
         keys = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         for k in range(ROWS):
@@ -160,6 +171,9 @@ class Sampler:
             keys ^= keys >> np.uint64(35)
         return keys.view(np.int64)
 
+    def total(self, h: np.ndarray, counts: bytes) -> float:
+        return float(np.exp(self.levels(h, counts) * GRID).sum())
+
     def similarity(self, a: tuple[bytes, bytes], b: tuple[bytes, bytes]) -> float:
         """Weighted Jaccard similarity of two sets."""
         ha, hb = np.frombuffer(a[0], np.uint32), np.frombuffer(b[0], np.uint32)
@@ -171,10 +185,9 @@ class Sampler:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, sampler, similarity: float) -> DataFrame:
-    """Of pairs (a, b) those that are similar enough; only the sets of nodes in pairs move."""
-    own = sets.select("rid", "shingles", "counts")
-    left = pairs.join(own.withColumnsRenamed({"rid": "a", "shingles": "sa", "counts": "ca"}), "a")
-    both = left.join(own.withColumnsRenamed({"rid": "b", "shingles": "sb", "counts": "cb"}), "b").select("a", "b", "sa", "ca", "sb", "cb")
+    """Of pairs (a, b) those that are similar enough."""
+    right = pairs.join(sets.withColumnsRenamed({"rid": "a", "shingles": "sa", "counts": "ca"}), "a")
+    both = right.join(sets.withColumnsRenamed({"rid": "b", "shingles": "sb", "counts": "cb"}), "b").select("a", "b", "sa", "ca", "sb", "cb")
 
     def run(batches):
         for batch in batches:
@@ -221,86 +234,109 @@ def block_links(sampler: Sampler, similarity: float, chunks: np.ndarray, labels:
     return found
 
 
-def _mixed_links(large: DataFrame, labels: DataFrame, contents: DataFrame, sets: DataFrame, sampler, similarity: float) -> DataFrame:
-    """Links (a, b) that join the classes of the buckets `large` (band, node) which hold several."""
-    names = [f"k{i}" for i in range(BANDS)]
-    tagged = large.join(labels, large["node"] == labels["v"], "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-    keyed = tagged.join(contents.select("node", "bytes", F.array(*names).alias("keys")), "node")
-    mixed = keyed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.greatest(F.count("*") / F.lit(CHUNK), F.sum("bytes") / F.lit(CHUNK_BYTES))).cast("int").alias("n")).where("low < high").select("band", "n")
-    chunked = keyed.join(mixed, "band").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    placed = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("band", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "label", "keys")
-    rows = placed.join(sets.withColumnRenamed("rid", "node"), "node").select("band", "i", "j", "chunk", "node", "label", "keys", "shingles", "counts")
+def mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of members, with label, of the buckets that hold several classes; of buckets with the same nodes that of the first band alone."""
+    tagged = members.join(labels, members["node"] == labels["v"], "left").select(*members.columns, F.coalesce("label", "node").alias("label"))
+    whole = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    several = tagged.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), whole.alias("whole"), F.min("place").alias("place")).where("low < high")
+    chosen = several.groupBy("whole").agg(F.min(F.struct("place", "band")).alias("first")).select("first.band")
+    return tagged.join(chosen, "band", "left_semi")
+
+
+def mixed_links(mixed: DataFrame, keys: DataFrame, sets: DataFrame, sampler, similarity: float) -> DataFrame:
+    """Links (a, b) between labels, from all pairs of nodes of different classes in the buckets of `mixed`."""
+    # pairs at the similarity lie in one weight class or in two that are next to each other
+    step = -np.log(similarity * (1 - 1e-6))
+    size = F.greatest(F.count("*") / F.lit(CHUNK), F.sum("bytes") / F.lit(CHUNK_BYTES))
+    whole = mixed.groupBy("band").agg((size <= 1).alias("whole"))
+    classed = mixed.join(whole, "band").withColumn("w", F.when(F.col("whole"), F.lit(0)).otherwise(F.floor(F.ln("weight") / F.lit(step)).cast("int")))
+    chunks = classed.groupBy("band", "w").agg(F.ceil(size).cast("int").alias("n"))
+    by_class = chunks.groupBy("band").agg(F.map_from_entries(F.collect_list(F.struct("w", "n"))).alias("n"))  # an entry for each factor of 0.8 in weight
+    chunk = lambda w, c: F.struct(w.alias("w"), c.alias("c"))
+    own = chunk(F.col("w"), F.col("c"))
+    here = classed.join(by_class, "band").withColumn("c", F.pmod(F.xxhash64("node"), F.element_at("n", F.col("w"))).cast("int"))
+    beside = lambda d: F.transform(F.sequence(F.lit(0), F.coalesce(F.try_element_at("n", F.col("w") + d), F.lit(0))), lambda c: chunk(F.col("w") + d, c))
+    others = F.concat(*(F.slice(beside(d), 1, F.coalesce(F.try_element_at("n", F.col("w") + d), F.lit(0))) for d in (-1, 0, 1)))
+    placed = here.withColumn("own", own).withColumn("other", F.explode(others)).select("band", "place", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
+    rows = placed.join(keys, "node").join(sets.withColumnRenamed("rid", "node"), "node").select("band", "place", "i", "j", (F.col("own") == F.col("i")).cast("int").alias("side"), "node", "label", "keys", "shingles", "counts")
 
     def run(block: pa.Table) -> pa.Table:
-        node = block["node"].to_numpy()
-        keys = np.array(block["keys"].to_pylist(), dtype=np.int64)
-        place = int(np.flatnonzero(keys[0] == block["band"][0].as_py())[0])
-        pairs = block_links(sampler.value, similarity, block["chunk"].to_numpy(), block["label"].to_numpy(), keys, place, list(zip(block["shingles"].to_pylist(), block["counts"].to_pylist(), strict=True)))
-        return pa.table({"a": pa.array([int(node[i]) for i, _ in pairs], pa.int64()), "b": pa.array([int(node[j]) for _, j in pairs], pa.int64())})
+        label, keys = block["label"].to_numpy(), np.array(block["keys"].to_pylist(), dtype=np.int64)
+        pairs = block_links(sampler.value, similarity, block["side"].to_numpy(), label, keys, block["place"][0].as_py(), list(zip(block["shingles"].to_pylist(), block["counts"].to_pylist(), strict=True)))
+        return pa.table({"a": pa.array([int(label[i]) for i, _ in pairs], pa.int64()), "b": pa.array([int(label[j]) for _, j in pairs], pa.int64())})
 
     return rows.groupBy("band", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(v, label) of all nodes in edges (a, b): the least node of each connected component."""
-    both = materialise(edges.unionByName(edges.selectExpr("b AS a", "a AS b")).distinct(), "edges")
-    labels = materialise(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
+def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(v, label) of all nodes in edges (a, b): the least node of each connected component, as the table `name`."""
+    both = scratch.put("both-ways", edges.unionByName(edges.selectExpr("b AS a", "a AS b")).distinct())
+    labels = scratch.put(name, both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("a")).alias("label")))
     while True:
         near = both.join(labels.withColumnsRenamed({"v": "b", "label": "other"}), "b").groupBy(F.col("a").alias("v")).agg(F.min("other").alias("other"))
         lower = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "other").alias("label"))
         jump = labels.select(F.col("v").alias("label"), F.col("label").alias("next"))
-        new = materialise(lower.join(jump, "label").select("v", "old", F.least("label", "next").alias("label")), "labels")
+        new = scratch.put(name, lower.join(jump, "label").select("v", "old", F.least("label", "next").alias("label")))
         labels = new.select("v", "label")
         if not new.where("label < old").limit(1).count():
+            scratch.drop("both-ways")
             return labels
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """A row for each row of docs: doc (its key), body (xxhash64 of the text), rid, node (a number shared by equal texts), label (the number of its class) and class_id (the least key of the class, or its substitute)."""
+    """A row for each row of docs: rid, doc (its key), body (xxhash64 of the text), node (a number shared by equal texts), label (the number of its class) and class_id (the least key of the class, or its substitute)."""
     spark = docs.sparkSession
-    sets = materialise(shingle_sets(docs, key, text), "shingles")
-    sampler = spark.sparkContext.broadcast(Sampler(idf_levels(sets)))  # a fixed size of about 50 MB in tables
+    with Scratch(spark) as scratch:
+        return materialise(_classes(docs, key, text, similarity, scratch), "near-classes")
+
+
+def _classes(docs: DataFrame, key: str, text: str, similarity: float, scratch: Scratch) -> DataFrame:
+    spark = docs.sparkSession
+    sets = scratch.put("shingles", shingle_sets(docs, key, text))
+    rows = scratch.put("rows", sets.select("rid", "doc", "body", "c1", "c2"))
+    sampler = spark.sparkContext.broadcast(Sampler(idf_levels(sets)))  # 1 MB at every input size
     names = [f"k{i}" for i in range(BANDS)]
 
     def sign(batches):
         for batch in batches:
-            rows = [sampler.value.bands(np.frombuffer(h, np.uint32), c) if h else np.zeros(BANDS, np.int64) for h, c in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
-            keys = np.array(rows, dtype=np.int64).reshape(-1, BANDS)
-            empty = pa.array([not h for h in batch.column(3).to_pylist()], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], empty, pa.array([len(h) for h in batch.column(3).to_pylist()], pa.int64()), *(pa.array(keys[:, i]) for i in range(BANDS))], names=["rid", "c1", "c2", "empty", "bytes", *names])
+            each = list(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True))
+            bands = [sampler.value.bands(np.frombuffer(h, np.uint32), c) if h else np.zeros(BANDS, np.int64) for h, c in each]
+            keys = np.array(bands, dtype=np.int64).reshape(-1, BANDS)
+            weights = [sampler.value.total(np.frombuffer(h, np.uint32), c) for h, c in each]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([len(h) for h, _ in each], pa.int64()), pa.array(weights, pa.float64()), *(pa.array(keys[:, i]) for i in range(BANDS))], names=["rid", "doc", "c1", "c2", "bytes", "weight", *names])
 
-    signed = arrow_map(sets.select("rid", "c1", "c2", "shingles", "counts"), sign, "rid long, c1 long, c2 long, empty boolean, bytes long, " + ", ".join(f"{k} long" for k in names))
+    kind = docs.schema[key].dataType.simpleString()
+    signed = arrow_map(sets.select("rid", "doc", "c1", "c2", "shingles", "counts"), sign, f"rid long, doc {kind}, c1 long, c2 long, bytes long, weight double, " + ", ".join(f"{k} long" for k in names))
     # copies have the same keys, so one partial aggregate puts a group of any size into one row
-    contents = materialise(signed.groupBy("c1", "c2").agg(F.min("rid").alias("node"), F.min("empty").alias("empty"), F.min("bytes").alias("bytes"), *(F.min(k).alias(k) for k in names)), "contents")
-    banded = contents.where(~F.col("empty")).select("node", F.explode(F.array(*names)).alias("band"))
-    buckets = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialise(banded.join(buckets, "band"), "buckets")
-    # only the sets of nodes that share a bucket are looked at again: they are moved once
+    contents = scratch.put("contents", signed.groupBy("c1", "c2").agg(F.min("rid").alias("node"), F.min("doc").alias("first"), *(F.min(k).alias(k) for k in ("bytes", "weight", *names))))
+    banded = contents.where("bytes > 0").select("node", "bytes", "weight", F.posexplode(F.array(*names)).alias("place", "band"))
+    buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1").select("band", "lead")
+    members = scratch.put("members", banded.join(buckets.hint("merge"), "band"))
+    # only the sets of nodes that share a bucket are looked at again: they are moved once, at every size by a shuffle
     shared = members.select(F.col("node").alias("rid")).distinct()
-    kept = materialise(sets.select("rid", "shingles", "counts").join(shared, "rid", "left_semi"), "shared-sets")
-    small = members.where(F.col("n") <= SMALL)
-    pairs = small.select("band", F.col("node").alias("a")).join(small.select("band", F.col("node").alias("b")), "band").where("a < b").select("a", "b")
-    large = members.where(F.col("n") > SMALL).select("band", "node")
-    leaders = large.groupBy("band").agg(F.min("node").alias("b"))
-    pairs = pairs.unionByName(large.withColumnRenamed("node", "a").join(leaders, "band").where("a <> b").select("a", "b")).distinct()
-    edges = materialise(_confirmed(pairs, kept, sampler, similarity), "links")
-    labels = components(edges)
-    found = materialise(_mixed_links(large, labels, contents, kept, sampler, similarity), "links")
+    kept = scratch.put("shared-sets", sets.select("rid", "shingles", "counts").join(shared.hint("merge"), "rid", "left_semi"))
+    scratch.drop("shingles")
+    stars = members.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+    labels = components(scratch.put("links", _confirmed(stars, kept, sampler, similarity)), scratch, "labels")
+    mixed = scratch.put("mixed", mixed_buckets(members, labels))
+    scratch.drop("links", "members")
+    found = scratch.put("links", mixed_links(mixed, contents.select("node", F.array(*names).alias("keys")), kept, sampler, similarity))
+    named = contents.join(labels, F.col("node") == F.col("v"), "left").select("c1", "c2", "node", "first", F.coalesce("label", "node").alias("label"))
     if found.limit(1).count():
-        labels = components(edges.unionByName(found))
-    rows = sets.select("rid", "doc", "body", "c1", "c2").join(contents.select("c1", "c2", "node"), ["c1", "c2"])
-    firsts = rows.groupBy("node").agg(F.min("doc").alias("first")).join(labels, F.col("node") == F.col("v"), "left").select("node", "first", F.coalesce("label", "node").alias("label"))
-    classes = materialise(firsts, "classes")
-    ids = _class_ids(classes.groupBy("label").agg(F.min("first").alias("class_id")), sets)
-    named = classes.join(ids, "label").select("node", "label", "class_id")
-    return rows.join(named, "node").select("rid", "doc", "body", "node", "label", "class_id")
+        joined = components(found, scratch, "joined-labels").withColumnsRenamed({"v": "label", "label": "least"})
+        named = named.join(joined, "label", "left").select("c1", "c2", "node", "first", F.coalesce("least", "label").alias("label"))
+    scratch.drop("shared-sets", "mixed", "links")
+    classes = scratch.put("classes", named)
+    ids = _class_ids(classes.groupBy("label").agg(F.min("first").alias("class_id")), rows)
+    whole = classes.join(ids, "label").select("c1", "c2", "node", "label", "class_id")
+    return rows.join(whole, ["c1", "c2"]).select("rid", "doc", "body", "node", "label", "class_id")
 
 
-def _class_ids(ids: DataFrame, sets: DataFrame) -> DataFrame:
+def _class_ids(ids: DataFrame, rows: DataFrame) -> DataFrame:
     """(label, class_id) with another class_id for each class whose least key is null or not its own alone."""
     kind = ids.schema["class_id"].dataType
     if isinstance(kind, T.IntegralType):
-        low = min(0, sets.agg(F.min("doc")).first()[0] or 0)
+        low = min(0, rows.agg(F.min("doc")).first()[0] or 0)
         ids, own = ids.withColumn("class_id", F.col("class_id").cast("long")), F.lit(low).cast("long") - 1 - F.col("label")
     elif isinstance(kind, T.StringType):
         own = F.concat(F.coalesce("class_id", F.lit("")), F.lit("#"), F.col("label").cast("string"))
@@ -314,7 +350,7 @@ def _class_ids(ids: DataFrame, sets: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each class: that of the least key (of rows that share it, the first)."""
-    rows = materialise(near_duplicates(docs, key, text, similarity), "classes")
+    rows = near_duplicates(docs, key, text, similarity)
     first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "rid", "body")).alias("row"))
     chosen = first.select(F.col("row.doc").alias("__doc"), F.col("row.body").alias("__body"))
     same = docs[key].eqNullSafe(chosen["__doc"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == chosen["__body"])
