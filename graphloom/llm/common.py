@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch: a worker holds a few batches at a time, whatever the length of the texts.
 BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
+#: Spark's setting to remove the shuffle files of a job at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Into how many shares the rows of a hot key are cut.
+SALTS = 1024
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -28,15 +32,23 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table once under the shared folder and read it again: later steps restart from it when an executor is lost.
-
-    The table is removed when the Python process ends."""
+def write_table(df: DataFrame, name: str) -> str:
+    """Write a table under the shared folder; its path. Later steps restart from it when an executor is lost, so the shuffle files of the job that wrote it go at once."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, old = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if old is None else spark.conf.set(CLEANUP, old)
+    return path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a table once and read it again. It is removed when the Python process ends."""
+    path = write_table(df, name)
+    atexit.register(_remove, df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class Scratch:
@@ -54,8 +66,7 @@ class Scratch:
         self.drop(*list(self.paths))
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
-        path, old = f"{scratch_root(self.spark)}/{name}-{uuid.uuid4().hex}", self.paths.get(name)
-        df.write.parquet(path)
+        path, old = write_table(df, name), self.paths.get(name)
         self.paths[name] = path
         if old:
             _remove(self.spark, old)
@@ -82,6 +93,15 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def look_up(rows: DataFrame, by: str, values: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """rows (a written table) with the columns of `values`, which has one row for each `on`.
+
+    A key may hold any share of the rows: they are cut by a hash of `by`, and a value goes once to each share that its key has."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    shares = salted.select(*on, "salt").distinct().join(values, on)
+    return salted.join(shares, [*on, "salt"], how).drop("salt")
+
+
 def texts(df: DataFrame, *columns: str, text: str = "text") -> DataFrame:
     """The named columns and the text, null as empty."""
     return df.select(*columns, F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text))

@@ -15,12 +15,13 @@ their weighted Jaccard similarity. r, c ~ Gamma(2, 1) and b ~ U(0, 1) are read f
 Texts with equal words are one node from the start. Every pair of nodes that share a bucket of a band is decided, in an
 order that spares work: first each node is compared with the least node of its buckets, which joins most of a group of
 copies; then the buckets that still hold several classes compare all pairs of nodes of different classes. Such a bucket
-is cut by total weight (pairs whose weights differ by more than the similarity allows cannot be similar) and by hash
-into chunks, and every two chunks that may hold a pair are laid side by side in one task. Buckets with the same nodes are
-worked off once, and a pair that shares several buckets once; neither changes a result. The work of a large bucket of many
-classes of like weight grows with the square of its nodes. Classes are connected components, by label propagation over
-written tables; the second step joins classes, so its components are those of labels. Tables are removed as soon as they
-are used up.
+is cut by total weight (pairs whose weights differ by more than the similarity allows cannot be similar), by whether a
+node is of the bucket's largest class (which needs no pairs of its own) and by hash into chunks, and every two chunks that
+may hold a pair are laid side by side in one task: a few strays beside a class of any size are work in proportion to it.
+Buckets with the same nodes are worked off once, and a pair that shares several buckets once; neither changes a result.
+The work of a large bucket of many classes of like weight grows with the square of its nodes. Classes are connected
+components, by label propagation over written tables; the second step joins classes, so its components are those of
+labels. Joins on a bucket, a class or a text that many rows share are salted. Tables are removed as soon as they are used up.
 
 Null texts count as empty. Texts without words are the same if they are equal. Repeated documents join one class. An
 empty table gives an empty result. Columns of docs besides key and text are not read, so none can clash.
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, arrow_map, materialise, table
+from .common import SALTS, Scratch, arrow_map, look_up, materialise, table
 from .decontaminate import words_of
 
 WORDS, SIMILARITY = 5, 0.8
@@ -186,8 +187,8 @@ class Sampler:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, sampler, similarity: float) -> DataFrame:
     """Of pairs (a, b) those that are similar enough."""
-    right = pairs.join(sets.withColumnsRenamed({"rid": "a", "shingles": "sa", "counts": "ca"}), "a")
-    both = right.join(sets.withColumnsRenamed({"rid": "b", "shingles": "sb", "counts": "cb"}), "b").select("a", "b", "sa", "ca", "sb", "cb")
+    right = look_up(pairs, "a", sets.withColumnsRenamed({"rid": "b", "shingles": "sb", "counts": "cb"}), ["b"])
+    both = right.join(sets.withColumnsRenamed({"rid": "a", "shingles": "sa", "counts": "ca"}).hint("merge"), "a").select("a", "b", "sa", "ca", "sb", "cb")
 
     def run(batches):
         for batch in batches:
@@ -234,31 +235,47 @@ def block_links(sampler: Sampler, similarity: float, chunks: np.ndarray, labels:
     return found
 
 
-def mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of members, with label, of the buckets that hold several classes; of buckets with the same nodes that of the first band alone."""
-    tagged = members.join(labels, members["node"] == labels["v"], "left").select(*members.columns, F.coalesce("label", "node").alias("label"))
+def members_of(contents: DataFrame, names: list[str]) -> DataFrame:
+    """(node, place, band, lead) of the buckets of two nodes or more; lead is the least node of the bucket. No bucket is gathered in one task."""
+    banded = contents.where("bytes > 0").select("node", F.posexplode(F.array(*names)).alias("place", "band"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt"))
+    shares = banded.groupBy("band", "salt").agg(F.count("*").alias("n"), F.min("node").alias("lead"))
+    buckets = shares.groupBy("band").agg(F.sum("n").alias("n"), F.min("lead").alias("lead"), F.collect_list("salt").alias("salts")).where("n > 1")  # at most SALTS salts
+    return banded.join(buckets.select("band", "lead", F.explode("salts").alias("salt")).hint("merge"), ["band", "salt"]).drop("salt")
+
+
+def mixed_buckets(tagged: DataFrame) -> DataFrame:
+    """The rows of tagged (members with label, a written table) of the buckets that hold several classes; of buckets with the same nodes that of the first band alone."""
     whole = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
     several = tagged.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), whole.alias("whole"), F.min("place").alias("place")).where("low < high")
     chosen = several.groupBy("whole").agg(F.min(F.struct("place", "band")).alias("first")).select("first.band")
-    return tagged.join(chosen, "band", "left_semi")
+    return look_up(tagged, "node", chosen, ["band"])
 
 
-def mixed_links(mixed: DataFrame, keys: DataFrame, sets: DataFrame, sampler, similarity: float) -> DataFrame:
-    """Links (a, b) between labels, from all pairs of nodes of different classes in the buckets of `mixed`."""
+def mixed_links(mixed: DataFrame, contents: DataFrame, names: list[str], sets: DataFrame, sampler, similarity: float, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between labels, from all pairs of nodes of different classes in the buckets of `mixed` (a written table)."""
     # pairs at the similarity lie in one weight class or in two that are next to each other
     step = -np.log(similarity * (1 - 1e-6))
     size = F.greatest(F.count("*") / F.lit(CHUNK), F.sum("bytes") / F.lit(CHUNK_BYTES))
-    whole = mixed.groupBy("band").agg((size <= 1).alias("whole"))
-    classed = mixed.join(whole, "band").withColumn("w", F.when(F.col("whole"), F.lit(0)).otherwise(F.floor(F.ln("weight") / F.lit(step)).cast("int")))
-    chunks = classed.groupBy("band", "w").agg(F.ceil(size).cast("int").alias("n"))
-    by_class = chunks.groupBy("band").agg(F.map_from_entries(F.collect_list(F.struct("w", "n"))).alias("n"))  # an entry for each factor of 0.8 in weight
-    chunk = lambda w, c: F.struct(w.alias("w"), c.alias("c"))
-    own = chunk(F.col("w"), F.col("c"))
-    here = classed.join(by_class, "band").withColumn("c", F.pmod(F.xxhash64("node"), F.element_at("n", F.col("w"))).cast("int"))
-    beside = lambda d: F.transform(F.sequence(F.lit(0), F.coalesce(F.try_element_at("n", F.col("w") + d), F.lit(0))), lambda c: chunk(F.col("w") + d, c))
-    others = F.concat(*(F.slice(beside(d), 1, F.coalesce(F.try_element_at("n", F.col("w") + d), F.lit(0))) for d in (-1, 0, 1)))
+    by_label = mixed.groupBy("band", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    largest = by_label.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("major"), (F.greatest(F.sum("n") / F.lit(CHUNK), F.sum("bytes") / F.lit(CHUNK_BYTES)) <= 1).alias("whole"))
+    # a part is a weight class, of the bucket's largest class (odd numbers, no pairs among its own nodes) or of the others (even numbers)
+    part = F.floor(F.ln("weight") / F.lit(step)).cast("int") * 2 + (F.col("label") == F.col("major")).cast("int")
+    parted = scratch.put("parted", look_up(mixed, "node", largest, ["band"]).select("band", "place", "node", "label", F.when(F.col("whole"), F.lit(0)).otherwise(part).alias("part"), "bytes"))
+    chunks = parted.groupBy("band", "part").agg(F.ceil(size).cast("int").alias("n"))
+    by_part = chunks.groupBy("band").agg(F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("n"))  # two entries for each factor of 0.8 in weight
+    here = look_up(parted, "node", by_part, ["band"]).withColumn("c", F.pmod(F.xxhash64("node"), F.element_at("n", F.col("part"))).cast("int"))
+    chunk = lambda p, c: F.struct(p.alias("p"), c.alias("c"))
+    own, odd = chunk(F.col("part"), F.col("c")), F.col("part") % 2
+
+    def beside(d: int, kind: int):
+        """The chunks of the part d weight classes further; none of a second odd part."""
+        p = F.col("part") - odd + 2 * d + kind
+        n = F.coalesce(F.try_element_at("n", p), F.lit(0)) * (1 - odd * kind)
+        return F.slice(F.transform(F.sequence(F.lit(0), n), lambda c: chunk(p, c)), 1, n)
+
+    others = F.concat(*(beside(d, kind) for d in (-1, 0, 1) for kind in (0, 1)))
     placed = here.withColumn("own", own).withColumn("other", F.explode(others)).select("band", "place", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
-    rows = placed.join(keys, "node").join(sets.withColumnRenamed("rid", "node"), "node").select("band", "place", "i", "j", (F.col("own") == F.col("i")).cast("int").alias("side"), "node", "label", "keys", "shingles", "counts")
+    rows = placed.join(contents.select("node", F.array(*names).alias("keys")), "node").join(sets.withColumnRenamed("rid", "node"), "node").select("band", "place", "i", "j", (F.col("own") == F.col("i")).cast("int").alias("side"), "node", "label", "keys", "shingles", "counts")
 
     def run(block: pa.Table) -> pa.Table:
         label, keys = block["label"].to_numpy(), np.array(block["keys"].to_pylist(), dtype=np.int64)
@@ -273,12 +290,11 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     both = scratch.put("both-ways", edges.unionByName(edges.selectExpr("b AS a", "a AS b")).distinct())
     labels = scratch.put(name, both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("a")).alias("label")))
     while True:
-        near = both.join(labels.withColumnsRenamed({"v": "b", "label": "other"}), "b").groupBy(F.col("a").alias("v")).agg(F.min("other").alias("other"))
-        lower = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "other").alias("label"))
-        jump = labels.select(F.col("v").alias("label"), F.col("label").alias("next"))
-        new = scratch.put(name, lower.join(jump, "label").select("v", "old", F.least("label", "next").alias("label")))
+        near = look_up(both, "a", labels.selectExpr("v AS b", "label AS other"), ["b"]).groupBy(F.col("a").alias("v")).agg(F.min("other").alias("other"))
+        jump = look_up(labels, "v", labels.selectExpr("v AS label", "label AS next"), ["label"])
+        new = scratch.put(name, jump.join(near, "v").select("v", F.col("label").alias("old"), F.least("next", "other").alias("label")))
         labels = new.select("v", "label")
-        if not new.where("label < old").limit(1).count():
+        if new.where("label < old").isEmpty():
             scratch.drop("both-ways")
             return labels
 
@@ -309,27 +325,27 @@ def _classes(docs: DataFrame, key: str, text: str, similarity: float, scratch: S
     signed = arrow_map(sets.select("rid", "doc", "c1", "c2", "shingles", "counts"), sign, f"rid long, doc {kind}, c1 long, c2 long, bytes long, weight double, " + ", ".join(f"{k} long" for k in names))
     # copies have the same keys, so one partial aggregate puts a group of any size into one row
     contents = scratch.put("contents", signed.groupBy("c1", "c2").agg(F.min("rid").alias("node"), F.min("doc").alias("first"), *(F.min(k).alias(k) for k in ("bytes", "weight", *names))))
-    banded = contents.where("bytes > 0").select("node", "bytes", "weight", F.posexplode(F.array(*names)).alias("place", "band"))
-    buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("lead")).where("n > 1").select("band", "lead")
-    members = scratch.put("members", banded.join(buckets.hint("merge"), "band"))
+    members = scratch.put("members", members_of(contents, names))
     # only the sets of nodes that share a bucket are looked at again: they are moved once, at every size by a shuffle
     shared = members.select(F.col("node").alias("rid")).distinct()
     kept = scratch.put("shared-sets", sets.select("rid", "shingles", "counts").join(shared.hint("merge"), "rid", "left_semi"))
     scratch.drop("shingles")
-    stars = members.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+    stars = scratch.put("pairs", members.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct())
     labels = components(scratch.put("links", _confirmed(stars, kept, sampler, similarity)), scratch, "labels")
-    mixed = scratch.put("mixed", mixed_buckets(members, labels))
-    scratch.drop("links", "members")
-    found = scratch.put("links", mixed_links(mixed, contents.select("node", F.array(*names).alias("keys")), kept, sampler, similarity))
-    named = contents.join(labels, F.col("node") == F.col("v"), "left").select("c1", "c2", "node", "first", F.coalesce("label", "node").alias("label"))
-    if found.limit(1).count():
-        joined = components(found, scratch, "joined-labels").withColumnsRenamed({"v": "label", "label": "least"})
-        named = named.join(joined, "label", "left").select("c1", "c2", "node", "first", F.coalesce("least", "label").alias("label"))
-    scratch.drop("shared-sets", "mixed", "links")
-    classes = scratch.put("classes", named)
+    own = F.col("node") == F.col("v")
+    tagged = scratch.put("tagged", members.join(labels, own, "left").select("node", "place", "band", F.coalesce("label", "node").alias("label")))
+    scratch.drop("pairs", "members")
+    mixed = scratch.put("mixed", mixed_buckets(tagged).join(contents.select("node", "bytes", "weight"), "node"))
+    scratch.drop("tagged")
+    found = scratch.put("links", mixed_links(mixed, contents, names, kept, sampler, similarity, scratch))
+    classes = scratch.put("classes", contents.join(labels, own, "left").select("c1", "c2", "node", "first", F.coalesce("label", "node").alias("label")))
+    if not found.isEmpty():
+        joined = components(found, scratch, "joined-labels").selectExpr("v AS label", "label AS least")
+        classes = scratch.put("classes", look_up(classes, "node", joined, ["label"], "left").select("c1", "c2", "node", "first", F.coalesce("least", "label").alias("label")))
+    scratch.drop("shared-sets", "mixed", "parted", "links")
     ids = _class_ids(classes.groupBy("label").agg(F.min("first").alias("class_id")), rows)
-    whole = classes.join(ids, "label").select("c1", "c2", "node", "label", "class_id")
-    return rows.join(whole, ["c1", "c2"]).select("rid", "doc", "body", "node", "label", "class_id")
+    whole = look_up(classes, "node", ids, ["label"]).select("c1", "c2", "node", "label", "class_id")
+    return look_up(rows, "rid", whole, ["c1", "c2"]).select("rid", "doc", "body", "node", "label", "class_id")
 
 
 def _class_ids(ids: DataFrame, rows: DataFrame) -> DataFrame:
