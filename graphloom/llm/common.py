@@ -107,6 +107,18 @@ def texts(df: DataFrame, *columns: str, text: str = "text") -> DataFrame:
     return df.select(*columns, F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text))
 
 
+def no_clash(key: str, *added: str) -> None:
+    if key in added:
+        raise ValueError(f"the key column may not be called {key}: the operator returns a column of that name")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with `_` put before it until df has no such column."""
+    while name.lower() in map(str.lower, df.columns):
+        name = "_" + name
+    return name
+
+
 def tokenizer_text(path: str) -> str:
     """The content of a tokenizer file (a few MB), read on the driver and sent to the executors with the task."""
     return Path(path).read_text(encoding="utf-8")

@@ -279,15 +279,26 @@ def test_empty_benchmark_and_documents(spark, empty):
 
 
 def test_proximity():
-    w = decontaminate.Windows([(1, "a b c")])
-    ids = lambda t: np.array([w.terms.get(x, -1) for x in decontaminate.words_of(t)], dtype=np.int32)
-    bodies = [ids("a x c b"), ids("a x x x x b c"), ids("b c"), ids("a")]
-    block = decontaminate.Block(3, *decontaminate.build_block(3, bodies))
-    terms = [w.terms[x] for x in (b"a", b"b", b"c")]
-    near = lambda span: {int(np.searchsorted(block.doc_ends, p, "right")) for p in block.near(terms, span)}
+    w = decontaminate.Windows([("1", "a b c")])
+    doc_ends, vocabulary, ends, positions = decontaminate.build_block([decontaminate.words_of(t) for t in ("a x c b", "a x x x x b c", "b c", "a")])
+    block = decontaminate.Block(w.terms, doc_ends, vocabulary, ends, positions)
+    near = lambda span: {int(np.searchsorted(block.doc_ends, p, "right")) for p in block.near(w.groups[0][0], span)[1]}
     assert near(3) == {0} and near(6) == {0, 1} and near(1) == set()
 
 
+def test_one_index_for_many_test_sets(spark, monkeypatch):
+    """The index holds all words and answers test sets that it was not built for; long items are cut without losing a window."""
+    rng = random.Random(11)
+    monkeypatch.setattr(decontaminate, "SEGMENT", 7)
+    texts = [prose(rng, 40) for _ in range(12)]
+    index = decontaminate.materialise(decontaminate.build_index(documents(spark, texts), block_words=100), "index")
+    assert sum(len(r.positions) // 4 for r in index.collect()) == sum(len(decontaminate.words_of(t)) for t in [*texts, "null id", texts[0]])
+    for items in ([(1, texts[3] + " " + prose(rng, 30)), (2, "omega")], [(5, prose(rng, 12))]):
+        cut = decontaminate.segments(spark.createDataFrame(items, "item_id int, text string"), "item_id", "text", 10).collect()
+        found = decontaminate.search(index, spark.sparkContext.broadcast(decontaminate.Windows([(r.i, r.t) for r in cut])))
+        assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in found.collect()), key=repr) == brute_hits([*enumerate(texts), (None, "null id"), (0, texts[0])], items)
+
+
 @pytest.mark.parametrize("max_bytes", [1 << 20, 60])
 def test_proximity_of_passages(spark, max_bytes):
     rng = random.Random(8)
