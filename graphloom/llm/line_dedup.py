@@ -8,7 +8,9 @@ task) are added up apart and settle the few rows left open. What comes back is a
 each document that loses any; texts stay where they are until the bitmap is applied.
 
 A document is a row: a row given twice counts as two documents, and rows that share the largest doc_id all keep the
-line. A null doc_id sorts below all others. Null and empty texts are one empty line, which has no key.
+line. A null doc_id sorts below all others; ids that are no integers are refused. Null and empty texts are one empty line,
+which has no key. An empty table gives an empty result. Lines and texts of any length are read whole. Columns of docs with
+the names of those that are worked with here stay as they are.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import arrow_map, materialise, table
+from .common import Scratch, arrow_map, look_up, materialise, table
 
 BLANKS = " \t\n\x0b\x0c\r"
 LEAST_ID = -(1 << 63)
@@ -34,6 +37,8 @@ def line_key(line: str) -> bytes:
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise ValueError(f"{key} must be an integer: the largest one keeps a line")
     body = F.coalesce(F.col(text), F.lit(""))
     return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LEAST_ID)).alias("doc"), F.xxhash64(body).alias("body"), body.alias("text"))
 
@@ -126,11 +131,18 @@ def apply_bitmap(text: str, bitmap: bytes | None) -> str:
 def keep_bitmaps(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc, body, keep_bitmap, n_dropped) of the documents that lose lines; body is the text's xxhash64."""
     order = [F.col("h1"), F.col("h2"), F.col("doc").desc(), F.col("body")]
-    hashes = materialise(line_hashes(docs, key, text, min_chars), "line-hashes")  # the range partitioner reads it twice
-    runs = materialise(stream_runs(hashes.repartitionByRange(*order).sortWithinPartitions(*order), min_docs), "line-runs")
-    # at most two rows for each task of the pass above, so this side is small at every input size
+    with Scratch(docs.sparkSession) as scratch:
+        hashes = scratch.put("line-hashes", line_hashes(docs, key, text, min_chars))  # the range partitioner reads it twice
+        runs = scratch.put("line-runs", stream_runs(hashes.repartitionByRange(*order).sortWithinPartitions(*order), min_docs))
+        scratch.drop("line-hashes")
+        return materialise(_bitmaps(runs, min_docs), "bitmaps")
+
+
+def _bitmaps(runs: DataFrame, min_docs: int) -> DataFrame:
+    # at most two rows for each task of the pass that made the runs
     edges = runs.where(F.col("kind") == EDGE).groupBy("h1", "h2").agg(F.sum("n").alias("total"), F.max("doc").alias("largest"))
-    settled = runs.where(F.col("kind") == OPEN).join(F.broadcast(edges), ["h1", "h2"]).where((F.col("total") >= min_docs) & (F.col("doc") < F.col("largest")))
+    opens = runs.where(F.col("kind") == OPEN).select("h1", "h2", "doc", "body", "lines")
+    settled = look_up(opens, "body", edges, ["h1", "h2"]).where((F.col("total") >= min_docs) & (F.col("doc") < F.col("largest")))
     drops = runs.where(F.col("kind") == DROP).select("doc", "body", "lines").unionByName(settled.select("doc", "body", "lines"))
     grouped = drops.groupBy("doc", "body").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines"))
 
@@ -143,35 +155,31 @@ def keep_bitmaps(docs: DataFrame, key: str = "doc_id", text: str = "text", min_c
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with their `keep_bitmap` and `n_dropped` (null where nothing is dropped); clashing columns of docs are replaced."""
-    docs = docs.drop("keep_bitmap", "n_dropped")
-    body = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.withColumns({"__doc": F.coalesce(F.col(key).cast("long"), F.lit(LEAST_ID)), "__body": F.xxhash64(body)})
-    right = bitmaps.withColumnsRenamed({"doc": "__doc", "body": "__body"})
-    return keyed.join(right, ["__doc", "__body"], "left").drop("__doc", "__body")
+    """(docs, keep_bitmap, n_dropped): each row of docs as a struct beside its bitmap, null where nothing is dropped."""
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("docs"))
+    own = row.withColumns({"doc": F.coalesce(F.col("docs")[key].cast("long"), F.lit(LEAST_ID)), "body": F.xxhash64(F.coalesce(F.col("docs")[text], F.lit("")))})
+    return own.join(bitmaps, ["doc", "body"], "left").select("docs", "keep_bitmap", "n_dropped")
 
 
 def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **limits) -> DataFrame:
-    """docs with the shared lines taken out of the text (a null text stays null); other columns as they are, but for
-    columns named keep_bitmap or n_dropped, which go."""
+    """docs with the shared lines taken out of the text (a null text stays null); all other columns as they are."""
     marked = with_bitmaps(docs, keep_bitmaps(docs, key, text, **limits), key, text)
-    names = [c for c in docs.columns if c not in ("keep_bitmap", "n_dropped")]
-    at, width = names.index(text), len(names)
+    at, names = docs.columns.index(text), docs.columns
 
     def run(batches):
         for batch in batches:
-            bitmaps, column = batch.column(width).to_pylist(), batch.column(at).to_pylist()
+            bitmaps, column = batch.column(len(names)).to_pylist(), batch.column(at).to_pylist()
             new = [t if t is None else apply_bitmap(t, b) for t, b in zip(column, bitmaps, strict=True)]
-            arrays = [pa.array(new, batch.schema.field(at).type) if i == at else batch.column(i) for i in range(width)]
+            arrays = [pa.array(new, batch.schema.field(at).type) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
-    return arrow_map(marked.select(*[f"`{c}`" for c in names], "keep_bitmap"), run, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return arrow_map(marked.select(*(F.col("docs")[c].alias(f"c{i}") for i, c in enumerate(names)), "keep_bitmap"), run, schema)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    marked = with_bitmaps(docs, keep_bitmaps(docs)).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "keep_bitmap", F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"))
+    marked = with_bitmaps(docs, keep_bitmaps(docs)).select("docs.doc_id", F.coalesce("docs.text", F.lit("")).alias("text"), "keep_bitmap", F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"))
 
     def run(batches):
         for batch in batches:

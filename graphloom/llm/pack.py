@@ -7,11 +7,14 @@ combination is removed as many times as the histogram holds it. The plan has a f
 many bins it stands for. Pieces then find their bin by their rank among the pieces of their length: each task ranks
 its own pieces, and the tasks' counts are summed up in front of them, so no length is gathered in one task.
 
-Texts: null counts as empty; an empty text is the end token alone. Repeated documents are packed one by one.
+Texts: null counts as empty; an empty text is the end token alone. Repeated documents are packed one by one. An empty table
+gives no pieces. Pieces of equal length are interchangeable, and ranks break the tie. Columns besides key and text are not
+read; the key may have any name but those of the columns that are returned.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections import Counter
@@ -23,17 +26,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialise, table, texts, tokenizer_text
+from .common import arrow_map, materialise, no_clash, table, texts, tokenizer_text
 
 CAPACITY, END_ID, MEMO_WORDS = 4096, 1, 900_000
 MARKS = ".,!?%*#$&;:"
+#: The rules of a tokenizer file that allow its texts to be cut at blanks (fixed values).
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 class WordIds:
     """Token ids of a text as little-endian 32-bit bytes.
 
-    The vocabulary's normaliser turns white space into blanks and its pre-tokenizer drops them, so the ids of a text
-    are those of its blank-separated stretches; each stretch goes through the library once while it is remembered."""
+    Where the file's normaliser turns white space into blanks and its pre-tokenizer drops them, the ids of a text are those
+    of its blank-separated stretches, and each stretch goes through the library once while it is remembered. Texts with a
+    blank inside a special string, and all texts of files with other rules, go through the library whole."""
 
     def __init__(self, spec: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,15 +54,24 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.memo: dict[str, bytes] = {"": b""}
+        model = json.loads(spec)
+        self.special = [t["content"] for t in model.get("added_tokens") or []]
+        self.by_words = (model.get("normalizer"), model.get("pre_tokenizer")) == (NORMALIZER, PRE_TOKENIZER) and not any(c.isspace() for s in self.special for c in s)
 
     def parts(self, stretch: str) -> tuple[str, str]:
-        """A stretch as a stem and marks behind it, which the pre-tokenizer always parts; ASCII stems in the lower case that the normaliser gives them."""
+        """A stretch as a stem and marks behind it, which the pre-tokenizer always parts; ASCII stems in the lower case that the normaliser gives them.
+
+        A stretch that may hold a special string, in this case or in another, stays as it is."""
+        if any(s[0] in stretch for s in self.special if s):
+            return stretch, ""
         stem = stretch.rstrip(MARKS)
         if not stem or not stem[-1].lower()[-1].isalpha():
             stem = stretch
         return stem.lower() if stem.isascii() else stem, stretch[len(stem) :]
 
     def encode(self, values: list[str]) -> list[bytes]:
+        if not self.by_words:
+            return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(values, add_special_tokens=False)]
         lists = [t.replace("\n", " ").split(" ") for t in values]
         missing = set().union(*lists).difference(self.memo)
         if len(self.memo) + len(missing) > MEMO_WORDS:
@@ -74,6 +96,7 @@ def _ids(spec: str) -> WordIds:
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """A row for each piece: key, piece, start, length, ids_crc32, with `ids` if asked for, and its task and rank there among equal lengths."""
+    no_clash(key, "piece", "start", "length", "ids_crc32", "task", "place", "ids", "rank", "before", "sequence_id", "offset")
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_text(tokenizer))  # a vocabulary file: a few MB at every input size
     kind = docs.schema[key].dataType.simpleString()
     end = np.array([END_ID], dtype="<u4").tobytes()

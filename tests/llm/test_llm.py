@@ -419,6 +419,19 @@ def test_packing(spark, empty):
     assert pack.pack_documents(empty, path).count() == 0
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_with_special_strings(name):
+    from tokenizers import Tokenizer
+
+    spec = token_count.tokenizer_text(P.path(name))
+    tokenizer, encoder, rng = Tokenizer.from_str(spec), pack.WordIds(spec), random.Random(9)
+    assert encoder.by_words == (name == "word_bpe_49k.json")
+    marks = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|STARTOFTEXT|>", "<|startoftext|>", "<|", "|>", "!", ".", " ", " ", "\n", "x", "Word", "É", "\u0301", "'S", "9"]
+    texts = ["<|ENDOFTEXT|>", "x<|EndOfText|>y", "<|STARTOFTEXT|>!", *("".join(rng.choice(marks) for _ in range(rng.randint(0, 25))) for _ in range(2000))]
+    for t, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_subset_sums():
     rng = random.Random(4)
     for _ in range(300):
@@ -458,6 +471,10 @@ def test_line_dedup(spark, empty):
     dropped = {(r.doc, r.n_dropped) for r in line_dedup.keep_bitmaps(docs).collect()}
     assert dropped == {(i, n) for i, _, n in brute if n}
     assert line_dedup.drop_lines(empty).count() == 0
+    clashing = docs.withColumnsRenamed({"lang": "doc", "source": "body", "n_words": "n_dropped"})
+    assert line_dedup.drop_lines(clashing).schema == clashing.schema and line_dedup.drop_lines(clashing).where("keep_bitmap = 'own' AND n_dropped = 7 AND doc = 'en'").count() == docs.count() - 1
+    with pytest.raises(ValueError):
+        line_dedup.drop_lines(docs.withColumn("doc_id", F.lit("x")))
 
 
 def test_line_runs_over_any_ranges():
