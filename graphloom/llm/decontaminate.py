@@ -1,6 +1,6 @@
 """Benchmark passages in documents, by a positional inverted index.
 
-The index is partitioned by document: a block holds some documents (about a million words, more only if one document
+The index is partitioned by document: a block holds some documents (about 250,000 words, more only if one document
 is longer) and, for each word that occurs there, the sorted positions at which the block has it. It knows nothing of any
 test set: `build_index` writes it once, and `search` can be asked about one test set after another. A search takes every
 window of the test items to every block: the postings of the window's rarest word there are moved by the word's offset,
@@ -22,7 +22,7 @@ read, so none can clash; the key may have any name but those of the columns that
 from __future__ import annotations
 
 from collections import defaultdict
-from itertools import chain, count
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_map, materialise, no_clash, table, texts
 
-WINDOW, SPAN, BLOCK_WORDS, MAX_BYTES, SEGMENT = 10, 12, 1_000_000, 8 << 20, 20_000
+WINDOW, SPAN, BLOCK_WORDS, MAX_BYTES, SEGMENT, SLICE = 10, 12, 250_000, 8 << 20, 20_000, 1 << 14
 NEAR = ("near", "near_items")
 _KEEP = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
 _FOLD = bytes((b + 32 if 0x41 <= b <= 0x5A else b if b in _KEEP else 0x20) for b in range(256))
@@ -150,13 +150,24 @@ class Block:
         return which, at
 
 
-def build_block(bodies: list[list[bytes]]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-    """(doc_ends, vocabulary, ends, positions) of documents given as words: word v has positions[ends[v - 1] : ends[v]]."""
-    numbers: dict[bytes, int] = defaultdict(count().__next__)
-    doc_ends = np.cumsum([len(b) for b in bodies], dtype=np.int64)
-    ids = np.fromiter(map(numbers.__getitem__, chain.from_iterable(bodies)), dtype=np.int32, count=int(doc_ends[-1]) if len(bodies) else 0)
-    ends = np.cumsum(np.bincount(ids, minlength=len(numbers)), dtype=np.int64)
-    return doc_ends, list(numbers), ends, np.argsort(ids, kind="stable").astype(np.int32)
+class BlockBuilder:
+    """Gathers documents of a block; of its words only the distinct ones are kept as such."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[bytes, int] = defaultdict(count().__next__)
+        self.bodies: list[np.ndarray] = []
+        self.n_words = 0
+
+    def add(self, words: list[bytes]) -> None:
+        self.bodies.append(np.fromiter(map(self.numbers.__getitem__, words), dtype=np.int32, count=len(words)))
+        self.n_words += len(words)
+
+    def build(self) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+        """(doc_ends, vocabulary, ends, positions): word v has positions[ends[v - 1] : ends[v]]."""
+        doc_ends = np.cumsum([len(b) for b in self.bodies], dtype=np.int64)
+        ids = np.concatenate(self.bodies)
+        ends = np.cumsum(np.bincount(ids, minlength=len(self.numbers)), dtype=np.int64)
+        return doc_ends, list(self.numbers), ends, np.argsort(ids, kind="stable").astype(np.int32)
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -164,10 +175,10 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", block_
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        ids, bodies, total, id_type = [], [], 0, None
+        ids, own, id_type = [], BlockBuilder(), None
 
         def block():
-            doc_ends, vocabulary, ends, positions = build_block(bodies)
+            doc_ends, vocabulary, ends, positions = own.build()
             arrays = [pa.array([ids], pa.list_(id_type)), pa.array([doc_ends.tolist()], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in (b" ".join(vocabulary), ends.tobytes(), positions.tobytes()))]
             return pa.RecordBatch.from_arrays(arrays, names=["ids", "doc_ends", "vocabulary", "ends", "positions"])
 
@@ -175,11 +186,10 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", block_
             id_type = batch.schema.field(0).type
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids.append(i)
-                bodies.append(words_of(t.as_py()))
-                total += len(bodies[-1])
-                if total >= block_words:
+                own.add(words_of(t.as_py()))
+                if own.n_words >= block_words:
                     yield block()
-                    ids, bodies, total = [], [], 0
+                    ids, own = [], BlockBuilder()
         if ids:
             yield block()
 
@@ -212,12 +222,14 @@ def search(index: DataFrame, windows, key: str = "doc_id", span: int | None = No
                 starts, docs = block.doc_starts, range(len(doc_ends))
                 change, exact, close = np.zeros(block.n_words + 1, dtype=np.int64), [], []
                 for group, item_ends, items in wanted.groups:
-                    which, start = block.phrases(group)
-                    np.add.at(change, start, 1)
-                    np.add.at(change, start + group.shape[1], -1)
-                    exact.append((which, start, item_ends, items))
-                    if span is not None:
-                        close.append((*block.near(group, span), item_ends, items))
+                    for low in range(0, len(group), SLICE):  # a bound on the arrays of one step
+                        which, start = block.phrases(group[low : low + SLICE])
+                        np.add.at(change, start, 1)
+                        np.add.at(change, start + group.shape[1], -1)
+                        exact.append((which + low, start, item_ends, items))
+                        if span is not None:
+                            which, place = block.near(group[low : low + SLICE], span)
+                            close.append((which + low, place, item_ends, items))
                 hit = np.cumsum(change)[:-1] > 0
                 before = np.concatenate([[0], np.cumsum(hit)])
                 n_hit = before[doc_ends] - before[starts]

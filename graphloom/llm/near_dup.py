@@ -49,7 +49,7 @@ BANDS, ROWS = 16, 4
 SLOTS, BLOCKS, STRENGTH, GRID = 1 << 20, 256, 0.25, 0.05
 LEVELS = 60
 #: Nodes and bytes of shingles of a chunk of a bucket.
-CHUNK, CHUNK_BYTES = 512, 8 << 20
+CHUNK, CHUNK_BYTES = 512, 4 << 20
 
 
 def shingles(text: str, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:

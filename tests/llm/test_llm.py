@@ -280,8 +280,10 @@ def test_empty_benchmark_and_documents(spark, empty):
 
 def test_proximity():
     w = decontaminate.Windows([("1", "a b c")])
-    doc_ends, vocabulary, ends, positions = decontaminate.build_block([decontaminate.words_of(t) for t in ("a x c b", "a x x x x b c", "b c", "a")])
-    block = decontaminate.Block(w.terms, doc_ends, vocabulary, ends, positions)
+    builder = decontaminate.BlockBuilder()
+    for t in ("a x c b", "a x x x x b c", "b c", "a"):
+        builder.add(decontaminate.words_of(t))
+    block = decontaminate.Block(w.terms, *builder.build())
     near = lambda span: {int(np.searchsorted(block.doc_ends, p, "right")) for p in block.near(w.groups[0][0], span)[1]}
     assert near(3) == {0} and near(6) == {0, 1} and near(1) == set()
 
