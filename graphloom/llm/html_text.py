@@ -3,14 +3,17 @@
 Pages are cut into text lines, one for each block, and each line knows whether it lies in an article and whether an
 element around it is a menu, a form, an advert or the like. Within a host, the pages' distinct (path, content) are put
 in order by a range partition; a page's mate is the one of its two neighbours whose path shares the longer beginning
-(the earlier one if they are level). The mates' lines are aligned by longest common subsequence and shared lines are
-deleted; so are lines in boilerplate elements. Lines of a page's article are never deleted for being shared: two pages
-may well quote the same paragraph, and copies of an article share it all. If a page has an article, that is its text.
-A mate with the very same lines is a copy and deletes nothing. Class and role words that mark boilerplate do not hide an
-article inside the marked element, unless another article lies outside of all such elements.
+(the earlier one if they are level). The mates' lines are aligned by longest common subsequence, and a line that both
+have is deleted from each. So are lines in boilerplate elements. One kind of line is never deleted for being shared: those
+of a page's article, for two pages may quote the same paragraph, and near copies of an article share almost all of it.
+All else stays, inside and outside of articles. A mate with the very same lines is a copy and deletes nothing. Class and
+role words that mark boilerplate do not hide an article inside the marked element, unless another article lies outside of
+all such elements; an article that is marked as a comment itself is one.
 
 Null and empty pages give an empty text; null URLs and URLs without `://` have an empty host and path. Pages without a
-mate keep what is not boilerplate. Repeated pages get equal texts. Pages of any length are read whole.
+mate keep what is not boilerplate. Repeated pages get equal texts, and ties between neighbours go to the earlier one.
+Pages of any length are read whole. An empty table gives no rows. Other columns of pages are not read, so none can clash;
+the key may have any name but `url` and `text`.
 """
 
 from __future__ import annotations
@@ -22,21 +25,23 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialise, table
+from .common import Scratch, arrow_map, materialise, no_clash, table
 from .url_filter import split_url
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Elements whose content is never text, elements that are boilerplate, blocks, and elements that never have an end (fixed values).
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "title", "head", "object", "canvas", "math", "video", "audio"}
+RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "title", "head", "object", "canvas", "video", "audio"}
 BOILER = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "header"}
 BLOCKS = set("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of class, id and role that mark boilerplate (fixed values).
 MARKS = re.compile(r"(?:^|[^a-z])(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|popup|modal|overlay|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side-bar|footer|masthead|contentinfo|complementary|search|comments?|disqus|respond|reply|replies|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|widget|pagination|pager|toolbar|skip-link)(?:[^a-z]|$)")
+#: Words that make an article a reader's comment (fixed values).
+COMMENTS = re.compile(r"(?:^|[^a-z])(?:comments?|disqus|respond|reply|replies)(?:[^a-z]|$)")
 #: An end tag closes open elements up to its own start, but not past these.
 CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 IN_ARTICLE, IS_BOILER = 1, 2
@@ -52,7 +57,7 @@ def page_lines(page: str) -> list[tuple[str, int]]:
     flags, pos = 0, 0
 
     def flush():
-        line = " ".join(entities.unescape("".join(buffer)).split()) if buffer else ""
+        line = " ".join("".join(buffer).split()) if buffer else ""
         if line:
             out.append((line, flags))
         buffer.clear()
@@ -60,13 +65,13 @@ def page_lines(page: str) -> list[tuple[str, int]]:
     while pos < len(page):
         m = _TAG.search(page, pos)
         if not m:
-            buffer.append(page[pos:])
+            buffer.append(entities.unescape(page[pos:]))
             break
         if m.start() > pos:
-            buffer.append(page[pos : m.start()])
+            buffer.append(entities.unescape(page[pos : m.start()]))
         pos = m.end()
         if m[1] is not None:
-            buffer.append(entities.escape(m[1], quote=False))
+            buffer.append(m[1])
             continue
         name = m[3] or m[6]
         if name is None:
@@ -95,9 +100,10 @@ def page_lines(page: str) -> list[tuple[str, int]]:
         stack.append((name, flags))
         if name == "article" or name == "main" or (name == "div" and "role" in attributes.lower() and re.search(r"role\s*=\s*[\"']?(?:main|article)\b", attributes, re.I)):
             flags |= IN_ARTICLE | (_HELD if flags & IS_BOILER and not flags & _BY_NAME else 0)
-        if name in BOILER and not (name == "header" and flags & IN_ARTICLE):
+        words = [x.lower() for found in _NAMES.findall(attributes) for x in found if x] if attributes else []
+        if (name in BOILER and not (name == "header" and flags & IN_ARTICLE)) or (name == "article" and any(map(COMMENTS.search, words))):
             flags = (flags | IS_BOILER | _BY_NAME) & ~_HELD
-        elif attributes and name not in ("html", "body", "article", "main") and any(MARKS.search(x.lower()) for found in _NAMES.findall(attributes) for x in found if x):
+        elif name not in ("html", "body", "article", "main") and any(map(MARKS.search, words)):
             flags = (flags | IS_BOILER) & ~_HELD
     flush()
     if not any(f & IN_ARTICLE and not f & IS_BOILER for _, f in out):
@@ -129,17 +135,14 @@ def common_lines(a: list, b: list) -> list[bool]:
 
 
 def deleted_lines(flags: bytes, own: list[int], mate: list[int] | None) -> list[int]:
-    """The numbers of the lines that a page loses for being shared with its mate, both given as hashes."""
-    if not mate or any(f & IN_ARTICLE and not f & IS_BOILER for f in flags):
+    """The numbers of the lines outside of articles that a page loses for being shared with its mate, both given as hashes."""
+    if not mate or own == mate:
         return []
-    return [] if own == mate else [i for i, s in enumerate(common_lines(own, mate)) if s]
+    return [i for i, (f, shared) in enumerate(zip(flags, common_lines(own, mate), strict=True)) if shared and not f & IN_ARTICLE]
 
 
 def main_text(lines: list[tuple[str, int]], deleted: list[int] | None) -> str:
-    """What stays of a page's lines without boilerplate and deleted ones: those of its article, or all if it has none."""
-    kept = [(x, f) for x, f in lines if not f & IS_BOILER]
-    if any(f & IN_ARTICLE for _, f in kept):
-        return "\n".join(x for x, f in kept if f & IN_ARTICLE)
+    """What stays of a page's lines without boilerplate and deleted ones."""
     gone = set(deleted or ())
     return "\n".join(x for i, (x, f) in enumerate(lines) if not f & IS_BOILER and i not in gone)
 
@@ -168,7 +171,7 @@ def keyed(pages: DataFrame, url: str, html: str, *columns) -> DataFrame:
     return pages.select(*columns, F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), F.xxhash64(body).alias("body"), body.alias("html"))
 
 
-def nearest(distinct: DataFrame) -> DataFrame:
+def nearest(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, path, digest, mate_path, mate_digest) of the pages that have a mate."""
     order = ["host", "path", "digest"]
 
@@ -194,16 +197,16 @@ def nearest(distinct: DataFrame) -> DataFrame:
     names = [*order, "task", "is_first", "is_last", "a_path", "a_digest", "b_path", "b_digest"]
     types = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.string(), pa.int64(), pa.string(), pa.int64()]
     ordered = distinct.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
-    near = materialise(arrow_map(ordered, neighbours, "host string, path string, digest long, task int, is_first boolean, is_last boolean, a_path string, a_digest long, b_path string, b_digest long"), "neighbours")
-    # a range's ends: at most two short rows for each task
-    ends = sorted(near.where("is_first OR is_last").select("task", "is_first", "is_last", *order).collect(), key=lambda r: (r.task, r.is_last))
-    fixes = []
-    for x, y in zip(ends, ends[1:], strict=False):
-        if x.is_last and y.is_first and x.task < y.task and x.host == y.host:
-            fixes += [(x.host, x.path, x.digest, None, None, y.path, y.digest), (y.host, y.path, y.digest, x.path, x.digest, None, None)]
-    fix = near.sparkSession.createDataFrame(fixes, "host string, path string, digest long, fa_path string, fa_digest long, fb_path string, fb_digest long")
-    fix = fix.groupBy(*order).agg(*(F.max(c).alias(c) for c in ("fa_path", "fa_digest", "fb_path", "fb_digest")))
-    whole = near.join(F.broadcast(fix), order, "left").select(*order, *(F.coalesce(c, f"f{c}").alias(c) for c in ("a_path", "a_digest", "b_path", "b_digest")))
+    near = scratch.put("neighbours", arrow_map(ordered, neighbours, "host string, path string, digest long, task int, is_first boolean, is_last boolean, a_path string, a_digest long, b_path string, b_digest long"))
+    # a range's ends: at most two short rows for each task, whose neighbours lie in the next or last range that has rows
+    ends = near.where("is_first OR is_last").select("task", "is_first", "is_last", *order)
+    own = near.select(*order, "task", "is_first", "is_last", *(F.col(c) for c in names[6:]))
+    by_task = Window.orderBy("task")
+    firsts = ends.where("is_first").select("task", *(F.lead(c).over(by_task).alias(f"next_{c}") for c in order))
+    lasts = ends.where("is_last").select("task", *(F.lag(c).over(by_task).alias(f"last_{c}") for c in order))
+    fixed = own.join(firsts.withColumn("is_last", F.lit(True)), ["task", "is_last"], "left").join(lasts.withColumn("is_first", F.lit(True)), ["task", "is_first"], "left")
+    side = lambda mine, other, c: F.coalesce(mine, F.when(F.col(f"{other}_host") == F.col("host"), F.col(f"{other}_{c}")))
+    whole = fixed.select(*order, *(side(f"{s}_{c}", other, c).alias(f"{s}_{c}") for s, other in (("a", "last"), ("b", "next")) for c in ("path", "digest")))
 
     def shared_start(x: str, y: str) -> int:
         n = min(len(x), len(y))
@@ -222,13 +225,13 @@ def nearest(distinct: DataFrame) -> DataFrame:
     return arrow_map(whole, choose, "host string, path string, digest long, mate_path string, mate_digest long").where("mate_digest IS NOT NULL")
 
 
-def lost_lines(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+def lost_lines(pages: DataFrame, url: str, html: str, scratch: Scratch) -> DataFrame:
     """(url, body, deleted): the pages that lose lines to their mate. Texts don't move: hashes of lines are compared."""
-    light = materialise(line_hashes(pages, url, html), "page-lines")
+    light = scratch.put("page-lines", line_hashes(pages, url, html))
     page = ["host", "path", "digest"]
-    distinct = materialise(light.groupBy(*page).agg(F.first("flags").alias("flags"), F.first("hashes").alias("hashes")), "distinct-pages")
+    distinct = scratch.put("distinct-pages", light.groupBy(*page).agg(F.first("flags").alias("flags"), F.first("hashes").alias("hashes")))
     lines = distinct.select("host", F.col("path").alias("mate_path"), F.col("digest").alias("mate_digest"), F.col("hashes").alias("mate"))
-    mates = nearest(distinct).join(lines, ["host", "mate_path", "mate_digest"]).select(*page, "mate")
+    mates = nearest(distinct, scratch).join(lines, ["host", "mate_path", "mate_digest"]).select(*page, "mate")
     pairs = distinct.join(mates, page).select(*page, "flags", "hashes", "mate")
 
     def run(batches):
@@ -243,8 +246,10 @@ def lost_lines(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
 def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """A row for each row of pages: key, url, text. Spark joins the lost lines by broadcast if their written table is small, else by sorting."""
+    no_clash(key, "url", "text")
     kind = pages.schema[key].dataType.simpleString()
-    lost = materialise(lost_lines(pages, url, html), "lost-lines")
+    with Scratch(pages.sparkSession) as scratch:
+        lost = materialise(lost_lines(pages, url, html, scratch), "lost-lines")
     whole = keyed(pages, url, html, F.col(key).alias("key"), F.col(url).cast("string").alias("own_url")).join(lost, ["url", "body"], "left").select("key", "own_url", "html", "deleted")
 
     def run(batches):

@@ -371,16 +371,64 @@ def test_differencing(spark):
         (7, None, None), (8, "", ""), (9, "http://other.com/b", "<p>unclosed <b>tag"), (10, "http://x.com", "<script>var a = '<p>no</p>'</script><!-- <p>no</p> --><p class='cookie-banner'>no</p><p>yes &lt;p&gt; &#233;&nbsp;x</p>"),
     ]
     got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
-    assert got == {1: "first text\nmore & more\nand even more", 2: "second text\nsomething else\nand a third", 3: "zzz\nyyy\nxxx", 4: "Site head\nalone\nAll rights", 5: "first text\nmore & more\nand even more", 6: "first text", 7: "", 8: "", 9: "unclosed tag", 10: "yes <p> é x"}
+    assert got == {1: "first text\nmore & more\nand even more", 2: "second text\nsomething else\nand a third", 3: "zzz\nyyy\nxxx", 4: "Site head\nalone\nAll rights", 5: "first text\nmore & more\nand even more", 6: "Site head\nfirst text", 7: "", 8: "", 9: "unclosed tag", 10: "yes <p> é x"}
 
 
 def test_thin_pages_and_marked_containers():
     menu, own = list(range(30)), [100, 101, 102]
     assert html_text.deleted_lines(bytes(33), menu + own, menu + [200]) == menu and html_text.deleted_lines(bytes(30), menu, menu) == []
+    assert html_text.deleted_lines(bytes([0, 1, 0]), [1, 2, 3], [1, 2, 4]) == [0]
     text = lambda page: html_text.main_text(html_text.page_lines(page), None)
     assert text('<div class="layout sidebar"><p>menu</p><article><p>text</p><div class="share">share</div></article></div>') == "text"
+    assert text('<div class="layout has-sidebar"><article><p>text</p></article></div>') == "text"
     assert text('<article><p>text</p></article><div class="comments"><article><p>remark</p></article></div>') == "text"
-    assert text('<nav><article>menu</article></nav><p>text</p>') == "text"
+    assert text('<article><p>text</p></article><article class="comment"><p>remark</p></article>') == "text"
+    assert text("<nav><article>menu</article></nav><p>text</p>") == "text"
+    assert text("<article><h1>teaser</h1></article><div><p>the text itself</p></div>") == "teaser\nthe text itself"
+    assert text("<article><p>where <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p></article>") == "where x=1 holds"
+    assert text("<p>Fish &am<b>p;</b> chips &amp; peas</p>") == "Fish &amp; chips & peas"
+
+
+def brute_texts(rows):
+    """The method page by page: mates by path order within a host, a plain table for the common subsequence."""
+    out, hosts = {}, collections.defaultdict(set)
+    parsed = {}
+    for i, u, page in rows:
+        host, path = url_filter.split_url(u or "")
+        lines = html_text.page_lines(page or "")
+        digest = np.array([html_text.xxhash.xxh3_64_intdigest(x.encode()) for x, _ in lines], dtype=np.uint64).tobytes() + bytes(f for _, f in lines)
+        parsed[i] = (host, path, int.from_bytes(html_text.xxhash.xxh3_64_digest(digest), "big", signed=True), lines)
+        hosts[host].add(parsed[i][1:3])
+    by_key = {(h, p, d): lines for h, p, d, lines in parsed.values()}
+    for i, (host, path, digest, lines) in parsed.items():
+        order = sorted(hosts[host], key=lambda x: (x[0].encode(), x[1]))
+        k = order.index((path, digest))
+        sides = [order[j] for j in (k - 1, k + 1) if 0 <= j < len(order) and order[j][1] != digest]
+        best = max(sides, key=lambda x: (len(os.path.commonprefix([path, x[0]])), -sides.index(x)), default=None)
+        own, gone = [x for x, _ in lines], set()
+        if best:
+            mate = [x for x, _ in by_key[host, *best]]
+            if mate != own:
+                gone = {n for n, shared in enumerate(html_text.common_lines(own, mate)) if shared and not lines[n][1] & html_text.IN_ARTICLE}
+        out[i] = "\n".join(x for n, (x, f) in enumerate(lines) if n not in gone and not f & html_text.IS_BOILER)
+    return out
+
+
+def test_differencing_against_brute_force(spark):
+    rng = random.Random(12)
+    frame = [f"site line {i}" for i in range(8)]
+    rows = []
+    for i in range(120):
+        own = [f"own line {rng.randrange(60)}" for _ in range(rng.randint(0, 6))]
+        body = "".join(f"<div>{x}</div>" for x in rng.sample(frame, rng.randint(2, 8))) + "".join(f"<p>{x}</p>" for x in own)
+        article = f"<article><p>{rng.choice(frame)}</p><p>text {i}</p></article>" if i % 3 else ""
+        rows.append((i, f"http://h{rng.randrange(4)}.com/{rng.choice('abc')}/{rng.randrange(20)}", body + article + "<div>the end</div>"))
+    rows.append((120, *rows[0][1:]))
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string").repartition(7)
+    got = {r.page_id: r.text for r in html_text.extract_text(pages).collect()}
+    assert got == brute_texts(rows)
+    plain = {i: html_text.main_text(html_text.page_lines(page), None) for i, _, page in rows}
+    assert sum(got[i] != plain[i] for i in got) > 60, "the method decides pages with and without an article"
 
 
 def test_op6_on_pages(spark, small):
