@@ -22,10 +22,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    """Vertex and edge tables as projections; nothing is read before a query runs."""
+def graph(spark: SparkSession, sf_dir: str, of: Model | None = None) -> PropertyGraph:
+    """Vertex and edge tables as projections, bound to the model or to one that adds to it; nothing is read before a query runs."""
     t = {n: read(spark, sf_dir, n) for n in "region nation customer supplier part orders lineitem documents labels events embeddings conversations".split()}
-    m = model()
+    m = of or model()
     documents = t["documents"].join(t["labels"].select("doc_id", "quality", "toxic"), "doc_id", "left")
     documents = documents.withColumns({"text_length": F.length("text").cast("long"), "english": F.when(F.col("lang") == "en", True)})
     events = t["events"].withColumn("_more", F.from_json("props", "map<string,string>"))

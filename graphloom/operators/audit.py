@@ -68,7 +68,7 @@ class AuditPlan:
         return frame(graph, check.table).where(check.predicate())
 
     def split(self, graph: PropertyGraph, node: str) -> tuple[DataFrame, DataFrame]:
-        """(good, quarantined) rows of a node table by its row checks, and by its key: of rows with one key the first by all columns is good.
+        """(good, quarantined) rows of a node table by its row checks, and by its key: of rows with one whole key the first by all columns is good.
 
         Quarantined rows carry `_failed`, the labels of what they break. A null predicate counts as kept."""
         df, checks = graph.vertices[node], [c for c in self.checks if c.table == (node,) and c.predicate is not None and c.severity == "violation"]
@@ -79,7 +79,10 @@ class AuditPlan:
             from pyspark.sql import Window
 
             rank = F.row_number().over(Window.partitionBy(*key).orderBy(*(F.col(c) for c in df.columns if c in self.model.schema(node).names)))
-            marked = marked.withColumn("_rank", rank).withColumn("_failed", F.when(F.col("_rank") > 1, F.array_append("_failed", F.lit(f"{node} key ({', '.join(key)})"))).otherwise(F.col("_failed"))).drop("_rank")
+            # a row without a whole key repeats nothing and is not gathered with others
+            whole = reduce(lambda a, b: a & b, [F.col(f"`{k}`").isNotNull() for k in key])
+            ranked = marked.where(whole).withColumn("_failed", F.when(rank > 1, F.array_append("_failed", F.lit(f"{node} key ({', '.join(key)})"))).otherwise(F.col("_failed")))
+            marked = ranked.unionByName(marked.where(~whole))
         return marked.where(F.size("_failed") == 0).drop("_failed"), marked.where(F.size("_failed") > 0)
 
 

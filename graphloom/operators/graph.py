@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.model import EdgeType, Model
@@ -45,6 +45,21 @@ def edge_tables(model: Model) -> list[tuple[str, str, str, str]]:
     return out
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for checkpoints; on a local master without spark.checkpoint.dir a temporary one."""
+    found = spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            import tempfile
+
+            found = tempfile.mkdtemp(prefix="graphloom-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
 class PropertyGraph:
     """vertices: a DataFrame for each concrete node type; edges: one for each (edge, source type, target type)."""
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.patterns import NodePattern, RelPattern, parse_pattern
-from .graph import PropertyGraph, endpoint_columns
+from .graph import PropertyGraph, checkpoint_folder, endpoint_columns
 
 
 def _types(graph: PropertyGraph, node: NodePattern) -> list[str]:
@@ -112,10 +112,7 @@ def reachable(graph: PropertyGraph, edge: str, most: int | None = None) -> DataF
         raise ValueError("the edge must lead back to its own type")
     src, dst = endpoint_columns(graph.model, graph.model.edge(edge), key[1], key[2])
     spark = graph.edges[key].sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
+    checkpoint_folder(spark)
     edges = graph.edges[key].select(*src, *dst).distinct().checkpoint()
     known = new = edges.withColumn("hops", F.lit(1)).checkpoint()
     hops = 1

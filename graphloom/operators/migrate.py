@@ -146,6 +146,64 @@ def lost_values(graph: PropertyGraph, after: Model) -> DataFrame:
     return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], "table string, column string, lost long")
 
 
+def populations(graph: PropertyGraph, wanted: set[tuple[str, str]]) -> DataFrame:
+    """(element, name, n) of the wanted (element, name): rows of node and edge types, set values of properties named owner.property. Descendants count too; a table is scanned once, for the columns asked for."""
+    model, parts = graph.model, []
+
+    def counted(df: DataFrame, asked: list[tuple[str, str, str | None]]) -> None:
+        if asked:
+            row = df.agg(*((F.count(F.lit(1)) if c is None else F.count(F.col(f"`{c}`"))).alias(f"n{i}") for i, (_, _, c) in enumerate(asked)))
+            parts.append(row.select(F.inline(F.array(*(F.struct(F.lit(e).alias("element"), F.lit(name).alias("name"), F.col(f"n{i}").alias("n")) for i, (e, name, _) in enumerate(asked))))))
+
+    for name, df in graph.vertices.items():
+        node = model.node(name)
+        owners = (name, *node.ancestors)
+        counted(df, [("node", o, None) for o in owners if ("node", o) in wanted] + [("property", f"{o}.{p.name}", p.name) for o in owners for p in node.props if ("property", f"{o}.{p.name}") in wanted and p.name in df.columns])
+    for key, df in graph.edges.items():
+        counted(df, [("edge", key[0], None)] * (("edge", key[0]) in wanted) + [("property", f"{key[0]}.{p.name}", p.name) for p in model.edge(key[0]).props if ("property", f"{key[0]}.{p.name}") in wanted and p.name in df.columns])
+    spark = next(iter((graph.vertices | graph.edges).values())).sparkSession
+    return reduce(DataFrame.unionByName, parts).groupBy("element", "name").agg(F.sum("n").alias("n")) if parts else spark.createDataFrame([], "element string, name string, n long")
+
+
+def concerned(before: Model, change: Change) -> list[tuple[str, str]]:
+    """The (element, name) of the older revision whose rows or values a change concerns."""
+    if change.element in ("node", "edge"):
+        return [(change.element, x.name) for x in (*before.nodes, *before.edges) if x.id == change.id]
+    owned = [(o.name, p) for o in (*before.nodes, *before.edges) for p in o.props]
+    if change.element == "enum":
+        name = next((x.name for x in before.enums if x.id == change.id), None)
+        return [("property", f"{o}.{p.name}") for o, p in owned if name and p.enum == name and not p.inherited_from]
+    if change.element == "constraint":
+        return [("node", x.name) for x in before.nodes if any(c.id == change.id for c in x.constraints)]
+    if change.element == "mixin":
+        name = next((x.name for x in before.mixins if x.id == change.id), None)
+        return [("node", x.name) for x in before.nodes if name in x.mixins]
+    if change.element == "property" and change.kind == "added":  # the rows that have no value yet
+        owner = change.label.removeprefix("property ").rpartition(".")[0]
+        return [("node" if before.node(owner) else "edge", owner)] if before.node(owner) or before.edge(owner) else []
+    return [("property", f"{o}.{p.name}") for o, p in owned if p.id == change.id and not p.inherited_from]
+
+
+def change_impact(graph: PropertyGraph, after: Model) -> DataFrame:
+    """(class, label, detail, affected) of the changes to a next revision: how many rows, or set values of a property, each concerns now."""
+    changes = diff_models(graph.model, after)
+    reach = [(i, *x) for i, c in enumerate(changes) for x in concerned(graph.model, c)]
+    spark = next(iter((graph.vertices | graph.edges).values())).sparkSession
+    said = spark.createDataFrame([(i, c.change_class, c.label, c.detail) for i, c in enumerate(changes)], "i int, class string, label string, detail string")
+    own = spark.createDataFrame(reach, "i int, element string, name string").join(populations(graph, {x[1:] for x in reach}), ["element", "name"])
+    return said.join(own.groupBy("i").agg(F.sum("n").alias("n")), "i", "left").select("class", "label", "detail", F.coalesce("n", F.lit(0)).cast("long").alias("affected"))
+
+
+def step_impact(graph: PropertyGraph, after: Model) -> DataFrame:
+    """(place, kind, on_, old, new, affected) of the data steps to a next revision: the rows, or the set values of a renamed property, that each rewrites."""
+    steps = data_steps(graph.model, after)
+    element = lambda s: ("property", f"{s.on}.{s.old}") if s.kind.startswith("rename-") else ("edge" if s.kind.endswith("edges") else "node", s.on)
+    rows = [(i, s.kind, s.on, s.old, s.new, *element(s)) for i, s in enumerate(steps)]
+    spark = next(iter((graph.vertices | graph.edges).values())).sparkSession
+    said = spark.createDataFrame(rows, "place int, kind string, on_ string, old string, new string, element string, name string")
+    return said.join(populations(graph, {r[5:] for r in rows}), ["element", "name"], "left").select("place", "kind", "on_", "old", "new", F.coalesce("n", F.lit(0)).cast("long").alias("affected"))
+
+
 @dataclass
 class MigrationPlan:
     changes: list[Change]

@@ -2,11 +2,12 @@
 
 import duckdb
 import pytest
+from harbour import HARBOUR
 from hypothesis import given
 from hypothesis import strategies as st
 
 from graphloom.functions.types import ALIASES, parse_type, spark_type
-from graphloom.models import shop, warehouse
+from graphloom.models import warehouse
 from graphloom.plans.diff import at_least, classify, diff_models, strongest
 from graphloom.plans.ids import derive_id, fnv1a
 from graphloom.plans.lint import lint_query
@@ -126,7 +127,7 @@ def test_imports_and_inheritance():
     assert "sealed-import" in [d.code for d in resolve_model("d/app.yaml", files.get)[1]]
 
 
-@pytest.mark.parametrize("m", [warehouse.model(), model_of(shop.BASE)])
+@pytest.mark.parametrize("m", [warehouse.model(), model_of(HARBOUR)])
 def test_round_trips(m):
     assert same(model_of(serialize_model(m)), m)
     back, revision, said = read_lockfile(write_lockfile(m, 4))
@@ -136,26 +137,21 @@ def test_round_trips(m):
 def test_lockfile_errors():
     assert read_lockfile("{}")[2][0].code == "malformed-lockfile"
     assert {d.code for d in ids_not_written(model_of(SPACE + "nodes: { A: { abstract: true } }"))} == {"ids-not-written"}
-    assert not ids_not_written(model_of(shop.BASE))
-
-
-@pytest.mark.parametrize("name", shop.EDITS)
-def test_diff(name):
-    assert [(c.change_class, c.label, c.detail) for c in diff_models(*shop.revisions(name))] == shop.EDITS[name][1]
+    assert not ids_not_written(model_of(HARBOUR))
 
 
 def test_classes():
     assert classify("added", "loosens") == "additive" and classify("retyped", "unknown") == "breaking" and classify("moved", "tightens") == "additive" and classify("renamed", "loses-data") == "destructive"
     assert strongest(["loosens", "unknown", "tightens"]) == "unknown" and at_least("breaking", "additive") and not at_least("additive", "breaking")
-    a = model_of(shop.BASE)
+    a = model_of(HARBOUR)
     assert diff_models(a, a) == []
-    kinds = {c.kind: c.change_class for c in diff_models(a, a.edit_node("Car", open=True).edit_node("Person", abstract=True).edit_node("Company", extends=None, iri="https://q"))}
+    kinds = {c.kind: c.change_class for c in diff_models(a, a.edit_node("Ship", open=True).edit_node("Berth", abstract=True).edit_node("Yard", extends=None, iri="https://q"))}
     assert kinds == {"openness-changed": "additive", "abstract-changed": "destructive", "hierarchy-changed": "breaking", "iri-changed": "breaking"}
 
 
 @pytest.mark.parametrize("target", TARGETS)
 def test_targets(target):
-    for m in (warehouse.model(), model_of(shop.BASE)):
+    for m in (warehouse.model(), model_of(HARBOUR)):
         made = emit(m, target)
         assert made.content and set(TARGETS[target].capabilities) == set(FEATURES)
 
@@ -183,34 +179,34 @@ def test_plugins():
 
 
 def lint(q):
-    return [d.code for d in lint_query(model_of(shop.BASE), q)]
+    return [d.code for d in lint_query(model_of(HARBOUR), q)]
 
 
 @pytest.mark.parametrize(
     ("query", "found"),
     [
-        ("MATCH (p:Persn) RETURN p", ["lint-unknown-label"]),
-        ("MATCH (p:Person)-[:NOWS]->(q) RETURN p", ["lint-unknown-edge"]),
-        ("MATCH (c:Car)-[:OWNS]->(p:Party) RETURN c", ["lint-edge-direction"]),
-        ("MATCH (c:Car)-[:KNOWS]->(p:Person) RETURN c", ["lint-edge-endpoint"]),
-        ("MATCH (p:Person) WHERE p.mail = 'x' RETURN p", ["lint-unknown-property"]),
-        ("MATCH (p:Person {mail: 'x'}) RETURN p", ["lint-unknown-property"]),
-        ("MATCH (c:Car) WHERE c.seats = 'four' RETURN c", ["lint-type-mismatch"]),
-        ("MATCH (c:Car) WHERE 'four' = c.seats RETURN c", ["lint-type-mismatch"]),
-        ("MATCH (c:Car {status: 'sold'}) RETURN c", ["lint-enum-value"]),
-        ("MATCH (p:Person) RETURN 'open", ["lint-unreadable"]),
-        ("MATCH (p:Persn) RETURN p; MATCH (q:Gone RETURN 'x", ["lint-unreadable", "lint-unknown-label"]),
+        ("MATCH (s:Shp) RETURN s", ["lint-unknown-label"]),
+        ("MATCH (s:Ship)-[:TOWED]->(t) RETURN s", ["lint-unknown-edge"]),
+        ("MATCH (b:Berth)-[:CALLS_AT]->(s:Ship) RETURN b", ["lint-edge-direction"]),
+        ("MATCH (y:Yard)-[:TOWS]->(s:Ship) RETURN y", ["lint-edge-endpoint"]),
+        ("MATCH (s:Ship) WHERE s.sign = 'x' RETURN s", ["lint-unknown-property"]),
+        ("MATCH (s:Ship {sign: 'x'}) RETURN s", ["lint-unknown-property"]),
+        ("MATCH (b:Berth) WHERE b.metres = 'long' RETURN b", ["lint-type-mismatch"]),
+        ("MATCH (b:Berth) WHERE 'long' = b.metres RETURN b", ["lint-type-mismatch"]),
+        ("MATCH (s:Ship {flag: 'genoa'}) RETURN s", ["lint-enum-value"]),
+        ("MATCH (s:Ship) RETURN 'open", ["lint-unreadable"]),
+        ("MATCH (s:Shp) RETURN s; MATCH (t:Gone RETURN 'x", ["lint-unreadable", "lint-unknown-label"]),
         # and what must stay quiet
-        ("MATCH (p:Person)-[r:OWNS {since: date()}]->(c:Car) WHERE p.email = $mail AND r.since > 3 RETURN c.vin AS v", []),
-        ("MATCH (p:Party) RETURN p.email", []),
-        ("MATCH (p:Person:Party) WHERE p.id IN ['a'] RETURN count(p)", []),
+        ("MATCH (s:Ship)-[c:CALLS_AT {eta: date()}]->(p:Place) WHERE s.callSign = $sign AND c.eta > 3 RETURN p.code AS v", []),
+        ("MATCH (p:Place) RETURN p.metres", []),
+        ("MATCH (b:Berth:Place) WHERE b.code IN ['a'] RETURN count(b)", []),
         ("MATCH (n) WHERE n.whatever = 3 RETURN n", []),
-        ("MATCH (c:Car)<-[:OWNS]-(p:Company) RETURN p.vat", []),
-        ("MATCH (p:Person)-[:KNOWS*1..3]->(c) RETURN c", []),
-        ("MATCH (p:Person|Company) RETURN p.zzz", []),
-        ("MATCH (p:Person) WITH p.email AS p RETURN p.zzz", []),
-        ("MATCH (c:Car) WHERE c.seats = -4 // c:Nope.x\nRETURN c", []),
-        ("MATCH (p:Person) WHERE p.email = 'a:b (c:Nope)' RETURN p", []),
+        ("MATCH (y:Yard)<-[:CALLS_AT]-(s:Ship) RETURN y.owner", []),
+        ("MATCH (s:Ship)-[:TOWS*1..3]->(t) RETURN t", []),
+        ("MATCH (p:Berth|Yard) RETURN p.zzz", []),
+        ("MATCH (s:Ship) WITH s.callSign AS s RETURN s.zzz", []),
+        ("MATCH (b:Berth) WHERE b.metres = -4 // b:Nope.x\nRETURN b", []),
+        ("MATCH (s:Ship) WHERE s.callSign = 'a:b (s:Nope)' RETURN s", []),
     ],
 )
 def test_lint(query, found):
@@ -226,11 +222,11 @@ def test_patterns():
 
 
 def test_views():
-    m = model_of(shop.BASE)
-    v = parse_views("views: { all: { include: '*' }, cars: { include: [Car], expand: 1 }, odd: 3 }")
-    assert v == [View("all", ("*",)), View("cars", ("Car",), 1)]
-    assert {n.name for n in project_view(m, v[1]).nodes} == {"Car", "Asset", "Party"} and [e.name for e in project_view(m, v[1]).edges] == ["OWNS"]
-    assert {d.target for d in types_in_no_view(m, v[1:])} == {"Person", "Company"} and not types_in_no_view(m, v)
+    m = model_of(HARBOUR)
+    v = parse_views("views: { all: { include: '*' }, ships: { include: [Ship], expand: 1 }, odd: 3 }")
+    assert v == [View("all", ("*",)), View("ships", ("Ship",), 1)]
+    assert {n.name for n in project_view(m, v[1]).nodes} == {"Ship", "Craft", "Place"} and {e.name for e in project_view(m, v[1]).edges} == {"CALLS_AT", "TOWS"}
+    assert {d.target for d in types_in_no_view(m, v[1:])} == {"Berth", "Yard"} and not types_in_no_view(m, v)
 
 
 def test_sql_import():
@@ -256,14 +252,14 @@ def test_command_line(tmp_path, capsys):
     from graphloom.__main__ import main
 
     model, lock, query = tmp_path / "m.yaml", tmp_path / "m.lock", tmp_path / "q.cypher"
-    model.write_text(shop.BASE)
+    model.write_text(HARBOUR)
     assert main(["check", str(model)]) == 0 and main(["ids", str(model)]) == 0 and main(["lock", str(model), "--lockfile", str(lock)]) == 0
-    model.write_text(shop.EDITS["rename_edge"][0](shop.BASE))
-    assert main(["diff", str(model), "--lockfile", str(lock)]) == 0 and "renamed from 'KNOWS'" in capsys.readouterr().out
+    model.write_text(HARBOUR.replace("TOWS", "PULLS"))
+    assert main(["diff", str(model), "--lockfile", str(lock)]) == 0 and "renamed from 'TOWS'" in capsys.readouterr().out
     assert main(["diff", str(model), "--lockfile", str(lock), "--fail-on", "breaking"]) == 1
-    assert main(["migrate", str(model), "--lockfile", str(lock)]) == 0 and "retype-edges KNOWS" in capsys.readouterr().out
-    query.write_text("MATCH (p:Nobody) RETURN p")
-    assert main(["lint-queries", str(model), str(query)]) == 1 and main(["emit", str(model), "--target", "gql"]) == 0 and main(["targets"]) == 0 and main(["describe", str(model), "Car"]) == 0
+    assert main(["migrate", str(model), "--lockfile", str(lock)]) == 0 and "retype-edges TOWS" in capsys.readouterr().out
+    query.write_text("MATCH (s:Nobody) RETURN s")
+    assert main(["lint-queries", str(model), str(query)]) == 1 and main(["emit", str(model), "--target", "gql"]) == 0 and main(["targets"]) == 0 and main(["describe", str(model), "Ship"]) == 0
     model.write_text("nodes: 3")
     assert main(["check", str(model)]) == 1
 
@@ -271,18 +267,18 @@ def test_command_line(tmp_path, capsys):
 def test_importers_read_what_the_targets_write():
     from graphloom.sources.importers import import_texts, register_importer
 
-    m = model_of(shop.BASE)
+    m = model_of(HARBOUR)
     tables, said = import_texts({"a.cypher": emit(m, "ladybug").content})
-    assert {n.name for n in tables.concrete()} == {"Car", "Company", "Person"} and tables.node("Car").key == ("vin",) and tables.edge("KNOWS").source == "Person"
-    assert tables.node(tables.edge("OWNS").source).abstract and {d.code for d in said} == {"import-union"}
+    assert {n.name for n in tables.concrete()} == {"Ship", "Berth", "Yard"} and tables.node("Ship").key == ("imo",) and tables.edge("TOWS").source == "Ship"
+    assert tables.node(tables.edge("CALLS_AT").target).abstract and {d.code for d in said} == {"import-union"}
     shapes, _ = import_texts({"a.ttl": emit(m, "shacl").content + emit(m, "owl").content})
-    assert {n.name: n.extends for n in shapes.nodes} == {"Asset": None, "Car": "Asset", "Company": "Party", "Party": None, "Person": "Party"}
-    assert shapes.node("Person").key == ("id",) and shapes.edge("KNOWS").target == "Person" and shapes.edge("OWNS").source == "Party" and [p.name for p in shapes.edge("OWNS").props] == ["since"]
-    assert shapes.enum(shapes.node("Car").prop("status").enum).values == ("active", "retired") and str(shapes.node("Car").prop("seats").type) == "int"
+    assert {n.name: n.extends for n in shapes.nodes} == {"Craft": None, "Ship": "Craft", "Berth": "Place", "Yard": "Place", "Place": None}
+    assert shapes.node("Berth").key == ("code",) and shapes.edge("TOWS").target == "Ship" and shapes.edge("CALLS_AT").target == "Place" and [p.name for p in shapes.edge("CALLS_AT").props] == ["eta"]
+    assert shapes.enum(shapes.node("Ship").prop("flag").enum).values == ("malta", "oslo", "panama") and str(shapes.node("Berth").prop("metres").type) == "int"
     both, _ = import_texts({"a.ttl": emit(m, "shacl").content, "b.cypher": emit(m, "ladybug").content})
-    assert both.node("Car").key == ("vin",)
+    assert both.node("Ship").key == ("imo",)
     notes, _ = import_texts({"a.md": emit(m, "tgs").content})
-    assert {n.name for n in notes.concrete()} == {"Car", "Company", "Person"} and notes.edge("OWNS").source == "Party"
+    assert {n.name for n in notes.concrete()} == {"Ship", "Berth", "Yard"} and notes.edge("CALLS_AT").target == "Place"
     assert import_texts({"a.sql": "CREATE TABLE a (b int);", "b.md": ""})[1][0].code == "import-mixed" and import_texts({"x": "?"})[1][0].code == "import-format"
     register_importer("mine", lambda t: (m, []), (".mine",))
     assert import_texts({"x.mine": ""})[0] is m
