@@ -15,13 +15,13 @@ from graphloom.llm.decontaminate import drop_contaminated
 from graphloom.llm.line_dedup import drop_lines
 from graphloom.llm.near_dup import drop_near_duplicates
 from graphloom.llm.pack import packed
-from graphloom.llm.quality import THRESHOLD, train, with_scores
+from graphloom.llm.quality import METADATA, THRESHOLD, train, with_scores
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the threshold; null and empty texts have a score like all others, and repeated rows are judged alike."""
     score = free_name(docs, "score")
-    scored = with_scores(docs, train(docs, table(spark, sf_dir, "labels")), column=score)
+    scored = with_scores(docs, train(docs, table(spark, sf_dir, "labels"), metadata=tuple(m for m in METADATA if m in docs.columns)), column=score)
     return scored.where(F.col(score) >= THRESHOLD).drop(score)
 
 

@@ -1,18 +1,22 @@
 """A factorisation machine for text quality.
 
-Inputs are hashed words, weighted by their share of the text, and structure statistics of the text, each put into one
-of a few bins. The score is logistic: a bias, a weight for each input and low-rank pairwise interactions, summed in
+Inputs are hashed words, weighted by their share of the text, structure statistics of the text, each put into one of a few
+bins, and metadata: named columns of the documents, numbers put into bins of equal ratio and other values hashed, a null
+being a value of its own. The score is logistic: a bias, a weight for each input and low-rank pairwise interactions, summed in
 linear time as half of (sum squared less sum of squares) in each factor.
 
 The model is fitted on the driver by Adagrad on at most `max_train` labelled documents, those with the smallest hash
 of their id; nothing else is bounded. Without labels of both kinds all scores are the labels' mean (0.5 without any).
-Labels, language, source and id are never inputs of a score. Null texts count as empty, and empty texts have
-statistics too. Rows with a null label are not learnt from; rows that are repeated are scored one by one.
+Metadata are what the caller names; op9 and the pipeline take n_chars alone, for labels, language, source and id may not
+be inputs there. Null texts count as empty, and empty texts have statistics too. Rows with a null label are not learnt
+from; rows that are repeated are scored one by one. Rows whose ids' hashes tie are taken by id and label. An empty table
+gives no rows. A column of docs with the score's name is replaced.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +29,8 @@ from .decontaminate import words_of
 WORD_BITS, BINS, RANK, MAX_TRAIN, THRESHOLD = 15, 16, 8, 6000, 0.7
 _UPPER, _DIGITS = bytes(range(0x41, 0x5B)), bytes(range(0x30, 0x3A))
 _MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) not in ".,'\"-")
-STATISTICS = 12
+STATISTICS, META_SLOTS = 12, 1 << 10
+METADATA = ("n_chars",)
 
 
 def statistics(text: str, words: list[bytes]) -> list[float]:
@@ -42,11 +47,19 @@ def statistics(text: str, words: list[bytes]) -> list[float]:
     ]
 
 
-def inputs(text: str, word_bits: int = WORD_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(numbers, values) of a text's inputs; never empty."""
+def meta_slot(name: str, value) -> int:
+    """The place of a metadata value: numbers that differ by less than a fifth share one."""
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        value = f"{'-' if value < 0 else ''}{int(np.log1p(min(abs(value), 1e300)) * 5)}" if value == value else "nan"
+    return zlib.crc32(f"{name}={value}".encode("utf-8", "surrogatepass")) % META_SLOTS
+
+
+def inputs(text: str, word_bits: int = WORD_BITS, metadata: Iterable[tuple[str, object]] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, values) of a document's inputs; never empty."""
     words = words_of(text)
     base = 1 << word_bits
     bins = [base + k * (BINS + 1) + (0 if v <= 0 else 1 + min(BINS - 1, int(np.sqrt(v) * BINS))) for k, v in enumerate(statistics(text, words))]
+    bins += sorted({base + STATISTICS * (BINS + 1) + meta_slot(name, value) for name, value in metadata})
     buckets, counts = np.unique(np.fromiter(map(zlib.crc32, words), dtype=np.uint32, count=len(words)) & (base - 1), return_counts=True)
     values = counts / np.sqrt(np.square(counts, dtype=np.float64).sum()) if len(counts) else np.zeros(0)
     return np.concatenate([bins, buckets]).astype(np.int64), np.concatenate([np.full(len(bins), 0.5), values])
@@ -55,7 +68,8 @@ def inputs(text: str, word_bits: int = WORD_BITS) -> tuple[np.ndarray, np.ndarra
 class FactorisationMachine:
     def __init__(self, word_bits: int = WORD_BITS, rank: int = RANK, seed: int = 7) -> None:
         self.word_bits = word_bits
-        size = (1 << word_bits) + STATISTICS * (BINS + 1)
+        size = (1 << word_bits) + STATISTICS * (BINS + 1) + META_SLOTS
+        self.metadata: tuple[str, ...] = ()
         self.bias, self.weights = 0.0, np.zeros(size)
         self.factors = np.random.default_rng(seed).normal(0, 0.05, (size, rank))
 
@@ -107,34 +121,38 @@ def remainder(key: str):
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(4))
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_train: int = MAX_TRAIN) -> FactorisationMachine:
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_train: int = MAX_TRAIN, metadata: tuple[str, ...] = ()) -> FactorisationMachine:
     """Fit on the labelled rows whose remainder is not 2; at most max_train of them, by the hash of their id."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & (remainder(key) != 2)).select(F.col(key).alias("__key"), F.col(label).cast("double").alias("label"))
     chosen = known.orderBy(F.xxhash64("__key"), "__key", "label").limit(max_train)  # at most max_train short rows: small at every input size
-    joined = docs.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "__key").select("__key", "text", "label")
+    joined = docs.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("text"), *(F.col(m).alias(f"m{i}") for i, m in enumerate(metadata))).join(F.broadcast(chosen), "__key").select("__key", "text", "label", *(f"m{i}" for i in range(len(metadata))))
 
     def run(batches):
         for batch in batches:
-            rows = [inputs(t) for t in batch.column(1).to_pylist()]
+            rows = [inputs(t, metadata=zip(metadata, more, strict=True)) for t, *more in zip(*(batch.column(i).to_pylist() for i in (1, *range(3, 3 + len(metadata)))), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r[0].astype(np.int32).tobytes() for r in rows], pa.binary()), pa.array([r[1].astype(np.float32).tobytes() for r in rows], pa.binary())], names=["k", "label", "numbers", "values"])
 
     kind = docs.schema[key].dataType.simpleString()
     got = arrow_map(joined, run, f"k {kind}, label double, numbers binary, `values` binary").collect()  # max_train rows of inputs
     got.sort(key=lambda r: (zlib.crc32(str(r.k).encode()), str(r.k), r.label, bytes(r.numbers)))
     rows = [(np.frombuffer(r.numbers, np.int32).astype(np.int64), np.frombuffer(r[3], np.float32).astype(np.float64)) for r in got]
-    return FactorisationMachine().fit(rows, np.array([r.label for r in got]))
+    model = FactorisationMachine().fit(rows, np.array([r.label for r in got]))
+    model.metadata = tuple(metadata)
+    return model
 
 
 def with_scores(docs: DataFrame, model: FactorisationMachine, text: str = "text", column: str = "quality_score") -> DataFrame:
     """docs with a score from 0 to 1; one pass, no shuffle. A column of docs with that name is replaced."""
+    if column in model.metadata:
+        raise ValueError(f"{column} is an input of the score")
     docs = docs.drop(column)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size
-    at, names = docs.columns.index(text), [*docs.columns, column]
+    at, names = [docs.columns.index(c) for c in (text, *model.metadata)], [*docs.columns, column]
 
     def run(batches):
         fm = sent.value
         for batch in batches:
-            scores = fm.score([inputs(t or "", fm.word_bits) for t in batch.column(at).to_pylist()])
+            scores = fm.score([inputs(t or "", fm.word_bits, zip(fm.metadata, more, strict=True)) for t, *more in zip(*(batch.column(i).to_pylist() for i in at), strict=True)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -143,6 +161,6 @@ def with_scores(docs: DataFrame, model: FactorisationMachine, text: str = "text"
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = train(docs, table(spark, sf_dir, "labels"))
-    scored = with_scores(texts(docs, "doc_id"), model, column="score")
+    model = train(docs, table(spark, sf_dir, "labels"), metadata=METADATA)
+    scored = with_scores(texts(docs, "doc_id", *METADATA), model, column="score")
     return scored.select("doc_id", (remainder("doc_id") == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

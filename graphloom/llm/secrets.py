@@ -10,24 +10,30 @@ then written out as one SQL expression, so that scoring is part of the query's g
 prefixes; digests, identifiers, numbers, dates, paths and placeholders as false positives); any table of findings with
 the same columns can take its place.
 
-Null texts have no candidates; a null path counts as empty. Repeated documents report their findings each. Whole texts
+Dictionary coverage is the share of a candidate's characters that lie in words: its runs of letters, cut where capitals
+begin, that are in a word list (`word_list` reads one from a public vocabulary file, by path), and well-known parts of names.
+
+An empty table gives no findings. Columns besides key, text and path are not read, so none can clash. Null texts have no
+candidates; a null path counts as empty. Repeated documents report their findings each. Whole texts
 are read; several equal candidates in a text are several findings, told apart by their start.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tokenizer_text
 
 ASSIGNED_LEAST = 4
 #: Lookbehinds of one width each, for Python and Java alike: sign, blanks, quote.
 _AFTER = "|".join(rf"(?<={sign}[ \t]{{{n}}}{quote})" for sign in ("[:=]", "=>") for n in range(4) for quote in ("", "[\"'`]")) + "|(?<=[Bb]earer )"
 CANDIDATE = rf"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{{16,}}|(?=[A-Za-z0-9+/_-]{{{ASSIGNED_LEAST}}})(?:{_AFTER})(?!(?<=:)//)[A-Za-z0-9+/_-]+)(?:={{1,2}}(?![A-Za-z0-9+/_=-]))?"
 CONTEXT, TRAINING_ROWS, TREES, DEPTH = 80, 4000, 15, 5
-#: Words that make up names rather than keys, and words beside findings (fixed values).
-DICTIONARY = "(?i)(example|sample|test|dummy|fake|your|insert|changeme|password|secret|token|image|photo|file|index|version|release|build|page|article|product|order|user|customer|account|number|date|time|http|html|json|data|node|module|package|commit|branch|master|main|abcdef|123456|xxxx|0000)"
+#: Parts of names that are no words of their own, and words beside findings (fixed values).
+DICTIONARY = "(?i)(changeme|dummy|passwd|http|html|json|abcdef|123456|xxxx|0000)"
 SECRET_WORDS = r"(?i)(secret|token|passw|pwd|api.?key|access.?key|auth|bearer|credential|private|signing|client.?key|-key|_key)[a-z_\- ]{0,20}$"
 ASSIGNED = r"""(?i)[a-z_\-]+\s{0,3}[:=]{1,2}>?\s{0,3}["'`]?$"""
 SECRET_ASSIGNED = r"""(?i)(secret|token|passw|pwd|key|auth|bearer|credential|private)[a-z0-9_\-]{0,20}["']?\s{0,3}[:= ]{1,3}>?\s{0,3}["'`]?$"""
@@ -51,7 +57,25 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
     return each.select("key", "path", (ends - F.length("candidate")).cast("long").alias("start"), "candidate", "before", "after")
 
 
-def features() -> dict[str, Column]:
+def word_list(path: str, least: int = 4, most: int = 16) -> list[str]:
+    """The lower-case words that a byte-level vocabulary file holds whole, with the blank before them."""
+    words = (t[1:] for t in json.loads(tokenizer_text(path))["model"]["vocab"] if t.startswith("\u0120"))
+    return sorted({w for w in words if least <= len(w) <= most and w.isascii() and w.isalpha() and w.islower()})
+
+
+def covered(candidate: Column, words: list[str]) -> Column:
+    """How many characters of a candidate lie in dictionary words or known parts of names."""
+    by_letter: dict[str, list[str]] = {}
+    for w in words:
+        by_letter.setdefault(w[0], []).append(w)
+    shelves = F.create_map(*(F.lit(x) for letter, own in by_letter.items() for x in (letter, f"|{'|'.join(own)}|")))  # one constant for the whole list
+    in_list = lambda r: F.coalesce(F.contains(F.try_element_at(shelves, F.left(r, F.lit(1))), F.concat(F.lit("|"), r, F.lit("|"))), F.lit(False))
+    runs = F.regexp_extract_all(candidate, F.lit("[A-Z]?[a-z]+|[A-Z]+"), F.lit(0))
+    known = F.aggregate(F.filter(runs, lambda r: in_list(F.lower(r))), F.lit(0), lambda n, r: n + F.length(r))
+    return F.greatest(known, F.length(candidate) - F.length(F.regexp_replace(candidate, DICTIONARY, "")))
+
+
+def features(words: list[str]) -> dict[str, Column]:
     c, n = F.col("candidate"), F.length("candidate").cast("double")
     share = lambda pattern: F.regexp_count(c, F.lit(pattern)) / n
     flag = lambda column, pattern: F.col(column).rlike(pattern).cast("double")
@@ -71,7 +95,7 @@ def features() -> dict[str, Column]:
         "number": c.rlike("^[0-9]+$").cast("double"),
         "grouped": c.rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$|^[0-9]{4}-[0-9]{2}-[0-9]{2}").cast("double"),
         "variety": F.size(F.array_distinct(F.split(c, ""))) / n,
-        "dictionary": (n - F.length(F.regexp_replace(c, DICTIONARY, ""))) / n,
+        "dictionary": covered(c, words) / n,
         "prefix": c.rlike(PREFIXES).cast("double"),
         "slashes": share("/"),
         "test_path": flag("path", TEST_PATHS),
@@ -85,7 +109,7 @@ def features() -> dict[str, Column]:
 
 
 def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFrame:
-    """path, candidate, before, after, label: `rows` findings from templates, the same on every call."""
+    """path, candidate, before, after, label, template: `rows` findings from templates, the same on every call."""
     i = F.col("id")
     hexes = F.sha2(i.cast("string"), 256)
     base = F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(F.lit("b"), i.cast("string")), 256))), "[=]", "")
@@ -118,17 +142,17 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFra
     picks = F.array(*(F.struct(c.alias("candidate"), b.alias("before"), F.lit(a).alias("after"), F.lit(float(y)).alias("label")) for c, b, a, y in templates))
     row = F.element_at(picks, (F.pmod(i, F.lit(len(templates))) + 1).cast("int"))
     path = F.when(F.pmod(F.xxhash64(i, F.lit(3)), F.lit(5)) == 0, F.when(row["label"] == 0, "tests/example.py").otherwise("src/app.py")).otherwise("src0")
-    made = spark.range(rows).select(path.alias("path"), row.alias("row")).select("path", "row.candidate", F.concat(F.lit("text and "), F.col("row.before")).alias("before"), "row.after", "row.label")
+    made = spark.range(rows).select(path.alias("path"), row.alias("row"), F.pmod(i, F.lit(len(templates))).alias("template")).select("path", "row.candidate", F.concat(F.lit("text and "), F.col("row.before")).alias("before"), "row.after", "row.label", "template")
     return spark.createDataFrame(made.toArrow())  # a fixed number of short rows, so that no feature repeats the templates' expressions
 
 
-def forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 5) -> Column:
+def forest(findings: DataFrame, words: list[str], trees: int = TREES, depth: int = DEPTH, seed: int = 5) -> Column:
     """The mean of the trees' probabilities of label 1 as an expression over the features' names."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    names = list(features())
-    rows = findings.withColumns(features()).select("label", *names).coalesce(1)
+    names = list(features(words))
+    rows = findings.withColumns(features(words)).select("label", *names).coalesce(1)
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(VectorAssembler(inputCols=names, outputCol="features").transform(rows))
 
     def expression(node) -> Column:
@@ -145,12 +169,14 @@ def forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: in
     return every[0] / F.lit(float(count))
 
 
-def scan(docs: DataFrame, findings: DataFrame | None = None, key: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
+def scan(docs: DataFrame, words: list[str], findings: DataFrame | None = None, key: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
     """A row for each candidate: key, start, candidate, score, is_secret."""
-    score = forest(labelled_findings(docs.sparkSession) if findings is None else findings)
-    judged = candidates(docs, key, text, path).withColumns(features()).withColumn("score", score)
+    score = forest(labelled_findings(docs.sparkSession) if findings is None else findings, words)
+    judged = candidates(docs, key, text, path).withColumns(features(words)).withColumn("score", score)
     return judged.select(F.col("key").alias(key), "start", "candidate", "score", (F.col("score") >= 0.5).alias("is_secret"))
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    import public_tokenizers
+
+    return scan(table(spark, sf_dir, "documents"), word_list(public_tokenizers.path("byte_bpe_50k.json")))

@@ -8,10 +8,14 @@ the count, which is below 0 when tokens merge). Transitions are compiled on firs
 `TokenCounter` puts the pre-tokenizer in front of it. A blank after a character that is no white space always starts
 a new pre-token, so texts are cut there; the stretches between cuts are the transducer's compound symbols and their
 counts are kept as compound transitions. A chunk that is cut anywhere has a state map (open head, emitted count, open
-tail). Maps compose associatively, so the maps of a long text's chunks are combined by a parallel prefix scan.
+tail); what is open is kept as text, for the state that a pre-token leaves the transducer in depends on where it ends.
+Maps compose associatively, so the maps of a long text's chunks are combined by a prefix scan, which gives the tokens up
+to the end of each chunk (`chunk_tokens`), the places at which to cut a long text, and with the last one its count.
 
 Texts: null counts as empty, an empty text has no tokens, texts of any length are read whole. The added special token
-inside a text is one token, which is the library's default.
+inside a text is one token, which is the library's default; chunks begin anew after it. Repeated rows are counted one by
+one; an empty table gives no rows. Columns besides key and text are not read; the key may have any name but those of the
+columns that are returned.
 """
 
 from __future__ import annotations
@@ -25,10 +29,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow_map, table, texts, tokenizer_text
+from .common import arrow_map, no_clash, table, texts, tokenizer_text
 
 #: The pre-tokenizer of the byte-level vocabularies (fixed value).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 CHUNK = 1 << 16
 
 
@@ -160,6 +165,8 @@ class TokenCounter:
         model = json.loads(spec)
         self.fst = ByteTransducer(model["model"]["vocab"], model["model"]["merges"])
         self.special = [t["content"] for t in model.get("added_tokens", [])]
+        if model.get("normalizer") or model.get("pre_tokenizer") != PRE_TOKENIZER:
+            raise ValueError("this tokenizer file has other rules than a byte-level one without normaliser")
         self.pre = regex.compile(PRE_TOKEN)
         self.cut = re.compile(r"\s ")
         self.safe = regex.compile(r"(?<=\S)(?= )")
@@ -238,27 +245,28 @@ class TokenCounter:
             step *= 2
         return maps
 
-    def reduce(self, maps: list[ChunkMap]) -> ChunkMap:
-        """The last element of the scan, by the scan's tree alone."""
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return maps[0]
-
     def finish(self, m: ChunkMap) -> int:
         return self.plain(m.head) + m.emitted + (self.plain(m.tail) if m.tail else 0)
 
-    def count(self, text: str, chunk: int = CHUNK) -> int:
+    def prefixes(self, text: str, chunk: int = CHUNK) -> list[int]:
+        """Tokens up to the end of each chunk; the last number is the text's count."""
         parts = [text]
         for s in self.special:
             if s in text:
                 parts = [x for p in parts for x in p.split(s)]
-        total = len(parts) - 1
-        for p in parts:
+        out, before = [], 0
+        for i, p in enumerate(parts):
             if len(p) <= chunk:
-                total += self.plain(p)
+                own = [self.plain(p)]
             else:
-                total += self.finish(self.reduce([self.chunk_map(p[i : i + chunk]) for i in range(0, len(p), chunk)]))
-        return total
+                own = [self.finish(m) for m in self.scan([self.chunk_map(p[at : at + chunk]) for at in range(0, len(p), chunk)])]
+            own[-1] += i + 1 < len(parts)  # the special token behind it
+            out += [before + n for n in own]
+            before = out[-1]
+        return out
+
+    def count(self, text: str, chunk: int = CHUNK) -> int:
+        return self.prefixes(text, chunk)[-1]
 
 
 @lru_cache(maxsize=2)
@@ -267,7 +275,8 @@ def _counter(spec: str) -> TokenCounter:
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, n_bytes (UTF-8) and n_tokens of every text; one pass without a shuffle, one row for each row of docs."""
+    """key, n_bytes (UTF-8), n_tokens and chunk_tokens of every text; one pass without a shuffle, one row for each row of docs."""
+    no_clash(key, "n_bytes", "n_tokens", "chunk_tokens")
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(tokenizer_text(tokenizer))  # a vocabulary file: a few MB at every input size
     kind = docs.schema[key].dataType.simpleString()
@@ -277,16 +286,17 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", key: str =
         for batch in batches:
             column = batch.column(1)
             values = column.to_pylist()
+            counts = [counter.prefixes(t) for t in values]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(t.encode("utf-8")) for t in values], pa.int64()), pa.array([counter.count(t) for t in values], pa.int64())],
-                names=[key, "n_bytes", "n_tokens"],
+                [batch.column(0), pa.array([len(t.encode("utf-8")) for t in values], pa.int64()), pa.array([c[-1] for c in counts], pa.int64()), pa.array(counts, pa.list_(pa.int64()))],
+                names=[key, "n_bytes", "n_tokens", "chunk_tokens"],
             )
 
-    return arrow_map(texts(docs, key, text=text), run, f"`{key}` {kind}, n_bytes long, n_tokens long")
+    return arrow_map(texts(docs, key, text=text), run, f"`{key}` {kind}, n_bytes long, n_tokens long, chunk_tokens array<bigint>")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     counted = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return counted.selectExpr("doc_id", "n_bytes", "n_tokens", "n_tokens > 1024 AS over_limit")
+    return counted.selectExpr("doc_id", "n_bytes", "n_tokens", "n_tokens > 1024 AS over_limit", "chunk_tokens")
