@@ -224,6 +224,30 @@ def test_block_links_against_all_pairs(chunks):
     assert near_dup.block_links(sampler, 0.8, side, np.arange(n), keys, 1, sets) == []
 
 
+def test_recall_against_all_pairs(spark):
+    """Of all pairs of sf0.01 with a weighted similarity of 0.8 or more, how many are in one class; and no class without such links."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = near_dup.materialise(near_dup.shingle_sets(docs, "doc_id", "text"), "sets")
+    sampler = near_dup.Sampler(near_dup.idf_levels(sets))
+    rows = [(r.doc, bytes(r.shingles), bytes(r.counts)) for r in sets.collect() if r.shingles]
+    total = {d: sampler.total(np.frombuffer(h, np.uint32), c) for d, h, c in rows}
+    rows.sort(key=lambda r: total[r[0]])
+    pairs = []
+    for i, (a, ha, ca) in enumerate(rows):
+        for b, hb, cb in rows[i + 1 :]:
+            if total[b] * near_dup.SIMILARITY > total[a] * (1 + 1e-9):
+                break
+            if sampler.similarity((ha, ca), (hb, cb)) >= near_dup.SIMILARITY:
+                pairs.append((a, b))
+    label = {r.doc: r.label for r in near_dup.near_duplicates(docs).collect()}
+    found = sum(label[a] == label[b] for a, b in pairs)
+    print(f"{found} of {len(pairs)} pairs")
+    assert len(pairs) > 20 and found >= 0.99 * len(pairs)
+    linked = {x for p in pairs for x in p}
+    several = collections.Counter(label[d] for d in total)
+    assert all(d in linked for d in total if several[label[d]] > 1)
+
+
 def test_repeated_rows_leave_one(spark):
     docs = documents(spark, ODD)
     kept = near_dup.drop_near_duplicates(docs)
