@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.types import spark_type
 from ..plans.model import Model
-from .graph import edge_tables, endpoint_columns
+from .graph import PropertyGraph, edge_tables, endpoint_columns
 
 COLUMNS = "table string, column string, type string, required boolean, key int"
 CONSTRAINTS = "owner string, kind string, props array<string>, detail string"
+ENDPOINTS = "edge string, source string, target string, multiplicity string"
 
 
 def expected_columns(spark: SparkSession, model: Model) -> DataFrame:
@@ -95,5 +98,40 @@ def flatten_indexes(indexes: DataFrame) -> DataFrame:
     return indexes.select("owner", F.explode("props").alias("prop")).distinct()
 
 
+def expected_endpoints(spark: SparkSession, model: Model) -> DataFrame:
+    """A row for each edge type and pair of concrete types that it joins; multiplicity (one-to-many and so on) as the bounds of its ends allow."""
+    end = lambda bound: "one" if bound.most == 1 else "many"
+    return spark.createDataFrame([(e, s, t, f"{end(model.edge(e).sources)}-to-{end(model.edge(e).targets)}") for e, s, t, _ in edge_tables(model)], ENDPOINTS)
+
+
+def found_endpoints(graph: PropertyGraph) -> DataFrame:
+    """The same of a graph's edge tables: pairs that have rows, and the multiplicity that the rows of all of an edge's tables show.
+
+    Rows without a key at one end join nothing and don't count; parallel edges count one by one. Each end's rows are counted by key before they move."""
+    model, there, ends = graph.model, [], []
+    for (e, s, t), df in graph.edges.items():
+        sides = endpoint_columns(model, model.edge(e), s, t)
+        whole = df.dropna(subset=sides[0] + sides[1])
+        for node, columns, end in zip((s, t), sides, ("targets", "sources"), strict=True):
+            ends.append(whole.groupBy(F.to_json(F.array(*(F.col(c).cast("string") for c in columns))).alias("key")).agg(F.count("*").alias("n")).select(F.lit(e).alias("edge"), F.lit(node).alias("node"), F.lit(end).alias("end"), "key", "n"))
+        there.append(whole.agg(F.count("*").alias("n")).where("n > 0").select(F.lit(e).alias("edge"), F.lit(s).alias("source"), F.lit(t).alias("target")))
+    by_key = reduce(DataFrame.unionByName, ends).groupBy("edge", "node", "end", "key").agg(F.sum("n").alias("n"))
+    many = lambda end: F.when(F.max(F.when(F.col("end") == end, F.col("n"))) > 1, "many").otherwise("one")
+    shown = by_key.groupBy("edge").agg(F.concat_ws("-to-", many("sources"), many("targets")).alias("multiplicity"))
+    return reduce(DataFrame.unionByName, there).join(shown, "edge", "left").select("edge", "source", "target", "multiplicity")
+
+
+def endpoint_drift(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """(kind, object, detail): pairs of types that an edge is declared to join or joins, but not both, and edges of another multiplicity. A null multiplicity is unknown and differs from none."""
+    ends = ["edge", "source", "target"]
+    side = lambda df, tag: df.select(*ends, F.lit(True).alias(tag)).distinct()
+    lost = F.col("f").isNull()
+    pairs = side(expected, "e").join(side(found, "f"), ends, "full_outer").where("e IS NULL OR f IS NULL")
+    out = pairs.select(F.when(lost, "missing").otherwise("unexpected").alias("kind"), F.concat(F.lit("endpoints "), "edge", F.lit(" "), "source", F.lit("->"), "target").alias("object"), F.when(lost, "declared but not found").otherwise("found but not declared").alias("detail"))
+    shown = lambda df, tag: df.where("multiplicity IS NOT NULL").select("edge", F.col("multiplicity").alias(tag)).distinct()
+    other = shown(expected, "e").join(shown(found, "f"), "edge").where("e <> f")
+    return out.unionByName(other.select(F.lit("different").alias("kind"), F.concat(F.lit("multiplicity of "), "edge").alias("object"), F.concat(F.lit("declared "), "e", F.lit(", found "), "f").alias("detail")))
+
+
 def drift(spark: SparkSession, model: Model, tables: dict[str, DataFrame | T.StructType]) -> DataFrame:
     return column_drift(expected_columns(spark, model), found_columns(spark, tables))

@@ -361,6 +361,32 @@ UNION ALL SELECT 'different', 'enum (OrderStatus)', 'F|O|P -> ' || v FROM st WHE
 add("drift_flatten_indexes", lambda s, d: drifts.flatten_indexes(warehouse.read(s, d, "documents").select(F.col("source").alias("owner"), F.array("lang", "source").alias("props"))), "SELECT DISTINCT source AS owner, unnest([lang, source]) AS prop FROM documents")
 
 
+def endpoint_drifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of types and the multiplicities of a revision whose suppliers hang on parts, against what all edges of the tables show."""
+    after = revisions.revisions("change_endpoints")[1]
+    return drifts.endpoint_drift(drifts.expected_endpoints(spark, after), drifts.found_endpoints(warehouse.graph(spark, sf_dir)))
+
+
+LINE_KEY = "l_orderkey || '/' || l_linenumber"
+JOINED = " UNION ALL ".join(f"SELECT '{e}' AS edge, '{s}' AS s, '{t}' AS t, CAST({a} AS VARCHAR) AS a, CAST({b} AS VARCHAR) AS b FROM {w}" for e, s, t, a, b, w in (
+    ("IN_REGION", "Nation", "Region", "n_nationkey", "n_regionkey", "nation"), ("BASED_IN", "Customer", "Nation", "c_custkey", "c_nationkey", "customer"), ("BASED_IN", "Supplier", "Nation", "s_suppkey", "s_nationkey", "supplier"),
+    ("PLACED_BY", "Order", "Customer", "o_orderkey", "o_custkey", "orders"), ("HAS_LINE", "Order", "LineItem", "l_orderkey", LINE_KEY, "lineitem"), ("OF_PART", "LineItem", "Part", LINE_KEY, "l_partkey", "lineitem"),
+    ("SUPPLIED_BY", "LineItem", "Supplier", LINE_KEY, "l_suppkey", "lineitem"), ("LABELLED", "Document", "Label", "doc_id", "doc_id", "documents"),
+    ("HAS_TURN", "Conversation", "UserTurn", "conv_id", "conv_id || '/' || turn", "conversations WHERE role = 'user'"), ("HAS_TURN", "Conversation", "OtherTurn", "conv_id", "conv_id || '/' || turn", "conversations WHERE role IS DISTINCT FROM 'user'"),
+))
+SAID = ", ".join(f"('{e}', '{s}', '{t}', '{m}')" for e, s, t, m in (
+    ("IN_REGION", "Nation", "Region", "many-to-one"), ("BASED_IN", "Customer", "Nation", "many-to-one"), ("BASED_IN", "Supplier", "Nation", "many-to-one"), ("PLACED_BY", "Order", "Customer", "many-to-one"),
+    ("HAS_LINE", "Order", "LineItem", "one-to-many"), ("OF_PART", "LineItem", "Part", "many-to-one"), ("SUPPLIED_BY", "Part", "Supplier", "many-to-many"), ("LABELLED", "Document", "Label", "one-to-one"),
+    ("HAS_TURN", "Conversation", "UserTurn", "one-to-many"), ("HAS_TURN", "Conversation", "OtherTurn", "one-to-many"),
+))
+add("drift_endpoints", endpoint_drifts, f"""WITH g AS (SELECT * FROM ({JOINED}) WHERE a IS NOT NULL AND b IS NOT NULL), e(edge, s, t, m) AS (VALUES {SAID}), p AS (SELECT DISTINCT edge, s, t FROM g),
+o AS (SELECT edge, max(n) AS n FROM (SELECT edge, count(*) AS n FROM g GROUP BY edge, s, a) GROUP BY edge), i AS (SELECT edge, max(n) AS n FROM (SELECT edge, count(*) AS n FROM g GROUP BY edge, t, b) GROUP BY edge),
+f AS (SELECT edge, CASE WHEN i.n > 1 THEN 'many' ELSE 'one' END || '-to-' || CASE WHEN o.n > 1 THEN 'many' ELSE 'one' END AS m FROM i JOIN o USING (edge))
+SELECT 'missing' AS kind, 'endpoints ' || edge || ' ' || s || '->' || t AS object, 'declared but not found' AS detail FROM e WHERE (edge, s, t) NOT IN (SELECT (edge, s, t) FROM p)
+UNION ALL SELECT 'unexpected', 'endpoints ' || edge || ' ' || s || '->' || t, 'found but not declared' FROM p WHERE (edge, s, t) NOT IN (SELECT (edge, s, t) FROM e)
+UNION ALL SELECT 'different', 'multiplicity of ' || edge, 'declared ' || e.m || ', found ' || f.m FROM (SELECT DISTINCT edge, m FROM e) AS e JOIN f USING (edge) WHERE e.m <> f.m""")
+
+
 # diff and migration
 def diffed(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """The changes of an edit of the warehouse model, with the rows or values that each concerns."""

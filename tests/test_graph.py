@@ -256,6 +256,22 @@ def test_drift(spark):
     assert drifts.column_drift(expected, drifts.found_columns(spark, {}), True).count() == 3
 
 
+def test_endpoint_drift(spark):
+    m = model_of(HARBOUR)
+    rows = lambda schema, *r: spark.createDataFrame(list(r), schema)
+    calls = "src_imo long, dst_code string, eta date"
+    tables = {("CALLS_AT", "Ship", "Berth"): rows(calls, (1, "a", None), (2, "a", None), (3, None, None)), ("CALLS_AT", "Ship", "Yard"): rows(calls, (3, "y", None)), ("TOWS", "Ship", "Ship"): rows("src_imo long, dst_imo long", (1, 2))}
+    found = lambda t: drifts.endpoint_drift(drifts.expected_endpoints(spark, m), drifts.found_endpoints(PropertyGraph(m, {}, t)))
+    assert found(tables).collect() == [("different", "multiplicity of TOWS", "declared many-to-many, found one-to-one")]
+    tables["CALLS_AT", "Ship", "Yard"] = rows(calls, (1, "y", None))
+    assert ("different", "multiplicity of CALLS_AT", "declared many-to-one, found many-to-many") in found(tables).collect(), "a ship's calls at berths and yards count together"
+    tables["CALLS_AT", "Ship", "Yard"] = rows(calls)
+    tables["TOWS", "Ship", "Ship"] = rows("src_imo long, dst_imo long", (1, 2), (1, 3), (2, 3))
+    assert found(tables).collect() == [("missing", "endpoints CALLS_AT Ship->Yard", "declared but not found")]
+    unknown = drifts.expected_endpoints(spark, m).withColumn("multiplicity", F.lit(None).cast("string")).unionByName(rows(drifts.ENDPOINTS, ("TOWS", "Yard", "Ship", None)))
+    assert drifts.endpoint_drift(drifts.expected_endpoints(spark, m), unknown).collect() == [("unexpected", "endpoints TOWS Yard->Ship", "found but not declared")]
+
+
 def test_all_conversations_are_reached(spark, small):
     from graphloom.queries import QUERIES
 
