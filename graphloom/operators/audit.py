@@ -185,9 +185,11 @@ def _assertion(c: Constraint) -> Column:
 
 
 def degrees(graph: PropertyGraph, edge: EdgeType, node: str, outgoing: bool, of: str | None = None) -> DataFrame:
-    """For each distinct key of a concrete node type the number `n` of its edges, 0 included; `of` keeps edges to (or from) that type."""
+    """For each distinct key of a concrete node type the number `n` of its edges, 0 included; `of` keeps edges to (or from) that type.
+
+    Nodes and edges' ends meet in one aggregate by key, which needs no join. Ends without a key belong to no node."""
     model, key = graph.model, list(graph.model.node(node).key)
-    partial = []
+    rows = [graph.vertices[node].select(*key, F.lit(0).alias("n"), F.lit(True).alias("_node"))]
     for e, s, t in graph.tables_of(edge.name):
         if (s if outgoing else t) != node:
             continue
@@ -196,14 +198,8 @@ def degrees(graph: PropertyGraph, edge: EdgeType, node: str, outgoing: bool, of:
             continue
         src, dst = endpoint_columns(model, edge, s, t)
         own = src if outgoing else dst
-        partial.append(graph.edges[e, s, t].groupBy(*(F.col(c).alias(k) for c, k in zip(own, key, strict=True))).agg(F.count("*").alias("n")))
-    keys = graph.vertices[node].select(*key).distinct()
-    if not partial:
-        return keys.withColumn("n", F.lit(0).cast("long"))
-    counts = reduce(DataFrame.unionByName, partial)
-    if len(partial) > 1:
-        counts = counts.groupBy(*key).agg(F.sum("n").alias("n"))
-    return keys.join(counts, key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        rows.append(graph.edges[e, s, t].where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in own])).select(*(F.col(c).alias(k) for c, k in zip(own, key, strict=True)), F.lit(1).alias("n"), F.lit(False).alias("_node")))
+    return reduce(DataFrame.unionByName, rows).groupBy(*key).agg(F.sum("n").alias("n"), F.bool_or("_node").alias("_node")).where("_node").drop("_node")
 
 
 def _bounded(edge: EdgeType, node: str, outgoing: bool, limit: Bound, of: str | None = None) -> Callable[[PropertyGraph], DataFrame]:

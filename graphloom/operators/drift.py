@@ -107,17 +107,17 @@ def expected_endpoints(spark: SparkSession, model: Model) -> DataFrame:
 def found_endpoints(graph: PropertyGraph) -> DataFrame:
     """The same of a graph's edge tables: pairs that have rows, and the multiplicity that the rows of all of an edge's tables show.
 
-    Rows without a key at one end join nothing and don't count; parallel edges count one by one. Each end's rows are counted by key before they move."""
-    model, there, ends = graph.model, [], []
+    Rows without a key at one end join nothing and don't count; parallel edges count one by one. The ends at a type are counted by the type's own key columns."""
+    model, there, ends = graph.model, [], {}
     for (e, s, t), df in graph.edges.items():
         sides = endpoint_columns(model, model.edge(e), s, t)
-        whole = df.dropna(subset=sides[0] + sides[1])
-        for node, columns, end in zip((s, t), sides, ("targets", "sources"), strict=True):
-            ends.append(whole.groupBy(F.to_json(F.array(*(F.col(c).cast("string") for c in columns))).alias("key")).agg(F.count("*").alias("n")).select(F.lit(e).alias("edge"), F.lit(node).alias("node"), F.lit(end).alias("end"), "key", "n"))
+        whole = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in sides[0] + sides[1]]))
         there.append(whole.agg(F.count("*").alias("n")).where("n > 0").select(F.lit(e).alias("edge"), F.lit(s).alias("source"), F.lit(t).alias("target")))
-    by_key = reduce(DataFrame.unionByName, ends).groupBy("edge", "node", "end", "key").agg(F.sum("n").alias("n"))
+        for node, columns, end in zip((s, t), sides, ("targets", "sources"), strict=True):
+            ends.setdefault((e, node, end), []).append(whole.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(columns))))
+    most = [reduce(DataFrame.unionByName, own).groupBy(*own[0].columns).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).select(F.lit(e).alias("edge"), F.lit(end).alias("end"), "n") for (e, _, end), own in ends.items()]
     many = lambda end: F.when(F.max(F.when(F.col("end") == end, F.col("n"))) > 1, "many").otherwise("one")
-    shown = by_key.groupBy("edge").agg(F.concat_ws("-to-", many("sources"), many("targets")).alias("multiplicity"))
+    shown = reduce(DataFrame.unionByName, most).groupBy("edge").agg(F.concat_ws("-to-", many("sources"), many("targets")).alias("multiplicity"))
     return reduce(DataFrame.unionByName, there).join(shown, "edge", "left").select("edge", "source", "target", "multiplicity")
 
 

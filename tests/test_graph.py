@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from graphloom.models import revisions, warehouse
 from graphloom.operators import drift as drifts
-from graphloom.operators.audit import EXTRA_CHECKS, audit, enforce, plan_audit, register_check
+from graphloom.operators.audit import EXTRA_CHECKS, audit, degrees, enforce, plan_audit, register_check
 from graphloom.operators.graph import PropertyGraph, edge_tables, endpoint_columns, to_model
 from graphloom.operators.match import match, reachable
 from graphloom.operators.migrate import Step, apply_steps, change_impact, data_steps, lost_values, migrate_graph, plan_migration, step_impact
@@ -256,6 +256,16 @@ def test_drift(spark):
     assert drifts.column_drift(expected, drifts.found_columns(spark, {}), True).count() == 3
 
 
+def test_degrees_need_one_shuffle_and_leave_out_null_keys(spark):
+    m = model_of(HARBOUR)
+    ships = spark.createDataFrame([(1,), (1,), (2,), (None,)], "imo int")
+    tows = spark.createDataFrame([(1, 2), (1, 3), (None, 1), (9, 1)], "src_imo long, dst_imo long")
+    n = degrees(PropertyGraph(m, {"Ship": ships}, {("TOWS", "Ship", "Ship"): tows}), m.edge("TOWS"), "Ship", True)
+    assert sorted(map(tuple, n.collect()), key=str) == [(1, 2), (2, 0), (None, 0)], "a key counts once, an end without a node not at all"
+    plan = n._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") <= 2  # the adaptive plan may be printed twice
+
+
 def test_endpoint_drift(spark):
     m = model_of(HARBOUR)
     rows = lambda schema, *r: spark.createDataFrame(list(r), schema)
