@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .decontaminate import SQL as OP4_SQL
 from .decontaminate import op4_decontamination
+from .filter_audit import SQL as OP12_SQL
+from .filter_audit import op12_filter_audit
 from .html_text import op6_html_extraction
 from .line_dedup import SQL as OP8_SQL
 from .line_dedup import op8_line_dedup
@@ -11,6 +13,8 @@ from .media import op1_media_columns
 from .near_dup import op3_minhash_near_dedup
 from .pack import op7_best_fit_packing
 from .quality import op9_quality_classifier
+from .ranked_search import SQL as OP13_SQL
+from .ranked_search import op13_ranked_search
 from .secrets import op2_secret_scans
 from .token_count import op10_token_counts
 from .url_filter import SQL as OP5_SQL
@@ -27,5 +31,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_token_counts": op10_token_counts,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_ranked_search": op13_ranked_search,
 }
-ORACLE_SQL = {"op4_decontamination": OP4_SQL, "op5_url_filter": OP5_SQL, "op8_line_dedup": OP8_SQL}
+ORACLE_SQL = {"op4_decontamination": OP4_SQL, "op5_url_filter": OP5_SQL, "op8_line_dedup": OP8_SQL, "op12_filter_audit": OP12_SQL, "op13_ranked_search": OP13_SQL}
