@@ -12,6 +12,7 @@ from .line_dedup import op8_line_dedup
 from .media import op1_media_columns
 from .near_dup import op3_minhash_near_dedup
 from .pack import op7_best_fit_packing
+from .personal import op11_personal_data
 from .quality import op9_quality_classifier
 from .ranked_search import SQL as OP13_SQL
 from .ranked_search import op13_ranked_search
@@ -31,6 +32,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_token_counts": op10_token_counts,
+    "op11_personal_data": op11_personal_data,
     "op12_filter_audit": op12_filter_audit,
     "op13_ranked_search": op13_ranked_search,
 }
