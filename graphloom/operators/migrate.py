@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.types import spark_type
 from ..plans.diff import Change, at_least, diff_models
-from ..plans.model import Diagnostic, Model, NodeType, Property
+from ..plans.model import Diagnostic, EdgeType, Model, NodeType, Property
 from .graph import PropertyGraph, endpoint_columns
 
 
@@ -109,27 +109,185 @@ def _columns(df: DataFrame, old: tuple[Property, ...], new: tuple[Property, ...]
     return out
 
 
-def migrate_graph(graph: PropertyGraph, after: Model) -> PropertyGraph:
-    """The graph's tables as the new revision lays them out: types and properties are followed by id, all else is dropped."""
+def _key_ids(n: NodeType) -> list[str]:
+    """The identities of a key's properties: a renamed key property is no other key."""
+    return [_identity(n.prop(k)) for k in n.key]
+
+
+def key_translation(graph: PropertyGraph, old: NodeType, new: NodeType, had: list[str], has: list[str]) -> DataFrame | None:
+    """The distinct pairs of old and new key values of a type's rows, under the given column names; rows without a whole new key are left out.
+
+    None if the type has no table to read them from."""
+    if old.name not in graph.vertices:
+        return None
+    df = graph.vertices[old.name]
+    values = _columns(df, old.props, tuple(new.prop(k) for k in new.key))
+    named = [v.alias(n) for v, n in zip(values, has, strict=True)]
+    return df.select(*(F.col(f"`{k}`").alias(c) for k, c in zip(old.key, had, strict=True)), *named).dropna(subset=has).distinct()
+
+
+@dataclass(frozen=True)
+class _End:
+    """One end of an edge table: its type in both revisions, its key columns now and then."""
+
+    old: NodeType
+    new: NodeType
+    had: list[str]
+    has: list[str]
+
+    @property
+    def direct(self) -> bool:
+        """Whether the new key can be read off the old one."""
+        return set(_key_ids(self.new)) <= set(_key_ids(self.old))
+
+    def columns(self) -> list:
+        """The new key's columns from the edge table's own, cast where the type changed."""
+        own = dict(zip(_key_ids(self.old), zip(self.old.key, self.had, strict=True), strict=True))
+        out = []
+        for k, i, name in zip(self.new.key, _key_ids(self.new), self.has, strict=True):
+            was, column = own[i]
+            kind, same = spark_type(self.new.prop(k).type), self.old.prop(was).type == self.new.prop(k).type
+            out.append((F.col(f"`{column}`") if same else F.col(f"`{column}`").try_cast(kind)).alias(name))
+        return out
+
+
+def _rehung(graph: PropertyGraph, old: EdgeType, along: dict[str, str]) -> dict[tuple[str, str, str], DataFrame]:
+    """The tables of an edge with its ends moved along other edges: `source` and `target` name the edge that leads from the old end to the new one, in either direction.
+
+    Rows that become alike are one edge."""
+    model, tables = graph.model, {k: graph.edges[k] for k in graph.tables_of(old.name)}
+    for end, name in along.items():
+        moved: dict[tuple[str, str, str], list[DataFrame]] = {}
+        for key, df in tables.items():
+            at, sides = (1 if end == "source" else 2), endpoint_columns(model, old, key[1], key[2])
+            for link in graph.tables_of(name):
+                for near, far in ((1, 2), (2, 1)):
+                    if link[near] != key[at]:
+                        continue
+                    ends = endpoint_columns(model, model.edge(name), link[1], link[2])
+                    to = (key[0], link[far], key[2]) if at == 1 else (key[0], key[1], link[far])
+                    now = endpoint_columns(model, old, to[1], to[2])
+                    step = graph.edges[link].select(*(F.col(f"`{c}`").alias(f"__o_{i}") for i, c in enumerate(ends[near - 1])), *(F.col(f"`{c}`").alias(f"__n_{i}") for i, c in enumerate(ends[far - 1]))).distinct()
+                    kept = [F.col(f"`{c}`").alias(n) for c, n in zip(sides[2 - at], now[2 - at], strict=True)]
+                    own = df.withColumnsRenamed({c: f"__o_{i}" for i, c in enumerate(sides[at - 1])})
+                    joined = own.join(step, [f"__o_{i}" for i in range(len(sides[at - 1]))])
+                    props = [c for c in df.columns if c not in (*sides[0], *sides[1])]
+                    moved.setdefault(to, []).append(joined.select(*(F.col(f"__n_{i}").alias(n) for i, n in enumerate(now[at - 1])), *kept, *(f"`{p}`" for p in props)))
+        tables = {k: reduce(DataFrame.unionByName, v).distinct() for k, v in moved.items()}
+    return tables
+
+
+@dataclass(frozen=True)
+class _Carried:
+    """An edge table of the older revision and what becomes of it; `to` is None where the new revision has no place for it."""
+
+    label: str
+    df: DataFrame
+    old: EdgeType
+    new: EdgeType | None = None
+    to: tuple[str, str, str] | None = None
+    ends: tuple[_End, ...] = ()
+
+
+def _edge_plan(graph: PropertyGraph, after: Model, along: dict[str, dict[str, str]]) -> list[_Carried]:
+    """Every edge table whose edge the new revision still has. along: for an edge's new name, the edges along which its ends move."""
+    before, now = graph.model, {n.id: n for n in after.nodes}
+    out = []
+    for e in after.edges:
+        old = next((x for x in before.edges if x.id == e.id), None)
+        if old is None:
+            continue
+        tables = _rehung(graph, old, along[e.name]) if e.name in along else {k: graph.edges[k] for k in graph.tables_of(old.name)}
+        pairs = {(s.id, t.id): (s, t) for s in after.leaves(e.source) for t in after.leaves(e.target)}
+        for (_, s0, t0), df in tables.items():
+            a, b = before.node(s0), before.node(t0)
+            label = f"{old.name} {s0}->{t0}"
+            if (a.id, b.id) not in pairs:
+                # an end that the new revision deletes takes its edges along: that change is told by the diff
+                if all(x.id in now and not now[x.id].abstract for x in (a, b)):
+                    out.append(_Carried(label, df, old))
+                continue
+            s, t = pairs[a.id, b.id]
+            had, has = endpoint_columns(before, old, s0, t0), endpoint_columns(after, e, s.name, t.name)
+            out.append(_Carried(label, df, old, e, (e.name, s.name, t.name), (_End(a, s, had[0], has[0]), _End(b, t, had[1], has[1]))))
+    return out
+
+
+def _carry(graph: PropertyGraph, c: _Carried) -> DataFrame | None:
+    """The edge table under the new keys. An edge of a key that stood for several rows leads to each of them, as it did in a match."""
+    df, properties = c.df, _columns(c.df, c.old.props, c.new.props)
+    marks = {f"__p_{i}": p for i, p in enumerate(properties)}
+    df = df.select("*", *(p.alias(m) for m, p in marks.items()))
+    columns: list = []
+    for side, end in enumerate(c.ends):
+        if end.direct:
+            columns += end.columns()
+            continue
+        had, has = [f"__o{side}_{k}" for k in end.old.key], [f"__n{side}_{k}" for k in end.new.key]
+        table = key_translation(graph, end.old, end.new, had, has)
+        if table is None:
+            return None
+        df = df.withColumnsRenamed(dict(zip(end.had, had, strict=True))).join(table, had)
+        columns += [F.col(f"`{n}`").alias(c) for n, c in zip(has, end.has, strict=True)]
+    out = df.select(*columns, *(F.col(m).alias(p.name) for m, p in zip(marks, c.new.props, strict=True)))
+    return out.dropna(subset=[n for end in c.ends for n in end.has])
+
+
+def migrate_graph(graph: PropertyGraph, after: Model, along: dict[str, dict[str, str]] | None = None) -> PropertyGraph:
+    """The graph's tables as the new revision lays them out: types and properties are followed by id, all else is dropped.
+
+    Where a type's key changed, both ends of its edges are translated by a join with the rows' old and new keys, unless the new key can be
+    read off the old one. along moves ends that the new revision hangs elsewhere: {"SUPPLIED_BY": {"source": "OF_PART"}} takes each source
+    to what OF_PART connects it with. What can't be carried is told by `uncarried`, which `plan_migration` refuses."""
     before = graph.model
     was: dict[str, NodeType] = {n.id: n for n in before.nodes}
     vertices = {n.name: graph.vertices[was[n.id].name].select(*_columns(graph.vertices[was[n.id].name], was[n.id].props, n.props)) for n in after.concrete() if n.id in was and was[n.id].name in graph.vertices}
-    edges = {}
-    for e in after.edges:
-        old = next((x for x in before.edges if x.id == e.id), None)
-        for s in after.leaves(e.source):
-            for t in after.leaves(e.target):
-                if old is None or s.id not in was or t.id not in was:
-                    continue
-                key = (old.name, was[s.id].name, was[t.id].name)
-                same_keys = all(len(was[x.id].key) == len(x.key) for x in (s, t))
-                if key in graph.edges and same_keys:
-                    df = graph.edges[key]
-                    renamed = [F.col(a).alias(b) for x, y in zip(endpoint_columns(before, old, key[1], key[2]), endpoint_columns(after, e, s.name, t.name), strict=True) for a, b in zip(x, y, strict=True)]
-                    edges[e.name, s.name, t.name] = df.select(*renamed, *_columns(df, old.props, e.props))
+    edges = {c.to: df for c in _edge_plan(graph, after, along or {}) if c.to and (df := _carry(graph, c)) is not None}
     return PropertyGraph(after, vertices, edges)
 
 
+def uncarried(graph: PropertyGraph, after: Model, along: dict[str, dict[str, str]] | None = None) -> DataFrame:
+    """(object, reason, rows) of what a migration to the new revision can't carry as it is; rows may be 0.
+
+    key-null and key-repeated: rows of a type whose new key is not whole, or that share it with another row. no-vertex: edges whose end
+    finds no row with a new key. key-ambiguous: edges whose old key stands for rows with different new keys. key-cast: edges whose key is lost by a change of type.
+    endpoints: edges between types that the new revision doesn't connect."""
+    was, parts = {n.id: n for n in graph.model.nodes}, []
+    spark = next(iter((graph.vertices | graph.edges).values())).sparkSession
+
+    def say(counted: DataFrame, label: str, *reasons: str) -> None:
+        parts.append(counted.select(F.inline(F.array(*(F.struct(F.lit(label).alias("object"), F.lit(r).alias("reason"), F.coalesce(F.col(f"r{i}"), F.lit(0)).cast("long").alias("rows")) for i, r in enumerate(reasons))))))
+
+    for n in after.concrete():
+        old = was.get(n.id)
+        if old is None or old.name not in graph.vertices or not n.key or (_key_ids(old) == _key_ids(n) and all(old.prop(a).type == n.prop(b).type for a, b in zip(old.key, n.key, strict=True))):
+            continue
+        df = graph.vertices[old.name]
+        keys = df.select(*(c.alias(f"k{i}") for i, c in enumerate(_columns(df, old.props, tuple(n.prop(k) for k in n.key)))))
+        whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in keys.columns])
+        say(keys.agg(F.count_if(~whole).alias("r0")), f"node {n.name}", "key-null")
+        say(keys.where(whole).groupBy(*keys.columns).agg(F.count("*").alias("n")).where("n > 1").agg(F.sum("n").alias("r0")), f"node {n.name}", "key-repeated")
+    for c in _edge_plan(graph, after, along or {}):
+        label = f"edge {c.label}"
+        if c.to is None:
+            say(c.df.agg(F.count("*").alias("r0")), label, "endpoints")
+            continue
+        for end in c.ends:
+            if end.direct:
+                if any(end.old.prop(a).type != end.new.prop(b).type for a, i in zip(end.old.key, _key_ids(end.old), strict=True) for b, j in zip(end.new.key, _key_ids(end.new), strict=True) if i == j):
+                    lost = reduce(lambda a, b: a | b, [F.col(f"`{n}`").isNull() for n in end.has])
+                    say(c.df.select(*end.columns()).agg(F.count_if(lost).alias("r0")), f"{label} at {end.old.name}", "key-cast")
+                continue
+            table = key_translation(graph, end.old, end.new, end.had, [f"__n_{k}" for k in end.new.key])
+            if table is None:
+                say(c.df.agg(F.count("*").alias("r0")), f"{label} at {end.old.name}", "no-vertex")
+                continue
+            meant = table.groupBy(*end.had).agg(F.count("*").alias("__n"))
+            joined = c.df.select(*end.had).join(meant, end.had, "left")
+            say(joined.agg(F.count_if(F.col("__n").isNull()).alias("r0"), F.count_if(F.col("__n") > 1).alias("r1")), f"{label} at {end.old.name}", "no-vertex", "key-ambiguous")
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "object string, reason string, rows long")
+
+
 def lost_values(graph: PropertyGraph, after: Model) -> DataFrame:
     """(table, column, lost): how many values that are there now a retyped column could not keep. One scan for each table."""
     out, spark = [], next(iter(graph.vertices.values())).sparkSession
@@ -213,8 +371,31 @@ class MigrationPlan:
     lockfile: str | None = None
 
 
-def plan_migration(before: Model, after: Model, revision: int, allow_destructive: bool = False, graph: PropertyGraph | None = None) -> MigrationPlan:
-    """Changes and steps of a migration. It is refused if ids are not written, and, unless allowed, if a change or, with a graph, a cast would discard data."""
+#: What each reason of `uncarried` means for its rows.
+UNCARRIED = {
+    "key-null": "rows have no whole key in the new revision", "key-repeated": "rows share their new key with others", "no-vertex": "edges lead to no row with a new key", "key-ambiguous": "edges have an old key that stands for several new ones",
+    "key-cast": "edges lose their key to a change of type", "endpoints": "edges connect types that the new revision does not",
+}
+
+
+def _unchecked(before: Model, after: Model, changes: list[Change]) -> list[Diagnostic]:
+    """Without data: keys that change, for their rows and edges can't be looked at, and edges none of whose pairs of types is left."""
+    now, said = {n.id: n for n in after.nodes}, []
+    for c in changes:
+        if c.kind == "rekeyed":
+            said.append(Diagnostic("error", "destructive-change", f"{c.label}: {c.detail}; whether its rows and edges can be carried must be counted on the graph", c.label))
+        if c.kind == "endpoints-changed":
+            old, new = next(e for e in before.edges if e.id == c.id), next(e for e in after.edges if e.id == c.id)
+            pairs = {(s.id, t.id) for s in before.leaves(old.source) for t in before.leaves(old.target) if s.id in now and t.id in now}
+            if pairs - {(s.id, t.id) for s in after.leaves(new.source) for t in after.leaves(new.target)}:
+                said.append(Diagnostic("error", "destructive-change", f"{c.label}: {c.detail}, which leaves its edges between other types behind", c.label))
+    return said
+
+
+def plan_migration(before: Model, after: Model, revision: int, allow_destructive: bool = False, graph: PropertyGraph | None = None, along: dict[str, dict[str, str]] | None = None) -> MigrationPlan:
+    """Changes and steps of a migration. It is refused if ids are not written, and, unless allowed, if a change would discard data.
+
+    With a graph, casts, keys and endpoints are judged by the rows that they can't carry; without one every changed key and lost pair of endpoints is refused."""
     from ..sources.lockfile import ids_not_written, write_lockfile
 
     if wrong := ids_not_written(after):
@@ -223,8 +404,11 @@ def plan_migration(before: Model, after: Model, revision: int, allow_destructive
     if not changes:
         return MigrationPlan([], [], [Diagnostic("info", "no-changes", "The two revisions are the same.")])
     said = [Diagnostic("error", "destructive-change", f"{c.label}: {c.detail}", c.label) for c in changes if at_least(c.change_class, "destructive")]
-    if graph is not None:
+    if graph is None:
+        said += _unchecked(before, after, changes)
+    else:
         said += [Diagnostic("error", "lossy-cast", f"{r.table}.{r.column}: {r.lost} values can't be kept", f"{r.table}.{r.column}") for r in lost_values(graph, after).where("lost > 0").collect()]  # a row for each retyped column
+        said += [Diagnostic("error", "destructive-change", f"{r.object}: {r.rows} {UNCARRIED[r.reason]}", r.object) for r in uncarried(graph, after, along).where("rows > 0").collect()]  # a few rows for each changed type and edge
     if said and not allow_destructive:
         return MigrationPlan(changes, [], said, refused=True)
     return MigrationPlan(changes, data_steps(before, after), said, lockfile=write_lockfile(after, revision + 1))

@@ -14,10 +14,7 @@ from .operators import infer, profile
 from .functions.types import parse_type
 from .operators.audit import plan_audit
 from .operators.match import match, reachable
-from .operators.migrate import Step, apply_steps, change_impact, lost_values, migrate_graph, step_impact
-from .plans.lint import lint_query
-from .plans.views import View, describe, project_view
-from .sinks import capability_rows
+from .operators.migrate import Step, apply_steps, change_impact, lost_values, migrate_graph, step_impact, uncarried
 from .streaming.audit import audit_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -184,7 +181,6 @@ e AS (SELECT conv_id || '/' || turn AS src_id, conv_id || '/' || next AS dst_id
 r AS (SELECT src_id, dst_id, 1 AS hops FROM e UNION ALL SELECT r.src_id, e.dst_id, hops + 1 FROM r JOIN e ON r.dst_id = e.src_id)
 SELECT src_id, dst_id, CAST(min(hops) AS BIGINT) AS hops FROM r GROUP BY src_id, dst_id"""
 add("match_reachable", next_turns, NEXT_TURNS)
-add("match_reachable_all", next_turns, NEXT_TURNS)
 
 
 # profiles: parties, nations and regions as labelled elements
@@ -251,7 +247,7 @@ def observed_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, n = warehouse.read(spark, sf_dir, "customer"), warehouse.read(spark, sf_dir, "nation")
     based = c.select(F.lit("BASED_IN").alias("type"), F.col("c_mktsegment").alias("src"), F.lit("Nation").alias("dst"))
     based = based.unionByName(warehouse.read(spark, sf_dir, "supplier").select(F.lit("BASED_IN").alias("type"), F.lit("Supplier").alias("src"), F.lit("Nation").alias("dst")))
-    return based.unionByName(n.select(F.lit("IN_REGION").alias("type"), F.lit("Nation").alias("src"), F.lit("Region").alias("dst"))).unionByName(c.select(F.concat_ws("_", F.lit("IN"), F.lit("SEGMENT")).alias("type"), F.col("c_mktsegment").alias("src"), F.lit("Customer").alias("dst"))).distinct()
+    return based.unionByName(n.select(F.lit("IN_REGION").alias("type"), F.lit("Nation").alias("src"), F.lit("Region").alias("dst"))).unionByName(c.select(F.lit("IN_SEGMENT").alias("type"), F.col("c_mktsegment").alias("src"), F.lit("Customer").alias("dst"))).distinct()
 
 
 OBSERVED = "(SELECT DISTINCT 'BASED_IN' AS type, c_mktsegment AS src, 'Nation' AS dst FROM customer UNION SELECT 'BASED_IN', 'Supplier', 'Nation' FROM supplier UNION SELECT 'IN_REGION', 'Nation', 'Region' FROM nation UNION SELECT 'IN_SEGMENT', c_mktsegment, 'Customer' FROM customer)"
@@ -423,7 +419,6 @@ def retyped_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RETYPED = "SELECT l_orderkey AS src_o_orderkey, l_orderkey AS dst_l_orderkey, l_linenumber AS dst_l_linenumber FROM lineitem"
 add("migrate_retype_edges", retyped_edges, RETYPED)
-add("migrate_retype_edges_all", retyped_edges, RETYPED)
 
 
 def renamed_property(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -461,10 +456,58 @@ def lossy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("migrate_lost_values", lossy, "SELECT 'Part' AS \"table\", 'p_brand' AS \"column\", count(*) FILTER (WHERE p_brand IS NOT NULL AND TRY_CAST(p_brand AS BIGINT) IS NULL) AS lost FROM part UNION ALL SELECT 'Part', 'p_size', 0")
 
-# views, descriptions, lint and capabilities: small tables worked out from the model
-add("view_expand_n_hops", lambda s, d: s.createDataFrame([(n.name,) for n in project_view(warehouse.model(), View("v", ("Customer",), 1)).nodes], "name string"), values([("Customer",), ("Party",), ("Order",)], "name"))
-add("view_expand_ancestors", lambda s, d: s.createDataFrame([(n.name,) for n in project_view(warehouse.model(), View("v", ("Party",), 2)).nodes], "name string"), values([("Party",), ("Nation",), ("Region",)], "name"))
-add("describe_type", lambda s, d: s.createDataFrame([(r["kind"], r["name"], r["type"], r["declared_on"]) for r in describe(warehouse.model(), "Supplier") if r["kind"] != "property"], "kind string, name string, type string, declared_on string"), values([("edge out", "BASED_IN", "Nation", "Party"), ("edge in", "SUPPLIED_BY", "LineItem", "Supplier")], "kind, name, type, declared_on"))
-LINTED = "MATCH (c:Customer)<-[:BASED_IN]-(n:Nation) WHERE c.c_nme = 'x' AND c.c_acctbal = 'high' AND c.c_mktsegment = 'TOYS' RETURN c; MATCH (x:Custmer)-[:KNOWS]->(y) RETURN x; MATCH (c:Customer)-[:IN_REGION]->(r:Region) RETURN r; MATCH (p:Party)-[:BASED_IN]->(n) RETURN p.s_name, n.whatever"
-add("lint_query", lambda s, d: s.createDataFrame([(f.code,) for f in lint_query(warehouse.model(), LINTED)], "code string").groupBy("code").agg(F.count("*").alias("n")), values([("lint-edge-direction", 1), ("lint-unknown-property", 1), ("lint-type-mismatch", 1), ("lint-enum-value", 1), ("lint-unknown-label", 1), ("lint-unknown-edge", 1), ("lint-edge-endpoint", 1)], "code, n", ["VARCHAR", "BIGINT"]))
-add("capabilities_by_target", lambda s, d: s.createDataFrame(capability_rows(), "target string, feature string, level string").where("level = 'enforced'").groupBy("feature").agg(F.count("*").alias("n")), values([("required", 11), ("unique", 9), ("enums", 7), ("value", 4), ("named", 3), ("cardinality", 4)], "feature, n", ["VARCHAR", "BIGINT"]))
+
+# migrations that change keys and endpoints
+def keyed(node: str, *key: str):
+    """The warehouse model with another key for a type."""
+    return warehouse.model().edit_node(node, key=key)
+
+
+def migrated_edge(after, edge: tuple[str, str, str], spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return migrate_graph(warehouse.graph(spark, sf_dir), after, **options).edges[edge]
+
+
+add("migrate_key_other_column", lambda s, d: migrated_edge(keyed("Customer", "c_name"), ("PLACED_BY", "Order", "Customer"), s, d), "SELECT o_orderkey AS src_o_orderkey, c_name AS dst_c_name FROM orders JOIN (SELECT DISTINCT c_custkey, c_name FROM customer WHERE c_name IS NOT NULL) ON o_custkey = c_custkey")
+add("migrate_key_more_columns", lambda s, d: migrated_edge(keyed("Order", "o_custkey", "o_orderkey"), ("HAS_LINE", "Order", "LineItem"), s, d), """SELECT o_custkey AS src_o_custkey, o_orderkey AS src_o_orderkey, l_orderkey AS dst_l_orderkey, l_linenumber AS dst_l_linenumber
+FROM lineitem JOIN (SELECT DISTINCT o_custkey, o_orderkey FROM orders WHERE o_custkey IS NOT NULL) ON l_orderkey = o_orderkey""")
+# the line key is not unique in the data: an edge of a key that stands for several lines leads to each of them
+add("migrate_key_both_ends", lambda s, d: migrated_edge(keyed("Order", "o_custkey", "o_orderkey").edit_node("LineItem", key=("l_orderkey", "l_linenumber", "l_partkey")), ("HAS_LINE", "Order", "LineItem"), s, d), """SELECT o_custkey AS src_o_custkey, o_orderkey AS src_o_orderkey, v.l_orderkey AS dst_l_orderkey, v.l_linenumber AS dst_l_linenumber, v.l_partkey AS dst_l_partkey
+FROM lineitem e JOIN (SELECT DISTINCT o_custkey, o_orderkey FROM orders WHERE o_custkey IS NOT NULL) ON e.l_orderkey = o_orderkey JOIN (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey IS NOT NULL) v ON e.l_orderkey = v.l_orderkey AND e.l_linenumber = v.l_linenumber""")
+add("migrate_key_fewer_columns", lambda s, d: migrated_edge(keyed("LineItem", "l_orderkey"), ("OF_PART", "LineItem", "Part"), s, d), "SELECT l_orderkey AS src_l_orderkey, l_partkey AS dst_p_partkey FROM lineitem WHERE l_linenumber IS NOT NULL AND l_partkey IS NOT NULL")
+add("migrate_key_retyped", lambda s, d: migrated_edge(warehouse.model().edit_property("Customer", "c_custkey", type=parse_type("string")), ("PLACED_BY", "Order", "Customer"), s, d), "SELECT o_orderkey AS src_o_orderkey, CAST(o_custkey AS VARCHAR) AS dst_c_custkey FROM orders WHERE o_custkey IS NOT NULL")
+add("migrate_endpoints_along", lambda s, d: migrated_edge(revisions.revisions("change_endpoints")[1], ("SUPPLIED_BY", "Part", "Supplier"), s, d, along={"SUPPLIED_BY": {"source": "OF_PART"}}), """SELECT DISTINCT f.l_partkey AS src_p_partkey, e.l_suppkey AS dst_s_suppkey
+FROM lineitem e JOIN lineitem f ON e.l_orderkey = f.l_orderkey AND e.l_linenumber = f.l_linenumber WHERE e.l_suppkey IS NOT NULL AND f.l_partkey IS NOT NULL""")
+
+
+def refused_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What four revisions of the warehouse model can't carry, by reason."""
+    pairs = {"customer": keyed("Customer", "c_name"), "line": keyed("LineItem", "l_orderkey"), "shipment": keyed("LineItem", "l_orderkey", "l_partkey"), "supplied": revisions.revisions("change_endpoints")[1]}
+    each = [uncarried(warehouse.graph(spark, sf_dir), after).select(F.lit(name).alias("revision"), "object", "reason", F.col("rows").alias("n")) for name, after in pairs.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
+LINE_KEYS = "(SELECT l_orderkey, l_linenumber, count(DISTINCT l_partkey) AS n FROM lineitem WHERE l_partkey IS NOT NULL GROUP BY l_orderkey, l_linenumber)"
+
+
+def line_edges_sql(edge: str, pair: str, where: str) -> str:
+    rows = f"FROM lineitem e LEFT JOIN {LINE_KEYS} k ON e.l_orderkey = k.l_orderkey AND e.l_linenumber = k.l_linenumber WHERE e.l_orderkey IS NOT NULL AND e.l_linenumber IS NOT NULL AND {where}"
+    return f"SELECT 'shipment' AS revision, 'edge {edge} {pair} at LineItem' AS object, 'no-vertex' AS reason, (SELECT count(*) {rows} AND n IS NULL) AS n UNION ALL SELECT 'shipment', 'edge {edge} {pair} at LineItem', 'key-ambiguous', (SELECT count(*) {rows} AND n > 1)"
+
+
+def repeated_sql(table: str, columns: str) -> str:
+    present = " AND ".join(f"{c} IS NOT NULL" for c in columns.split(", "))
+    return f"(SELECT coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM {table} WHERE {present} GROUP BY {columns} HAVING count(*) > 1))"
+
+
+add("migrate_uncarried", refused_rows, f"""SELECT revision, object, reason, CAST(n AS BIGINT) AS n FROM (SELECT 'customer' AS revision, 'node Customer' AS object, 'key-null' AS reason, (SELECT count(*) FROM customer WHERE c_name IS NULL) AS n
+UNION ALL SELECT 'customer', 'node Customer', 'key-repeated', {repeated_sql('customer', 'c_name')}
+UNION ALL SELECT 'customer', 'edge BASED_IN Customer->Nation at Customer', 'no-vertex', (SELECT count(*) FROM customer c WHERE c_nationkey IS NOT NULL AND c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_name IS NOT NULL))
+UNION ALL SELECT 'customer', 'edge BASED_IN Customer->Nation at Customer', 'key-ambiguous', (SELECT count(*) FROM customer WHERE c_nationkey IS NOT NULL AND c_custkey IN (SELECT c_custkey FROM customer GROUP BY c_custkey HAVING count(DISTINCT c_name) > 1))
+UNION ALL SELECT 'customer', 'edge PLACED_BY Order->Customer at Customer', 'no-vertex', (SELECT count(*) FROM orders WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_name IS NOT NULL))
+UNION ALL SELECT 'customer', 'edge PLACED_BY Order->Customer at Customer', 'key-ambiguous', (SELECT count(*) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer GROUP BY c_custkey HAVING count(DISTINCT c_name) > 1))
+UNION ALL SELECT 'line', 'node LineItem', 'key-null', (SELECT count(*) FROM lineitem WHERE l_orderkey IS NULL)
+UNION ALL SELECT 'line', 'node LineItem', 'key-repeated', {repeated_sql('lineitem', 'l_orderkey')}
+UNION ALL SELECT 'shipment', 'node LineItem', 'key-null', (SELECT count(*) FROM lineitem WHERE l_orderkey IS NULL OR l_partkey IS NULL)
+UNION ALL SELECT 'shipment', 'node LineItem', 'key-repeated', {repeated_sql('lineitem', 'l_orderkey, l_partkey')}
+UNION ALL {line_edges_sql('HAS_LINE', 'Order->LineItem', 'true')} UNION ALL {line_edges_sql('OF_PART', 'LineItem->Part', 'e.l_partkey IS NOT NULL')} UNION ALL {line_edges_sql('SUPPLIED_BY', 'LineItem->Supplier', 'e.l_suppkey IS NOT NULL')}
+UNION ALL SELECT 'supplied', 'edge SUPPLIED_BY LineItem->Supplier', 'endpoints', (SELECT count(*) FROM lineitem WHERE l_suppkey IS NOT NULL))""")
