@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +62,41 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return found
 
 
+class Workspace:
+    """Tables that a run of an operator writes under the checkpoint folder; all but the kept ones go when the block ends, those when the Python process ends.
+
+    A lost executor repeats its tasks from them, and plans that grow with rounds begin anew at each."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.root, self.paths = spark, f"{checkpoint_folder(spark).rstrip('/')}/work-{uuid.uuid4().hex}", []
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            remove_path(self.spark, path)
+
+    def put(self, df: DataFrame, keep: bool = False) -> DataFrame:
+        path = f"{self.root}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        if keep:
+            atexit.register(remove_path, self.spark, path)
+        else:
+            self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of Spark's file system, if it is there."""
+    try:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+    except Exception:  # the JVM is gone: the folder's owner clears it
+        pass
+
+
 class PropertyGraph:
     """vertices: a DataFrame for each concrete node type; edges: one for each (edge, source type, target type)."""
 

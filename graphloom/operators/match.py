@@ -1,25 +1,41 @@
 """Pattern matching by joins.
 
-A pattern is expanded into branches in which each node has one concrete type and each step one edge table; branches that
-no edge table fits are pruned before any plan is built. A branch is a chain of equi-joins on typed key columns, left to
-Catalyst, and the branches' results are united.
+A pattern is one or more chains of nodes and relationships, parted by commas; places with the same variable are one
+place, so that chains may meet and close rings. A pattern is expanded into branches in which each place has one concrete
+type and each step one edge table; branches that no edge table fits are pruned before any plan is built. A branch is a
+sequence of equi-joins on typed key columns, left to Catalyst, and the branches' results are united. A relationship whose
+ends are both known already is joined on both keys at once. Each row is one match; an edge may serve in several places.
+
+A plain chain is joined from left to right. Any other pattern starts at the place with the fewest rows that fit (counted), and takes up the
+relationship with the fewest edges next, those that close a ring first. Chains that share no variable would be a cross join
+and are refused.
+
+A relationship without an upper bound stands for each pair of ends that some walk of its length joins, once and with the fewest hops. Its
+walks start at the rows that the joins before it have left: each round takes the newest ends over the edge tables and
+drops those that the same start has reached before. The states are dealt out by start and end together, so a start that reaches much
+lies in no one task; rounds are written tables, which the next ones read.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..plans.patterns import NodePattern, RelPattern, parse_pattern
-from .graph import PropertyGraph, checkpoint_folder, endpoint_columns
+from ..plans.patterns import NodePattern, RelPattern, parse_patterns
+from .graph import PropertyGraph, Workspace, endpoint_columns
 
+Hop = tuple[tuple[str, str, str], bool, str]
+"""(edge table, forwards, type reached)."""
 
-def _types(graph: PropertyGraph, node: NodePattern) -> list[str]:
-    """Bound concrete types that carry all labels of a pattern."""
+
+def _types(graph: PropertyGraph, labels: tuple[str, ...]) -> list[str]:
+    """Bound concrete types that carry all labels of a place."""
     found = [n.name for n in graph.model.concrete() if n.name in graph.vertices]
-    for label in node.labels:
+    for label in labels:
         carriers = {n.name for n in graph.model.carriers(label)}
         found = [n for n in found if n in carriers]
     return found
@@ -31,8 +47,8 @@ def _literal(token) -> Column:
     return F.lit(token.text.lower() == "true") if token.kind == "word" else F.lit(token.value)
 
 
-def _steps(graph: PropertyGraph, rel: RelPattern, at: str) -> list[tuple[tuple[str, str, str], bool, str]]:
-    """(edge table, forwards, type reached) of each single hop from a type."""
+def _steps(graph: PropertyGraph, rel: RelPattern, at: str) -> list[Hop]:
+    """Each single hop from a type."""
     out = []
     for key in graph.edges:
         if rel.types and key[0] not in rel.types:
@@ -44,11 +60,9 @@ def _steps(graph: PropertyGraph, rel: RelPattern, at: str) -> list[tuple[tuple[s
     return out
 
 
-def _paths(graph: PropertyGraph, rel: RelPattern, at: str) -> list[list[tuple[tuple[str, str, str], bool, str]]]:
+def _paths(graph: PropertyGraph, rel: RelPattern, at: str) -> list[list[Hop]]:
     """Hop sequences of a bounded relationship."""
-    if rel.most is None:
-        raise ValueError("an unbounded length needs reachable()")
-    level, out = [[]], []
+    level, out = [[]], [[]] if rel.least == 0 else []
     for n in range(1, rel.most + 1):
         level = [p + [s] for p in level for s in _steps(graph, rel, p[-1][2] if p else at)]
         if n >= rel.least:
@@ -56,70 +70,232 @@ def _paths(graph: PropertyGraph, rel: RelPattern, at: str) -> list[list[tuple[tu
     return out
 
 
+def _far_types(graph: PropertyGraph, rel: RelPattern, at: str) -> list[str]:
+    """Types that an unbounded relationship can reach from a type."""
+    level, hops = frozenset([at]), 0
+    found = set(level) if rel.least == 0 else set()
+    walked: set[tuple[frozenset, int]] = set()
+    while level and (level, min(hops, rel.least)) not in walked:
+        walked.add((level, min(hops, rel.least)))
+        level = frozenset(t for x in level for _, _, t in _steps(graph, rel, x))
+        hops += 1
+        if hops >= rel.least:
+            found |= level
+    return sorted(found)
+
+
+def _edge_step(graph: PropertyGraph, hop: Hop, rel: RelPattern, here: list[str], there: list[str], shown: bool = False) -> DataFrame:
+    """An edge table with the near end's key as `here`, the far end's as `there`, and its properties if shown."""
+    key, forwards, _ = hop
+    src, dst = endpoint_columns(graph.model, graph.model.edge(key[0]), key[1], key[2])
+    near, far = (src, dst) if forwards else (dst, src)
+    table = graph.edges[key]
+    for p, token in rel.props.items():
+        table = table.where(F.col(f"`{p}`") == _literal(token))
+    own = [F.col(f"`{c}`").alias(f"{rel.variable}_{c}") for c in table.columns if c not in (*src, *dst)] + ([F.lit(key[0]).alias(f"{rel.variable}_type")] if len(rel.types) != 1 else []) if shown else []
+    if here == there:  # an edge from a row to itself
+        table = table.where(reduce(lambda a, b: a & b, [F.col(f"`{n}`") == F.col(f"`{f}`") for n, f in zip(near, far, strict=True)]))
+        far, there = [], []
+    return table.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(near, here, strict=True)), *(F.col(f"`{c}`").alias(n) for c, n in zip(far, there, strict=True)), *own)
+
+
+def walks(graph: PropertyGraph, rel: RelPattern, at: str, seeds: DataFrame, work: Workspace) -> dict[str, DataFrame]:
+    """For each type reached: start key (seeds' columns), end key (k0, k1, ...) and the fewest hops, at least `rel.least`, of walks from the seeds, which are of type `at`.
+
+    Null keys start nothing. Each round is work in proportion to the newest ends and one pass over the edges of their types."""
+    start = seeds.columns
+    ends = lambda kind: [f"k{i}" for i in range(len(graph.model.node(kind).key))]
+    first = seeds.dropna().distinct().select(*start, *(F.col(s).alias(k) for s, k in zip(start, ends(at), strict=True)))
+    new = {at: work.put(first)}
+    reached: dict[str, list[DataFrame]] = {at: [new[at].withColumn("hops", F.lit(0))]} if rel.least == 0 else {}
+    hops = 0
+    while new and (rel.most is None or hops < rel.most):
+        hops += 1
+        found: dict[str, list[DataFrame]] = {}
+        for kind, frontier in new.items():
+            for hop in _steps(graph, rel, kind):
+                far = [f"n{i}" for i in range(len(ends(hop[2])))]
+                step = frontier.join(_edge_step(graph, hop, rel, ends(kind), far), ends(kind))
+                found.setdefault(hop[2], []).append(step.select(*start, *(F.col(n).alias(k) for n, k in zip(far, ends(hop[2]), strict=True))))
+        new = {}
+        for kind, parts in found.items():
+            level = reduce(DataFrame.unionByName, parts).distinct()
+            if hops > rel.least and kind in reached:
+                known = reduce(DataFrame.unionByName, reached[kind]).select(*start, *ends(kind))
+                level = level.join(known, [*start, *ends(kind)], "left_anti")
+            level = work.put(level)
+            if not level.isEmpty():
+                new[kind] = level
+                if hops >= rel.least:
+                    reached.setdefault(kind, []).append(level.withColumn("hops", F.lit(hops)))
+    return {kind: reduce(DataFrame.unionByName, parts) for kind, parts in reached.items()}
+
+
+@dataclass
+class _Places:
+    """The places of a pattern and the relationships between them, by number of place."""
+
+    nodes: list[NodePattern]
+    filters: list[list[tuple[str, object]]]
+    rels: list[tuple[RelPattern, int, int]]
+    plain: bool
+
+
+def _places(pattern: str) -> _Places:
+    chains = parse_patterns(pattern)
+    number: dict[str, int] = {}
+    out = _Places([], [], [], len(chains) == 1)
+    for chain in chains:
+        at = []
+        for node in chain[::2]:
+            if node.variable is not None and node.variable in number:
+                i = number[node.variable]
+                out.nodes[i] = replace(out.nodes[i], labels=tuple(dict.fromkeys((*out.nodes[i].labels, *node.labels))))
+                out.plain = False
+            else:
+                i = len(out.nodes)
+                out.nodes.append(node)
+                out.filters.append([])
+                if node.variable is not None:
+                    number[node.variable] = i
+            out.filters[i] += node.props.items()
+            at.append(i)
+        out.rels += [(rel, a, b) for rel, a, b in zip(chain[1::2], at, at[1:], strict=False)]
+    taken = [r.variable for r, _, _ in out.rels if r.variable is not None]
+    if len(set(taken)) < len(taken) or set(taken) & set(number):
+        raise ValueError("a relationship's variable can stand for one relationship of a pattern")
+    out.plain = out.plain and all(r.most is not None for r, _, _ in out.rels)
+    return out
+
+
+def _counted(graph: PropertyGraph, places: _Places, allowed: list[list[str]]) -> tuple[list[int], list[int]]:
+    """How many rows fit each place, and how many edges each relationship has. One job; the numbers come to the driver."""
+    parts = []
+    for i, kinds in enumerate(allowed):
+        parts += [_filtered(graph.vertices[k], places.filters[i]).agg(F.count("*").alias("n")).select(F.lit(i).alias("place"), F.lit(0).alias("rel"), "n") for k in kinds]
+    for i, (rel, _, _) in enumerate(places.rels):
+        parts += [graph.edges[k].agg(F.count("*").alias("n")).select(F.lit(i).alias("place"), F.lit(1).alias("rel"), "n") for k in graph.edges if not rel.types or k[0] in rel.types]
+    sizes: dict[tuple[int, int], int] = {}
+    for r in reduce(DataFrame.unionByName, parts).collect():  # a row for each table
+        sizes[r.rel, r.place] = sizes.get((r.rel, r.place), 0) + r.n
+    return [sizes.get((0, i), 0) for i in range(len(allowed))], [sizes.get((1, i), 0) for i in range(len(places.rels))]
+
+
+def _order(places: _Places, rows: list[int], edges: list[int]) -> tuple[int, list[tuple[int, bool]]]:
+    """The first place, and the relationships in the order of their joins with whether each is walked backwards."""
+    # a place that an unbounded walk starts at costs a walk for each row: few rows matter more than few edges
+    first = min(range(len(places.nodes)), key=lambda i: (rows[i], i))
+    known, left, out = {first}, list(range(len(places.rels))), []
+    while left:
+        able = [i for i in left if known & set(places.rels[i][1:])]
+        if not able:
+            raise ValueError("the chains of a pattern must share variables: a cross join is no match")
+        i = min(able, key=lambda i: (not set(places.rels[i][1:]) <= known, places.rels[i][0].most is None, edges[i], i))
+        _, a, b = places.rels[i]
+        out.append((i, a not in known))
+        known |= {a, b}
+        left.remove(i)
+    if len(known) < len(places.nodes):
+        raise ValueError("the chains of a pattern must share variables: a cross join is no match")
+    return first, out
+
+
+def _filtered(df: DataFrame, filters: list[tuple[str, object]]) -> DataFrame:
+    for p, token in filters:
+        df = df.where(F.col(f"`{p}`") == _literal(token)) if p in df.columns else df.where(F.lit(False))
+    return df
+
+
+_TURNED = {"out": "in", "in": "out", "any": "any"}
+
+
 def match(graph: PropertyGraph, pattern: str) -> DataFrame:
-    """A row for each match. Columns are <variable>_<property>, and <variable>_type for variables without exactly one type."""
-    chain = parse_pattern(pattern)
-    nodes, rels = chain[::2], chain[1::2]
-    names = [n.variable or f"_n{i}" for i, n in enumerate(nodes)]
-    if len(set(names)) < len(names):
-        raise ValueError("a variable can stand for one place of a pattern")
-    allowed = [_types(graph, n) for n in nodes]
-    branches: list[tuple[list[str], list]] = [([t], []) for t in allowed[0]]
-    for i, rel in enumerate(rels):
-        branches = [(types + [path[-1][2] if path else types[-1]], taken + [path]) for types, taken in branches for path in _paths(graph, rel, types[-1]) if (path[-1][2] if path else types[-1]) in allowed[i + 1]]
+    """A row for each match. Columns are <variable>_<property>, and <variable>_type for variables without exactly one type.
+
+    The variable of an unbounded relationship has <variable>_hops, the fewest hops between the two ends. Rows then lie in tables under the checkpoint folder
+    until the Python process ends."""
+    places = _places(pattern)
+    allowed = [_types(graph, n.labels) for n in places.nodes]
+    if places.plain:
+        first, order = 0, [(i, False) for i in range(len(places.rels))]
+    else:
+        first, order = _order(places, *_counted(graph, places, allowed))
+    rels = []
+    for i, backwards in order:
+        rel, a, b = places.rels[i]
+        rels.append((replace(rel, direction=_TURNED[rel.direction]), b, a) if backwards else (rel, a, b))
+
+    branches: list[tuple[dict[int, str], list]] = [({first: t}, []) for t in allowed[first]]
+    for rel, a, b in rels:
+        grown = []
+        for types, taken in branches:
+            ways = [(t, None) for t in _far_types(graph, rel, types[a])] if rel.most is None else [(p[-1][2] if p else types[a], p) for p in _paths(graph, rel, types[a])]
+            grown += [(types | {b: t}, [*taken, path]) for t, path in ways if t in allowed[b] and types.get(b, t) == t]
+        branches = grown
     if not branches:
         raise ValueError(f"no bound tables fit the pattern {pattern}")
-    wanted = [n.variable is not None for n in nodes]
+    names = [n.variable for n in places.nodes]
+    keys = lambda i, kind: [f"__{i}_{k}" for k in graph.model.node(kind).key]
 
     def vertex(i: int, kind: str) -> DataFrame:
-        df = graph.vertices[kind]
-        for p, token in nodes[i].props.items():
-            df = df.where(F.col(f"`{p}`") == _literal(token)) if p in df.columns else df.where(F.lit(False))
-        key = graph.model.node(kind).key
-        keep = df.columns if wanted[i] else key
-        shown = [F.col(f"`{c}`").alias(f"{names[i]}_{c}") for c in keep]
-        return df.select(*shown, *(F.col(f"`{k}`").alias(f"__{i}_{k}") for k in key), *([F.lit(kind).alias(f"{names[i]}_type")] if wanted[i] and len(allowed[i]) > 1 else []))
-
-    def branch(types: list[str], paths: list) -> DataFrame:
-        df = vertex(0, types[0])
-        for i, (rel, path) in enumerate(zip(rels, paths, strict=True)):
-            here = [f"__{i}_{k}" for k in graph.model.node(types[i]).key]
-            for h, (key, forwards, reached) in enumerate(path):
-                edge = graph.model.edge(key[0])
-                src, dst = endpoint_columns(graph.model, edge, key[1], key[2])
-                near, far = (src, dst) if forwards else (dst, src)
+        df, key = _filtered(graph.vertices[kind], places.filters[i]), graph.model.node(kind).key
+        shown = [F.col(f"`{c}`").alias(f"{names[i]}_{c}") for c in df.columns] if names[i] else []
+        return df.select(*shown, *(F.col(f"`{k}`").alias(c) for k, c in zip(key, keys(i, kind), strict=True)), *([F.lit(kind).alias(f"{names[i]}_type")] if names[i] and len(allowed[i]) > 1 else []))
+
+    walked: dict[tuple, dict[str, DataFrame]] = {}
+
+    def branch(types: dict[int, str], paths: list, work: Workspace | None) -> DataFrame:
+        df, known = vertex(first, types[first]), [first]
+        for r, ((rel, a, b), path) in enumerate(zip(rels, paths, strict=True)):
+            here, there, closing = keys(a, types[a]), keys(b, types[b]), b in known
+            if path is None:
+                at = (r, *(types[k] for k in known))
+                if at not in walked:  # shared by the branches that differ only in what comes after
+                    walked[at] = walks(graph, rel, types[a], df.select(*(F.col(c).alias(f"s{i}") for i, c in enumerate(here))), work)
+                far = walked[at].get(types[b])
+                if far is None:
+                    named = lambda of, columns, to: [T.StructField(f"{to}{i}", of.schema[c].dataType) for i, c in enumerate(columns)]
+                    far = df.sparkSession.createDataFrame([], T.StructType([*named(df, here, "s"), *named(vertex(b, types[b]), there, "k"), T.StructField("hops", T.IntegerType())]))
+                far = far.withColumnsRenamed({f"s{i}": f"__s{i}" for i in range(len(here))} | {f"k{i}": f"__k{i}" for i in range(len(there))})
+                if here == there:
+                    far = far.where(reduce(lambda x, y: x & y, [F.col(f"__s{i}") == F.col(f"__k{i}") for i in range(len(here))])).drop(*(f"__k{i}" for i in range(len(here))))
+                else:
+                    far = far.withColumnsRenamed({f"__k{i}": c for i, c in enumerate(there)})
+                far = far.withColumnsRenamed({f"__s{i}": c for i, c in enumerate(here)})
+                far = far.withColumnRenamed("hops", f"{rel.variable}_hops") if rel.variable else far.drop("hops")
+                df = df.join(far, [*here, *(there if closing and here != there else [])])
+            for h, hop in enumerate(path or []):
                 last = h == len(path) - 1
-                there = [f"__{i + 1}_{k}" if last else f"__{i}_{h}_{k}" for k in graph.model.node(reached).key]
-                table = graph.edges[key]
-                for p, token in rel.props.items():
-                    table = table.where(F.col(f"`{p}`") == _literal(token))
-                own = [c for c in table.columns if c not in (*src, *dst)] if rel.variable and rel.most == 1 else []
-                step = table.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(near, here, strict=True)), *(F.col(f"`{c}`").alias(n) for c, n in zip(far, there, strict=True)), *(F.col(f"`{c}`").alias(f"{rel.variable}_{c}") for c in own), *([F.lit(key[0]).alias(f"{rel.variable}_type")] if rel.variable and rel.most == 1 and len(rel.types) != 1 else []))
-                df = df.join(step, here)
-                here = there
-            df = df.join(vertex(i + 1, types[i + 1]), here) if path else df
-        return df.select(*(c for c in df.columns if not c.startswith(("__", "_n"))))
+                end = there if last else [f"__r{r}_{h}_{k}" for k in graph.model.node(hop[2]).key]
+                step = _edge_step(graph, hop, rel, here, end, shown=bool(rel.variable) and rel.most == 1)
+                df = df.join(step, [*here, *(end if last and closing and end != here else [])])
+                here = end
+            if path == [] and a != b:
+                same = [F.col(f"`{x}`").alias(y) for x, y in zip(here, there, strict=True)]
+                df = df.where(reduce(lambda x, y: x & y, [F.col(f"`{x}`") == F.col(f"`{y}`") for x, y in zip(here, there, strict=True)])) if closing else df.select("*", *same)
+            if not closing:
+                df = df.join(vertex(b, types[b]), there)
+                known.append(b)
+        return df.select(*(c for c in df.columns if not c.startswith("__")))
 
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [branch(*b) for b in branches])
+    united = lambda work: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [branch(*b, work) for b in branches])
+    if all(rel.most is not None for rel, _, _ in rels):
+        return united(None)
+    with Workspace(next(iter(graph.vertices.values())).sparkSession) as work:
+        return work.put(united(work), keep=True)
 
 
-def reachable(graph: PropertyGraph, edge: str, most: int | None = None) -> DataFrame:
+def reachable(graph: PropertyGraph, edge: str, most: int | None = None, seeds: DataFrame | None = None) -> DataFrame:
     """(src..., dst..., hops): all pairs that one or more hops of an edge between rows of one type connect, with the fewest hops.
 
-    Each round joins the newest pairs alone with the edges and is cut off by a checkpoint; cycles end since known pairs are left out."""
+    seeds: the keys to start at, by the names of the edge's source columns; without them all sources of edges, so that the result has all pairs."""
     (key,) = graph.tables_of(edge)
     if key[1] != key[2]:
         raise ValueError("the edge must lead back to its own type")
     src, dst = endpoint_columns(graph.model, graph.model.edge(edge), key[1], key[2])
-    spark = graph.edges[key].sparkSession
-    checkpoint_folder(spark)
-    edges = graph.edges[key].select(*src, *dst).distinct().checkpoint()
-    known = new = edges.withColumn("hops", F.lit(1)).checkpoint()
-    hops = 1
-    while (most is None or hops < most) and not new.isEmpty():
-        hops += 1
-        step = edges.select(*(F.col(c).alias(d) for c, d in zip(src, dst, strict=True)), *(F.col(c).alias(f"next_{c}") for c in dst))
-        far = new.join(step, dst).select(*src, *(F.col(f"next_{c}").alias(c) for c in dst)).distinct()
-        new = far.join(known, [*src, *dst], "left_anti").withColumn("hops", F.lit(hops)).checkpoint()
-        known = known.unionByName(new).checkpoint()
-    return known
+    starts = (graph.edges[key] if seeds is None else seeds).select(*(F.col(c).alias(f"s{i}") for i, c in enumerate(src)))
+    with Workspace(starts.sparkSession) as work:
+        found = walks(graph, RelPattern(types=(edge,), direction="out", least=1, most=most), key[1], starts, work)
+        shown = [F.col(f"s{i}").alias(c) for i, c in enumerate(src)] + [F.col(f"k{i}").alias(c) for i, c in enumerate(dst)]
+        pairs = found[key[1]].select(*shown, "hops") if key[1] in found else starts.limit(0).select(*(F.col(f"s{i}").alias(c) for i, c in enumerate(src)), *(F.col(f"s{i}").alias(c) for i, c in enumerate(dst)), F.lit(1).alias("hops"))
+        return work.put(pairs, keep=True)

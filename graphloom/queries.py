@@ -147,6 +147,21 @@ add("match_order_part_supplier", partial(matched, "(o:Order {o_orderpriority: '1
 JOIN lineitem f ON f.l_orderkey = v.l_orderkey AND f.l_linenumber = v.l_linenumber JOIN part ON f.l_partkey = p_partkey WHERE o_orderpriority = '1-URGENT' GROUP BY p_brand""")
 add("match_composite_key", partial(matched, "(v:Conversation)-[:HAS_TURN]->(t:UserTurn)", {"v_conv_id": "conv_id"}), "SELECT conv_id, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY conv_id")
 
+# rings, several chains and walks of any length
+add("match_ring_local_supplier", partial(matched, "(o:Order {o_orderstatus: 'F'})-[:PLACED_BY]->(c:Customer)-[:BASED_IN]->(n:Nation), (o)-[:HAS_LINE]->(l:LineItem)-[:SUPPLIED_BY]->(s:Supplier)-[:BASED_IN]->(n)", {"n_n_name": "nation"}), """SELECT n_name AS nation, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN lineitem e ON o_orderkey = e.l_orderkey
+JOIN lineitem v ON e.l_orderkey = v.l_orderkey AND e.l_linenumber = v.l_linenumber JOIN lineitem f ON f.l_orderkey = v.l_orderkey AND f.l_linenumber = v.l_linenumber JOIN supplier ON f.l_suppkey = s_suppkey AND s_nationkey = n_nationkey WHERE o_orderstatus = 'F' GROUP BY n_name""")
+add("match_two_chains", partial(matched, "(l:LineItem)-[:OF_PART]->(p:Part {p_size: 15}), (l)-[:SUPPLIED_BY]->(s:Supplier)", {"s_s_suppkey": "suppkey", "p_p_brand": "brand"}), """SELECT s_suppkey AS suppkey, p_brand AS brand, count(*) AS n FROM lineitem v JOIN lineitem e ON e.l_orderkey = v.l_orderkey AND e.l_linenumber = v.l_linenumber JOIN part ON e.l_partkey = p_partkey
+JOIN lineitem f ON f.l_orderkey = v.l_orderkey AND f.l_linenumber = v.l_linenumber JOIN supplier ON f.l_suppkey = s_suppkey WHERE p_size = 15 GROUP BY s_suppkey, p_brand""")
+WALKED = """WITH RECURSIVE e AS (SELECT DISTINCT * FROM (SELECT 'Order/' || o_orderkey AS a, 'Customer/' || o_custkey AS b FROM orders UNION ALL SELECT 'Order/' || l_orderkey, 'LineItem/' || l_orderkey || '/' || l_linenumber FROM lineitem UNION ALL SELECT 'LineItem/' || l_orderkey || '/' || l_linenumber, 'Part/' || l_partkey FROM lineitem
+UNION ALL SELECT 'LineItem/' || l_orderkey || '/' || l_linenumber, 'Supplier/' || l_suppkey FROM lineitem UNION ALL SELECT 'Customer/' || c_custkey, 'Nation/' || c_nationkey FROM customer UNION ALL SELECT 'Supplier/' || s_suppkey, 'Nation/' || s_nationkey FROM supplier UNION ALL SELECT 'Nation/' || n_nationkey, 'Region/' || n_regionkey FROM nation) WHERE a IS NOT NULL AND b IS NOT NULL),
+r AS (SELECT a AS start, b AS node, 1 AS hops FROM e JOIN orders ON a = 'Order/' || o_orderkey WHERE o_orderpriority = '1-URGENT' UNION SELECT r.start, e.b, r.hops + 1 FROM r JOIN e ON r.node = e.a),
+best AS (SELECT start, node, min(hops) AS hops FROM r WHERE hops >= {least} GROUP BY start, node),
+copies AS (SELECT 'LineItem/' || l_orderkey || '/' || l_linenumber AS node, count(*) AS k FROM lineitem GROUP BY 1)
+SELECT split_part(node, '/', 1) AS kind, CAST(hops AS INTEGER) AS hops, CAST(sum(coalesce(k, 1)) AS BIGINT) AS n FROM best LEFT JOIN copies USING (node) GROUP BY 1, 2"""
+ANY_WALK = "(o:Order {o_orderpriority: '1-URGENT'})-[w:PLACED_BY|HAS_LINE|OF_PART|SUPPLIED_BY|BASED_IN|IN_REGION*%s]->(x)"
+add("match_unbounded", partial(matched, ANY_WALK % "", {"x_type": "kind", "w_hops": "hops"}), WALKED.format(least=1))
+add("match_unbounded_from_three", partial(matched, ANY_WALK % "3..", {"x_type": "kind", "w_hops": "hops"}), WALKED.format(least=3))
+
 
 def optional_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators.audit import degrees

@@ -388,3 +388,79 @@ def test_changed_endpoints_are_refused_or_moved_along_an_edge(spark, model):
     up = model.edit_edge("PLACED_BY", target="Party")
     h = build(spark, model, {("PLACED_BY", "Order", "Customer"): [(1, 1)]}, Order=[{}], Customer=[{}])
     assert not refusals(h, up) and migrate_graph(h, up).edges["PLACED_BY", "Order", "Customer"].collect() == [(1, 1)], "an end that moves up to its ancestor keeps its edges"
+
+
+def test_rings_and_several_chains(port):
+    rows = lambda p, *c: sorted(tuple(r[x] for x in c) for r in match(port, p).collect())
+    ring = "(a:Ship)-[:TOWS]->(b:Ship)-[:TOWS]->(c)-[:TOWS]->(a)"
+    assert rows(ring, "a_imo", "b_imo", "c_imo") == [(1, 2, 3), (2, 3, 1), (3, 1, 2)]
+    plan = match(port, ring)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    assert rows("(a:Ship)-[:TOWS]->(b), (b)-[:CALLS_AT]->(p:Yard)", "a_imo", "b_imo", "p_code") == [(1, 2, "y")]
+    assert rows("(a:Ship)-[:CALLS_AT]->(p:Berth), (a)-[:TOWS]->(b), (b)-[:CALLS_AT]->(q)", "a_imo", "p_code", "b_imo", "q_code") == [(1, "b", 2, "y")]
+    assert rows("(a:Ship)-[:TOWS*1..2]->(b)-[:TOWS]->(a)", "a_imo", "b_imo") == [(1, 3), (2, 1), (3, 2)]
+    assert rows("(a:Ship {imo: 1})-[:TOWS*0..1]->(b)", "b_imo") == [(1,), (2,)]
+    assert rows("(a:Ship {imo: 1}), (a {flag: 'oslo'})-[:TOWS]->(b)", "b_imo") == [(2,)], "a place has the filters of all its mentions"
+    assert rows("(a:Ship {imo: 1}), (a {flag: 'malta'})-[:TOWS]->(b)", "b_imo") == []
+    with pytest.raises(ValueError, match="cross join"):
+        match(port, "(a:Ship), (p:Berth)")
+    with pytest.raises(ValueError, match="one relationship"):
+        match(port, "(a:Ship)-[r:TOWS]->(b)-[r:TOWS]->(c)")
+    with pytest.raises(ValueError, match="no pattern"):
+        match(port, "(a:Ship)-[:TOWS]->(b),")
+    with pytest.raises(ValueError, match="no bound tables"):
+        match(port, "(a:Ship)-[:TOWS]->(b), (b:Berth)-[:CALLS_AT]-(c)")
+
+
+def test_edges_to_their_own_row(spark, port):
+    loops = PropertyGraph(port.model, port.vertices, {("TOWS", "Ship", "Ship"): spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, 3)], "src_imo long, dst_imo long")})
+    assert [r.a_imo for r in match(loops, "(a:Ship)-[:TOWS]->(a)").collect()] == [1, 1], "each edge is a match"
+    assert [r.a_imo for r in match(loops, "(a:Ship)-[:TOWS*2..]->(a)").collect()] == [1]
+    assert sorted((r.a_imo, r.b_imo) for r in match(loops, "(a:Ship)-[:TOWS*0..]->(b), (a)-[:TOWS]->(b)").collect()) == [(1, 1), (1, 1), (1, 2), (2, 3)]
+
+
+def test_walks_of_any_length(spark, port):
+    rows = lambda p, *c: sorted(tuple(r[x] for x in c) for r in match(port, p).collect())
+    assert rows("(a:Ship {imo: 1})-[w:TOWS*]->(b)", "b_imo", "w_hops") == [(1, 3), (2, 1), (3, 2)]
+    assert rows("(a:Ship {imo: 1})-[w:TOWS*2..]->(b)", "b_imo", "w_hops") == [(1, 3), (2, 4), (3, 2)]
+    assert rows("(a:Ship {imo: 1})-[w:TOWS*0..]->(b)", "b_imo", "w_hops") == [(1, 0), (2, 1), (3, 2)]
+    assert rows("(b)<-[w:TOWS*]-(a:Ship {imo: 1})", "b_imo", "w_hops") == [(1, 3), (2, 1), (3, 2)], "the walk starts at the place with fewer rows"
+    assert rows("(a:Ship {imo: 3})-[w:TOWS|CALLS_AT*]->(x)", "x_type", "x_imo", "x_code", "w_hops") == [("Berth", None, "b", 2), ("Ship", 1, None, 1), ("Ship", 2, None, 2), ("Ship", 3, None, 3), ("Yard", None, "y", 3)]
+    assert rows("(a:Ship {imo: 3})-[:TOWS|CALLS_AT*]->(x:Place)", "x_type", "x_code") == [("Berth", "b"), ("Yard", "y")]
+    assert rows("(a:Ship {imo: 3})-[:TOWS*]->(b)-[:CALLS_AT]->(p:Berth)", "b_imo", "p_code") == [(1, "b")]
+    assert rows("(a:Ship {imo: 9})-[w:TOWS*]->(b)", "b_imo") == []
+    assert match(port, "(a:Ship {imo: 9})-[w:TOWS*]->(b)").columns == match(port, "(a:Ship {imo: 1})-[w:TOWS*]->(b)").columns
+    seeds = spark.createDataFrame([(2,), (2,), (None,)], "src_imo long")
+    assert sorted(map(tuple, reachable(port, "TOWS", seeds=seeds).collect())) == [(2, 1, 2), (2, 2, 3), (2, 3, 1)]
+    assert reachable(port, "TOWS", seeds=seeds.where("src_imo = 7")).collect() == []
+
+
+@pytest.mark.parametrize(("arrow", "least"), [("->", 1), ("->", 3), ("-", 2)])
+def test_walks_against_brute_force(spark, port, arrow, least):
+    import random
+
+    rng = random.Random(least)
+    edges = [(rng.randrange(12), rng.randrange(12)) for _ in range(14)]
+    ships = spark.createDataFrame([(i,) for i in range(12)], "imo long")
+    g = PropertyGraph(port.model, {"Ship": ships}, {("TOWS", "Ship", "Ship"): spark.createDataFrame(edges, "src_imo long, dst_imo long")})
+    ways, want = {*edges} | ({(b, a) for a, b in edges} if arrow == "-" else set()), {}
+    for start in range(3, 12):
+        level = {start}
+        for hops in range(1, 60):
+            level = {b for a, b in ways if a in level}
+            if hops >= least:
+                for node in level:
+                    want.setdefault((start, node), hops)
+    got = match(g, f"(a:Ship)-[w:TOWS*{least}..]{arrow}(b:Ship)").where("a_imo >= 3")
+    assert {(r.a_imo, r.b_imo): r.w_hops for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_walks_leave_only_their_result(spark, port):
+    from pathlib import Path
+
+    from graphloom.operators.graph import checkpoint_folder
+
+    root = Path(checkpoint_folder(spark).removeprefix("file:"))
+    before = set(root.glob("work-*"))
+    assert match(port, "(a:Ship {imo: 1})-[:TOWS*]->(b)").count() == 3
+    assert len(set(root.glob("work-*")) - before) == 1
