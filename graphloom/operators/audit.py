@@ -16,14 +16,36 @@ from pyspark.sql import functions as F
 
 from ..functions.types import UNSIGNED_MAX
 from ..plans.model import Bound, Constraint, Diagnostic, EdgeType, Model, NodeType, Property
-from .graph import PropertyGraph, endpoint_columns
+from .graph import PropertyGraph, Workspace, endpoint_columns
 
 SCHEMA = "code string, label string, violations long"
 
 
+@dataclass(frozen=True)
+class Keyed:
+    """A check that is decided key by key, from how many node rows and how many edges' ends have the key.
+
+    repeats: keys with several rows; bound: keys of rows with too few or too many edges; dangling: edges at keys without a row.
+    sides gives the (table, key columns, whether rows of nodes, whether null keys count) that a graph has for it."""
+
+    kind: str
+    sides: Callable[[PropertyGraph], list[tuple[tuple[str, ...], list[str], bool, bool]]]
+    least: int | None = None
+    most: int | None = None
+
+    def violations(self, nodes, edges):
+        """The violations of one key from its numbers, which may be columns or arrays; booleans are taken as 0 and 1."""
+        if self.kind == "repeats":
+            return nodes > 1
+        if self.kind == "dangling":
+            return (nodes == 0) * edges
+        wrong = [x for x in (None if self.least is None else edges < self.least, None if self.most is None else edges > self.most) if x is not None]
+        return (nodes > 0) & reduce(lambda a, b: a | b, wrong)
+
+
 @dataclass(frozen=True)
 class Check:
-    """One question to the data. Row checks have a predicate on a row of `table`; others build their own count."""
+    """One question to the data. Row checks have a predicate on a row of `table`; others build their own count, and say how it goes by key if it does."""
 
     code: str
     label: str
@@ -31,6 +53,7 @@ class Check:
     severity: str = "violation"
     predicate: Callable[[], Column] | None = None
     count: Callable[[PropertyGraph], DataFrame] | None = None
+    keyed: Keyed | None = None
 
 
 @dataclass
@@ -70,19 +93,25 @@ class AuditPlan:
     def split(self, graph: PropertyGraph, node: str) -> tuple[DataFrame, DataFrame]:
         """(good, quarantined) rows of a node table by its row checks, and by its key: of rows with one whole key the first by all columns is good.
 
+        The rows of repeated keys are written under the checkpoint folder until the Python process ends; the least of a key is found by one aggregate.
         Quarantined rows carry `_failed`, the labels of what they break. A null predicate counts as kept."""
         df, checks = graph.vertices[node], [c for c in self.checks if c.table == (node,) and c.predicate is not None and c.severity == "violation"]
         failed = F.array_compact(F.array(F.lit(None).cast("string"), *(F.when(F.coalesce(c.predicate(), F.lit(False)), c.label) for c in checks)))
         marked = df.withColumn("_failed", failed)
         key = self.model.node(node).key
         if key:
-            from pyspark.sql import Window
-
-            rank = F.row_number().over(Window.partitionBy(*key).orderBy(*(F.col(c) for c in df.columns if c in self.model.schema(node).names)))
             # a row without a whole key repeats nothing and is not gathered with others
             whole = reduce(lambda a, b: a & b, [F.col(f"`{k}`").isNotNull() for k in key])
-            ranked = marked.where(whole).withColumn("_failed", F.when(rank > 1, F.array_append("_failed", F.lit(f"{node} key ({', '.join(key)})"))).otherwise(F.col("_failed")))
-            marked = ranked.unionByName(marked.where(~whole))
+            label = F.lit(f"{node} key ({', '.join(key)})")
+            own = [c for c in df.columns if c in self.model.schema(node).names and c not in key]
+            keyed = marked.where(whole)
+            counted = keyed.join(keyed.groupBy(*key).agg(F.count("*").alias("_n")), list(key))
+            # rows of repeated keys are written once, so that the numbers that tell alike rows apart stay as they are
+            row = F.struct(*(F.col(f"`{c}`") for c in own), F.monotonically_increasing_id())
+            repeated = Workspace(df.sparkSession).put(counted.where("_n > 1").select(*marked.columns, row.alias("_row")), keep=True)
+            least = repeated.groupBy(*key).agg(F.min("_row").alias("_least"))
+            later = repeated.join(least, list(key)).withColumn("_failed", F.when(F.col("_row") > F.col("_least"), F.array_append("_failed", label)).otherwise(F.col("_failed")))
+            marked = reduce(DataFrame.unionByName, [counted.where("_n = 1").select(marked.columns), later.select(marked.columns), marked.where(~whole)])
         return marked.where(F.size("_failed") == 0).drop("_failed"), marked.where(F.size("_failed") > 0)
 
 
@@ -108,6 +137,10 @@ def _duplicates(columns: list[str], table: tuple[str, ...]) -> Callable[[Propert
     return count
 
 
+def _repeats(columns: list[str], table: tuple[str, ...]) -> Keyed:
+    return Keyed("repeats", lambda graph: [(table, columns, True, False)])
+
+
 def outside(column: Column, least, most) -> Column:
     conditions = ([column < least] if least is not None else []) + ([column > most] if most is not None else [])
     return reduce(lambda a, b: a | b, conditions)
@@ -135,7 +168,7 @@ def value_checks(model: Model, owner: str, table: tuple[str, ...], p: Property,
     if p.required:
         row("required", f"{name} required", lambda: col().isNull())
     if p.unique:
-        out.append(Check("unique", f"{name} unique", table, count=_duplicates([p.name], table)))
+        out.append(Check("unique", f"{name} unique", table, count=_duplicates([p.name], table), keyed=_repeats([p.name], table)))
     tests: list[tuple[str, str, Callable[[Column], Column]]] = []
     if p.enum and (values := model.enum(p.enum)):
         tests.append(("enum", f"{name} in enum {p.enum}", lambda c: ~c.isin(*values.values)))
@@ -184,21 +217,24 @@ def _assertion(c: Constraint) -> Column:
     raise ValueError(c.kind)
 
 
+def _edge_ends(graph: PropertyGraph, edge: EdgeType, node: str, outgoing: bool, of: str | None = None) -> list[tuple[tuple[str, str, str], list[str]]]:
+    """(edge table, key columns) of each table of an edge whose source (or target) is the node; `of` keeps edges to (or from) that type."""
+    out = []
+    for e, s, t in graph.tables_of(edge.name):
+        other = graph.model.node(t if outgoing else s)
+        if (s if outgoing else t) == node and (not of or of == other.name or of in other.ancestors):
+            out.append(((e, s, t), endpoint_columns(graph.model, edge, s, t)[0 if outgoing else 1]))
+    return out
+
+
 def degrees(graph: PropertyGraph, edge: EdgeType, node: str, outgoing: bool, of: str | None = None) -> DataFrame:
     """For each distinct key of a concrete node type the number `n` of its edges, 0 included; `of` keeps edges to (or from) that type.
 
     Nodes and edges' ends meet in one aggregate by key, which needs no join. Ends without a key belong to no node."""
-    model, key = graph.model, list(graph.model.node(node).key)
+    key = list(graph.model.node(node).key)
     rows = [graph.vertices[node].select(*key, F.lit(0).alias("n"), F.lit(True).alias("_node"))]
-    for e, s, t in graph.tables_of(edge.name):
-        if (s if outgoing else t) != node:
-            continue
-        other = model.node(t if outgoing else s)
-        if of and of != other.name and of not in other.ancestors:
-            continue
-        src, dst = endpoint_columns(model, edge, s, t)
-        own = src if outgoing else dst
-        rows.append(graph.edges[e, s, t].where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in own])).select(*(F.col(c).alias(k) for c, k in zip(own, key, strict=True)), F.lit(1).alias("n"), F.lit(False).alias("_node")))
+    for table, own in _edge_ends(graph, edge, node, outgoing, of):
+        rows.append(graph.edges[table].where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in own])).select(*(F.col(c).alias(k) for c, k in zip(own, key, strict=True)), F.lit(1).alias("n"), F.lit(False).alias("_node")))
     return reduce(DataFrame.unionByName, rows).groupBy(*key).agg(F.sum("n").alias("n"), F.bool_or("_node").alias("_node")).where("_node").drop("_node")
 
 
@@ -207,6 +243,17 @@ def _bounded(edge: EdgeType, node: str, outgoing: bool, limit: Bound, of: str |
     return lambda graph: _one(degrees(graph, edge, node, outgoing, of).where(outside(F.col("n"), least, limit.most)))
 
 
+def _bounds(edge: EdgeType, node: str, outgoing: bool, limit: Bound, of: str | None = None) -> Keyed:
+    sides = lambda graph: [((node,), list(graph.model.node(node).key), True, True), *((t, c, False, False) for t, c in _edge_ends(graph, edge, node, outgoing, of))]
+    return Keyed("bound", sides, limit.least if limit.least > 0 else None, limit.most)
+
+
+def _hanging(edge: EdgeType, source: str, target: str, outgoing: bool) -> Keyed:
+    node = source if outgoing else target
+    own = lambda graph: endpoint_columns(graph.model, edge, source, target)[0 if outgoing else 1]
+    return Keyed("dangling", lambda graph: [((node,), list(graph.model.node(node).key), True, False), ((edge.name, source, target), own(graph), False, True)])
+
+
 def _dangling(edge: EdgeType, source: str, target: str, outgoing: bool) -> Callable[[PropertyGraph], DataFrame]:
     def count(graph: PropertyGraph) -> DataFrame:
         sides = endpoint_columns(graph.model, edge, source, target)
@@ -251,7 +298,7 @@ def plan_audit(model: Model, layout: str = "leaf", elements: bool = False, bag:
             for k in n.key:
                 checks.append(Check("key-present", f"{n.name} key part {k}{tag}", table, predicate=lambda k=k: F.col(f"`{k}`").isNull()))
             if n.key:
-                checks.append(Check("key-unique", f"{n.name} key ({', '.join(n.key)}){tag}", table, count=_duplicates(list(n.key), table)))
+                checks.append(Check("key-unique", f"{n.name} key ({', '.join(n.key)}){tag}", table, count=_duplicates(list(n.key), table), keyed=_repeats(list(n.key), table)))
             for p in n.props:
                 if p.name not in n.key:  # key parts have their own two checks and no others
                     checks += value_checks(model, f"{n.name}{tag}", table, p, said, elements)
@@ -261,7 +308,7 @@ def plan_audit(model: Model, layout: str = "leaf", elements: bool = False, bag:
                 if c.kind != "count":
                     checks.append(Check("constraint", f"{n.name}.{c.name}{tag}", table, c.severity, predicate=lambda c=c: _assertion(c)))
                 elif (e := model.edge(c.edge)) and (c.bound.least > 0 or c.bound.most is not None):
-                    checks.append(Check("constraint", f"{n.name}.{c.name}{tag}", table, c.severity, count=_bounded(e, owner, True, c.bound, c.of)))
+                    checks.append(Check("constraint", f"{n.name}.{c.name}{tag}", table, c.severity, count=_bounded(e, owner, True, c.bound, c.of), keyed=_bounds(e, owner, True, c.bound, c.of)))
     for e in model.edges:
         sources, targets = [x.name for x in model.leaves(e.source)], [x.name for x in model.leaves(e.target)]
         if not sources or not targets:
@@ -273,11 +320,11 @@ def plan_audit(model: Model, layout: str = "leaf", elements: bool = False, bag:
                 for p in e.props:
                     checks += value_checks(model, e.name if len(sources) * len(targets) == 1 else f"{e.name} [{s} to {t}]", table, p, said, elements)
                 for outgoing, node in ((True, s), (False, t)):
-                    checks.append(Check("foreign-key", f"{e.name} {'from' if outgoing else 'to'} {node}" + ("" if len(sources) * len(targets) == 1 else f" [{s} to {t}]"), table, count=_dangling(e, s, t, outgoing)))
+                    checks.append(Check("foreign-key", f"{e.name} {'from' if outgoing else 'to'} {node}" + ("" if len(sources) * len(targets) == 1 else f" [{s} to {t}]"), table, count=_dangling(e, s, t, outgoing), keyed=_hanging(e, s, t, outgoing)))
         for end, limit, nodes, outgoing in (("to", e.targets, e.source, True), ("from", e.sources, e.target, False)):
             if limit.least > 0 or limit.most is not None:
                 for node in [x.name for x in (model.leaves(nodes) if layout == "leaf" else model.carriers(nodes))]:
-                    checks.append(Check("cardinality", f"{e.name} {end}-cardinality at {node}", (node,), count=_bounded(e, node, outgoing, limit)))
+                    checks.append(Check("cardinality", f"{e.name} {end}-cardinality at {node}", (node,), count=_bounded(e, node, outgoing, limit), keyed=_bounds(e, node, outgoing, limit)))
     return AuditPlan(model, checks, said)
 
 

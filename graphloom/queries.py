@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial, reduce
 
@@ -13,8 +14,10 @@ from .operators import drift as drifts
 from .operators import infer, profile
 from .functions.types import parse_type
 from .operators.audit import plan_audit
+from .operators.graph import PropertyGraph, checkpoint_folder, to_model
 from .operators.match import match, reachable
 from .operators.migrate import Step, apply_steps, change_impact, lost_values, migrate_graph, step_impact, uncarried
+from .streaming import stateful
 from .streaming.audit import audit_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,6 +128,40 @@ UNION ALL SELECT 'required', 'Order.o_orderdate required', count(*) FILTER (WHER
 UNION ALL SELECT 'constraint', 'Order.statusIsNotPriority', count(*) FILTER (WHERE o_orderstatus = o_orderpriority) FROM orders)""")
 
 
+def stream_of(spark: SparkSession, path: str) -> DataFrame:
+    """A table's files as a stream; the table may be one file."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path if not path.endswith(".parquet") else path + "*")
+
+
+def audited_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys, counts of edges and foreign keys of customers and suppliers, their nations, regions and orders, all files of the tables taken as streams."""
+    m, t = warehouse.model(), {n: stream_of(spark, f"{sf_dir}/{n}.parquet") for n in ("customer", "supplier", "nation", "region", "orders")}
+    g = PropertyGraph(m, {kind: to_model(t[n], m, kind) for kind, n in (("Customer", "customer"), ("Supplier", "supplier"), ("Nation", "nation"), ("Region", "region"))})
+    g = g.bind_edge("IN_REGION", "Nation", "Region", t["nation"], ["n_nationkey"], ["n_regionkey"])
+    g = g.bind_edge("BASED_IN", "Customer", "Nation", t["customer"], ["c_custkey"], ["c_nationkey"]).bind_edge("BASED_IN", "Supplier", "Nation", t["supplier"], ["s_suppkey"], ["s_nationkey"])
+    g = g.bind_edge("PLACED_BY", "Order", "Customer", t["orders"], ["o_orderkey"], ["o_custkey"])
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/keys-{uuid.uuid4().hex}"
+    stateful.audit_keys(g, plan_audit(m), folder).awaitTermination()
+    return stateful.violations(g, plan_audit(m), folder)
+
+
+def degree_sql(key: str, table: str, end: str, edges: str, cond: str) -> str:
+    return DEGREE.format(key=key, t=table, e=end, et=edges, on=f"{key} = {end}", cond=cond)
+
+
+KEYED = [("key-unique", f"{kind} key ({c})", COUNT + f"(SELECT {c} FROM {t} WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) > 1)") for kind, c, t in (("Region", "r_regionkey", "region"), ("Nation", "n_nationkey", "nation"), ("Customer", "c_custkey", "customer"), ("Supplier", "s_suppkey", "supplier"))]
+KEYED += [("unique", *AUDITS["unique_region_name"][::2])]
+KEYED += [("foreign-key", x, COUNT + f"{t} WHERE {k} IS NOT NULL AND {n} IS NOT NULL AND {c} NOT IN (SELECT {of} FROM {at} WHERE {of} IS NOT NULL)") for x, t, k, n, c, of, at in (
+    ("IN_REGION from Nation", "nation", "n_nationkey", "n_regionkey", "n_nationkey", "n_nationkey", "nation"), ("IN_REGION to Region", "nation", "n_nationkey", "n_regionkey", "n_regionkey", "r_regionkey", "region"),
+    ("BASED_IN from Customer [Customer to Nation]", "customer", "c_custkey", "c_nationkey", "c_custkey", "c_custkey", "customer"), ("BASED_IN to Nation [Customer to Nation]", "customer", "c_custkey", "c_nationkey", "c_nationkey", "n_nationkey", "nation"),
+    ("BASED_IN from Supplier [Supplier to Nation]", "supplier", "s_suppkey", "s_nationkey", "s_suppkey", "s_suppkey", "supplier"), ("BASED_IN to Nation [Supplier to Nation]", "supplier", "s_suppkey", "s_nationkey", "s_nationkey", "n_nationkey", "nation"),
+)]
+KEYED += [("foreign-key", "PLACED_BY to Customer", AUDITS["fk_orders_customer"][2] + " AND o_orderkey IS NOT NULL AND o_custkey IS NOT NULL"), ("cardinality", AUDITS["cardinality_max_customer_orders"][0], AUDITS["cardinality_max_customer_orders"][2])]
+KEYED += [("cardinality", f"BASED_IN to-cardinality at {kind}", degree_sql(key, t, "k", f"(SELECT {key} AS k FROM {t} WHERE {n} IS NOT NULL)", "n <> 1")) for kind, key, t, n in (("Customer", "c_custkey", "customer", "c_nationkey"), ("Supplier", "s_suppkey", "supplier", "s_nationkey"))]
+KEYED += [("cardinality", "IN_REGION to-cardinality at Nation", degree_sql("n_nationkey", "nation", "k", "(SELECT n_nationkey AS k FROM nation WHERE n_regionkey IS NOT NULL)", "n > 1"))]
+add("streaming_audit_keys", audited_keys, " UNION ALL ".join(f"SELECT {quoted(c)} AS code, {quoted(x)} AS label, violations FROM ({s})" for c, x, s in KEYED))
+
+
 # patterns
 def matched(pattern: str, group: dict[str, str], spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of a pattern counted by some columns."""
@@ -175,7 +212,6 @@ add("match_optional_count", optional_counts, "SELECT c_custkey, count(o_orderkey
 
 def next_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns of all conversations as chains: what each turn leads to, in any number of hops."""
-    from .operators.graph import PropertyGraph
     from .plans.resolve import model_of
 
     m = model_of("""

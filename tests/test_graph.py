@@ -464,3 +464,93 @@ def test_walks_leave_only_their_result(spark, port):
     before = set(root.glob("work-*"))
     assert match(port, "(a:Ship {imo: 1})-[:TOWS*]->(b)").count() == 3
     assert len(set(root.glob("work-*")) - before) == 1
+
+
+@pytest.fixture
+def arriving(spark, model, tmp_path):
+    """Customers, orders and their edges in files, with repeats, dangling ends, null keys and a customer of many orders; and the batch audit of them."""
+    from graphloom.streaming import stateful
+
+    orders = [{"o_orderkey": i} for i in [*range(30), 3, 3, None]]
+    customers = [{"c_custkey": i, "c_name": f"c{i}"} for i in [*range(6), 4, None]]
+    placed = [(i, i % 4 if i < 12 else 5) for i in range(30)] + [(2, 77), (3, 78), (3, 78), (40, 1)]
+    g = build(spark, model, {("PLACED_BY", "Order", "Customer"): placed}, Order=orders, Customer=customers)
+    plan = plan_audit(model)
+    folders = {t: str(tmp_path / "-".join(t)) for t in (("Order",), ("Customer",), ("PLACED_BY", "Order", "Customer"))}
+    files = []
+    for t, df in ((("Order",), g.vertices["Order"]), (("Customer",), g.vertices["Customer"]), (("PLACED_BY", "Order", "Customer"), g.edges["PLACED_BY", "Order", "Customer"])):
+        rows = df.collect()
+        (tmp_path / "-".join(t)).mkdir()
+        for i in range(0, len(rows), 9):
+            spark.createDataFrame(rows[i : i + 9], df.schema).coalesce(1).write.parquet(str(tmp_path / "made" / f"{'-'.join(t)}-{i}"))
+            files.append((next((tmp_path / "made" / f"{'-'.join(t)}-{i}").glob("part-*")), folders[t]))
+    checks = stateful.keyed_checks(plan, g)
+    want = {(r.code, r.label): r.violations for r in plan.only(*(c.label for c in checks)).run(g).collect()}
+    return g, plan, folders, files, {k: v for k, v in want.items() if any((c.code, c.label) == k for c in checks)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_streams_count_like_batches_in_any_order_and_after_a_restart(spark, arriving, tmp_path, seed):
+    import random
+    import shutil
+
+    from graphloom.streaming import stateful
+
+    g, plan, folders, files, want = arriving
+    assert {c for c, _ in want} == {"key-unique", "cardinality", "foreign-key"} and sum(map(bool, want.values())) >= 5
+    random.Random(seed).shuffle(files)
+    folder = str(tmp_path / "run")
+    counts = lambda: {(r.code, r.label): r.violations for r in stateful.violations(g, plan, folder).collect()}
+    run = lambda **o: stateful.audit_keys(stateful.read_tables(spark, g, folders, files=2, **o), plan, folder).awaitTermination()
+    for part in (files[: len(files) // 2], files[len(files) // 2 :]):
+        for file, to in part:
+            shutil.copy(file, f"{to}/{file.parent.name}.parquet")
+        run()
+    assert counts() == want
+    run()
+    assert counts() == want, "nothing new, nothing changed"
+
+
+def test_a_batch_that_breaks_is_run_again(spark, arriving, tmp_path, monkeypatch):
+    import shutil
+
+    from graphloom.streaming import stateful
+
+    g, plan, folders, files, want = arriving
+    for file, to in files:
+        shutil.copy(file, f"{to}/{file.parent.name}.parquet")
+    folder, real, broken = str(tmp_path / "run"), stateful.F.sum, []
+
+    def failing(column):
+        if len(broken) < 1:
+            broken.append(1)
+            raise RuntimeError("lost")
+        return real(column)
+
+    monkeypatch.setattr(stateful.F, "sum", failing)
+    with pytest.raises(Exception, match="lost"):
+        stateful.audit_keys(stateful.read_tables(spark, g, folders), plan, folder).awaitTermination()
+    monkeypatch.setattr(stateful.F, "sum", real)
+    stateful.audit_keys(stateful.read_tables(spark, g, folders), plan, folder).awaitTermination()
+    assert {(r.code, r.label): r.violations for r in stateful.violations(g, plan, folder).collect()} == want
+
+
+def test_files_of_one_name_count_once(spark, model, tmp_path):
+    import shutil
+
+    from graphloom.streaming import stateful
+
+    g = build(spark, model, Customer=[{}, {"c_custkey": 2}])
+    g.vertices["Customer"].coalesce(1).write.parquet(str(tmp_path / "made"))
+    plan, label = plan_audit(model).only("Customer key (c_custkey)"), "Customer key (c_custkey)"
+    for names_only, n in ((True, 0), (False, 2)):
+        folder, at = str(tmp_path / f"run-{names_only}"), tmp_path / f"in-{names_only}"
+        for day in (1, 2):  # the second day brings the first one's files again
+            (at / f"day={day}").mkdir(parents=True)
+            for file in (tmp_path / "made").glob("part-*"):
+                shutil.copy(file, at / f"day={day}" / file.name)
+            streams = stateful.read_tables(spark, g, {("Customer",): str(at / "*")}, names_only=names_only)
+            stateful.audit_keys(streams, plan, folder).awaitTermination()
+        assert [tuple(r) for r in stateful.violations(streams, plan, folder).collect()] == [("key-unique", label, n)]
+    with pytest.raises(ValueError):
+        stateful.audit_keys(streams, plan_audit(model).only("Customer.c_name required"), folder)
