@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.types import spark_type
 from ..plans.diff import Change, at_least, diff_models
 from ..plans.model import Diagnostic, EdgeType, Model, NodeType, Property
+from .audit import degrees, outside, plan_audit, value_checks
 from .graph import PropertyGraph, endpoint_columns
 
 
@@ -342,14 +343,117 @@ def concerned(before: Model, change: Change) -> list[tuple[str, str]]:
     return [("property", f"{o}.{p.name}") for o, p in owned if p.id == change.id and not p.inherited_from]
 
 
+#: The facet of a property that a change of its values' constraint names first in its detail.
+FACETS = {"enum": "enum", "min": "min", "max": "max", "minLength": "min_length", "maxLength": "max_length", "pattern": "pattern"}
+
+
+def _refused(model: Model, p: Property, facet: str, value) -> Column:
+    """Whether one facet of a property, with a given value, refuses a row."""
+    bare = replace(p, required=False, unique=False, **dict.fromkeys(FACETS.values()))
+    found = [c.predicate() for c in value_checks(model, "", ("",), replace(bare, **{facet: value}), [], elements=True) if c.code in ("enum", "range", "length", "pattern")]
+    # the range and size that a type has of itself are there without the facet too
+    own = [c.predicate() for c in value_checks(model, "", ("",), bare, [], elements=True) if c.code in ("range", "length")]
+    return F.coalesce(found[-1] if len(found) > len(own) else F.lit(False), F.lit(False))
+
+
+def broken(graph: PropertyGraph, after: Model, changes: list[Change]) -> DataFrame:
+    """(i, n): how many rows each change breaks, by its place in the list; changes that break none may be left out.
+
+    Rows are looked at as the new revision lays them out. Broken are: rows without a value that became required, that share a value which became unique,
+    that a new or tighter facet refuses and the old one did not, that have an enum value which is gone, whose value a new type can't hold; rows whose new key is
+    not whole or shared; edges between types no longer connected; nodes whose number of edges the new bounds forbid and the old ones did not; rows that a new assertion finds.
+    Removed elements break nothing here: all that they had is lost."""
+    before, moved = graph.model, migrate_graph(graph, after)
+    then = {p.id: p for o in (*before.nodes, *before.edges, *before.mixins) for p in o.props if not p.inherited_from and not p.mixin}
+    tables: list[tuple[tuple[str, ...], DataFrame, tuple[Property, ...]]] = [((k,), df, after.node(k).props) for k, df in moved.vertices.items()] + [(k, df, after.edge(k[0]).props) for k, df in moved.edges.items()]
+    tests: dict[tuple[str, ...], list[tuple[int, Column]]] = {}
+    parts: list[DataFrame] = []
+
+    def each(identity: str):
+        return ((table, df, p) for table, df, props in tables for p in props if _identity(p) == identity)
+
+    def total(df: DataFrame, i: int) -> None:
+        parts.append(df.select(F.lit(i).alias("i"), F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))
+
+    checks = {c.label: c for c in plan_audit(after).checks}
+    for i, c in enumerate(changes):
+        match c.element, c.kind:
+            case "property", "added" | "required-changed":
+                for table, _, p in each(c.id):
+                    if p.required:
+                        tests.setdefault(table, []).append((i, F.col(f"`{p.name}`").isNull()))
+            case "property", "unique-changed":
+                for _, df, p in each(c.id):
+                    if p.unique:
+                        total(df.where(F.col(f"`{p.name}`").isNotNull()).groupBy(f"`{p.name}`").agg(F.count("*").alias("k")).where("k > 1").agg(F.sum("k").alias("n")), i)
+            case "property", "value-constraint-changed":
+                facet = FACETS[c.detail.split(" ", 1)[0]]
+                for table, _, p in each(c.id):
+                    same = replace(then[c.id], name=p.name, type=p.type)
+                    tests.setdefault(table, []).append((i, _refused(after, p, facet, getattr(p, facet)) & ~_refused(before, same, facet, getattr(same, facet))))
+            case "enum", "enum-values-changed" if c.detail.startswith("values removed"):
+                name = next(e.name for e in after.enums if e.id == c.id)
+                gone = set(next(e.values for e in before.enums if e.id == c.id)) - set(after.enum(name).values)
+                for table, _, props in tables:
+                    for p in props:
+                        if p.enum == name:
+                            one = lambda v: v.isin(*sorted(gone))
+                            tests.setdefault(table, []).append((i, F.exists(f"`{p.name}`", one) if p.is_list else one(F.col(f"`{p.name}`"))))
+            case "constraint", "added" | "constraint-changed":
+                node, rule = next((n, x) for n in after.nodes for x in n.constraints if x.id == c.id)
+                check = checks.get(f"{node.name}.{rule.name}")
+                if check and node.name in moved.vertices:
+                    if check.predicate:
+                        tests.setdefault((node.name,), []).append((i, check.predicate()))
+                    else:
+                        total(check.count(moved).select(F.col("violations").alias("n")), i)
+            case "node", "openness-changed":
+                name = next(n.name for n in after.nodes if n.id == c.id)
+                if f"{name} closed" in checks and name in moved.vertices:
+                    total(checks[f"{name} closed"].count(moved).select(F.col("violations").alias("n")), i)
+            case "edge", "cardinality-changed":
+                now, was = next(e for e in after.edges if e.id == c.id), next(e for e in before.edges if e.id == c.id)
+                for new, old, nodes, outgoing in ((now.targets, was.targets, now.source, True), (now.sources, was.sources, now.target, False)):
+                    forbids = lambda b: outside(F.col("n"), b.least, b.most)
+                    for node in after.leaves(nodes):
+                        if node.name in moved.vertices and new != old:
+                            total(degrees(moved, now, node.name, outgoing).where(forbids(new) & ~forbids(old)).agg(F.count("*").alias("n")), i)
+    for table, df, _ in tables:
+        if table in tests:
+            row = df.agg(*(F.count_if(test).alias(f"n{k}") for k, (_, test) in enumerate(tests[table])))
+            parts.append(row.select(F.inline(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"n{k}").cast("long").alias("n")) for k, (i, _) in enumerate(tests[table]))))))
+    places = {f"node {after_name(after, c)}": i for i, c in enumerate(changes) if c.kind == "rekeyed"}
+    ends = {next(e.name for e in before.edges if e.id == c.id): i for i, c in enumerate(changes) if c.kind == "endpoints-changed"}
+    retyped = {(n.name, p.name): i for i, c in enumerate(changes) if c.kind == "retyped" for n in after.concrete() for p in n.props if _identity(p) == c.id}
+    spark = next(iter((graph.vertices | graph.edges).values())).sparkSession
+    number = lambda of, key: F.element_at(F.create_map(*(F.lit(x) for pair in of.items() for x in pair)), key)
+    if places or ends:
+        lost = uncarried(graph, after)
+        if places:
+            parts.append(lost.where(F.col("reason").isin("key-null", "key-repeated")).select(number(places, F.col("object")).alias("i"), F.col("rows").alias("n")).where("i IS NOT NULL"))
+        if ends:
+            parts.append(lost.where("reason = 'endpoints'").select(number(ends, F.split("object", " ")[1]).alias("i"), F.col("rows").alias("n")).where("i IS NOT NULL"))
+    if retyped:
+        parts.append(lost_values(graph, after).select(number({f"{a}.{b}": i for (a, b), i in retyped.items()}, F.concat_ws(".", "table", "column")).alias("i"), F.col("lost").alias("n")).where("i IS NOT NULL"))
+    return reduce(DataFrame.unionByName, parts).groupBy("i").agg(F.sum("n").alias("n")) if parts else spark.createDataFrame([], "i int, n long")
+
+
+def after_name(after: Model, c: Change) -> str:
+    """The name in the new revision of the node that a change is about."""
+    return next(n.name for n in after.nodes if n.id == c.id)
+
+
 def change_impact(graph: PropertyGraph, after: Model) -> DataFrame:
-    """(class, label, detail, affected) of the changes to a next revision: how many rows, or set values of a property, each concerns now."""
+    """(class, label, detail, affected, broken) of the changes to a next revision: how many rows, or set values of a property, each concerns now, and how many of them break or are lost."""
     changes = diff_models(graph.model, after)
     reach = [(i, *x) for i, c in enumerate(changes) for x in concerned(graph.model, c)]
     spark = next(iter((graph.vertices | graph.edges).values())).sparkSession
-    said = spark.createDataFrame([(i, c.change_class, c.label, c.detail) for i, c in enumerate(changes)], "i int, class string, label string, detail string")
-    own = spark.createDataFrame(reach, "i int, element string, name string").join(populations(graph, {x[1:] for x in reach}), ["element", "name"])
-    return said.join(own.groupBy("i").agg(F.sum("n").alias("n")), "i", "left").select("class", "label", "detail", F.coalesce("n", F.lit(0)).cast("long").alias("affected"))
+    gone = lambda c: c.kind == "removed" and c.element in ("node", "edge", "property") or c.detail == "became abstract"
+    said = spark.createDataFrame([(i, c.change_class, c.label, c.detail, gone(c)) for i, c in enumerate(changes)], "i int, class string, label string, detail string, gone boolean")
+    own = spark.createDataFrame(reach, "i int, element string, name string").join(populations(graph, {x[1:] for x in reach}), ["element", "name"]).groupBy("i").agg(F.sum("n").alias("n"))
+    wrong = broken(graph, after, changes).withColumnRenamed("n", "b")
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return said.join(own, "i", "left").join(wrong, "i", "left").select("class", "label", "detail", number(F.col("n")).alias("affected"), number(F.when(F.col("gone"), F.col("n")).otherwise(F.col("b"))).alias("broken"))
 
 
 def step_impact(graph: PropertyGraph, after: Model) -> DataFrame:

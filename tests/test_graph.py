@@ -234,6 +234,42 @@ def test_impact_of_changes(spark):
     assert [(r.kind, r.on_, r.affected) for r in step_impact(g, after).orderBy("place").collect()] == [("delete-edges", "OF_PART", 2), ("delete-nodes", "Part", 2)]
 
 
+BREAKS = [
+    ("make_required", "property Label.toxic", {"Label": [{"toxic": None}, {"toxic": 1}, {"toxic": None}]}, 2),
+    ("add_unique", "property Customer.c_name", {"Customer": [{"c_name": "x"}, {"c_name": "x"}, {"c_name": "y"}, {"c_name": None}, {"c_name": None}]}, 2),
+    ("remove_enum_value", "enum OrderStatus", {"Order": [{"o_orderstatus": "P"}, {"o_orderstatus": "F"}, {"o_orderstatus": "X"}, {"o_orderstatus": None}]}, 1),
+    ("change_key", "node Part", {"Part": [{}, {}, {"p_brand": "z"}, {"p_brand": None}]}, 3),
+    ("add_required_property", "property Part.p_origin", {"Part": [{}, {}]}, 2),
+    ("add_optional_property", "property Party.remark", {"Customer": [{}]}, 0),
+    ("retype_lossy", "property Part.p_brand", {"Part": [{"p_brand": "7"}, {"p_brand": "x"}, {"p_brand": None}]}, 1),
+    ("tighten_range", "property Customer.c_acctbal", {"Customer": [{"c_acctbal": 5000.0}, {"c_acctbal": 5000.5}, {"c_acctbal": 9999.0}, {"c_acctbal": None}]}, 1),
+    ("value_pattern", "property Supplier.s_name", {"Supplier": [{"s_name": "Supplier 1"}, {"s_name": "other"}, {"s_name": None}]}, 1),
+    ("tighten_length", "property Document.text", {"Document": [{"text": "x" * 199}, {"text": "x" * 200}, {"text": "x"}]}, 1),
+    ("add_assertion", "constraint LineItem.taxBelowDiscount", {"LineItem": [{}, {"l_tax": 0.05}]}, 1),
+    ("remove_property", "property Event.value", {"Event": [{"value": 1.0}, {"value": None}]}, 1),
+    ("rename_property", "property Event.kind", {"Event": [{"event_type": "a"}]}, 0),
+]
+
+
+@pytest.mark.parametrize(("name", "label", "rows", "want"), BREAKS)
+def test_rows_that_a_change_breaks(spark, name, label, rows, want):
+    before, after = revisions.revisions(name)
+    plain = {"Supplier": {"s_suppkey": 1, "s_name": "s"}, "Event": {"event_id": 1, "event_type": "a", "ts": datetime(2020, 1, 1)}}
+    GOOD.update({k: v for k, v in plain.items() if k not in GOOD})
+    got = [r.broken for r in change_impact(build(spark, before, **rows), after).collect() if r.label == label and not r.detail.startswith("min removed")]
+    assert got[0] == want
+
+
+def test_edges_that_a_change_breaks(spark):
+    before, after = revisions.revisions("tighten_cardinality")
+    edges = {("OF_PART", "LineItem", "Part"): [(i, 1, 1) for i in range(26)] + [(i, 2, 2) for i in range(25)] + [(i, 3, 3) for i in range(41)]}
+    g = build(spark, before, edges, Part=[{}, {"p_partkey": 2}, {"p_partkey": 3}, {"p_partkey": 4}])
+    assert [(r.affected, r.broken) for r in change_impact(g, after).collect()] == [(92, 1)], "the part with 41 lines was wrong before"
+    before, after = revisions.revisions("change_endpoints")
+    g = build(spark, before, {("SUPPLIED_BY", "LineItem", "Supplier"): [(1, 1, 1), (1, 2, 1)]}, LineItem=[{}])
+    assert [(r.affected, r.broken) for r in change_impact(g, after).collect()] == [(2, 2)]
+
+
 def test_steps_on_labelled_elements(spark):
     v = spark.createDataFrame([(1, ["Event"], {"event_type": "a"}), (2, ["Vector", "Stored"], {}), (3, ["Part"], {"event_type": "c"}), (4, ["Region", "Stored"], {})], "id int, labels array<string>, props map<string,string>")
     e = spark.createDataFrame([(1, 3, "NEAR", {"since": "x"}), (1, 2, "LABELLED", {})], "src int, dst int, type string, props map<string,string>")
