@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .models import revisions, warehouse
 from .operators import drift as drifts
-from .operators import infer, profile
+from .operators import discover, infer, profile
+from .operators.catalog import LOOKS, Catalog
 from .functions.types import parse_type
 from .operators.audit import plan_audit
 from .operators.graph import PropertyGraph, checkpoint_folder, to_model
@@ -562,3 +563,89 @@ UNION ALL SELECT 'shipment', 'node LineItem', 'key-null', (SELECT count(*) FROM
 UNION ALL SELECT 'shipment', 'node LineItem', 'key-repeated', {repeated_sql('lineitem', 'l_orderkey, l_partkey')}
 UNION ALL {line_edges_sql('HAS_LINE', 'Order->LineItem', 'true')} UNION ALL {line_edges_sql('OF_PART', 'LineItem->Part', 'e.l_partkey IS NOT NULL')} UNION ALL {line_edges_sql('SUPPLIED_BY', 'LineItem->Supplier', 'e.l_suppkey IS NOT NULL')}
 UNION ALL SELECT 'supplied', 'edge SUPPLIED_BY LineItem->Supplier', 'endpoints', (SELECT count(*) FROM lineitem WHERE l_suppkey IS NOT NULL))""")
+
+
+# models, keys and foreign keys from data alone
+SHOWN = {"Customer": ("customer", "c_custkey", ["Customer", "Party"]), "Supplier": ("supplier", "s_suppkey", ["Party", "Supplier"]), "Nation": ("nation", "n_nationkey", ["Nation"]), "Region": ("region", "r_regionkey", ["Region"]), "Part": ("part", "p_partkey", ["Part"]), "Order": ("orders", "o_orderkey", ["Order"])}
+LINKS = {"BASED_IN": [("Customer", "c_custkey", "Nation", "c_nationkey"), ("Supplier", "s_suppkey", "Nation", "s_nationkey")], "IN_REGION": [("Nation", "n_nationkey", "Region", "n_regionkey")], "PLACED_BY": [("Order", "o_orderkey", "Customer", "o_custkey")]}
+COLUMNS = {"customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment", "supplier": "s_suppkey s_name s_nationkey s_acctbal", "nation": "n_nationkey n_name n_regionkey", "region": "r_regionkey r_name", "part": "p_partkey p_name p_brand p_type p_size p_retailprice", "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority"}
+
+
+def whole_elements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Six tables as labelled elements with all their columns as texts, and the edges between them."""
+    nodes, edges = [], []
+    for label, (t, key, labels) in SHOWN.items():
+        df = warehouse.read(spark, sf_dir, t)
+        props = F.map_filter(F.create_map(*(x for c in COLUMNS[t].split() for x in (F.lit(c), F.col(c).cast("string")))), lambda k, v: v.isNotNull())
+        nodes.append(df.select(F.concat_ws("/", F.lit(label), key).alias("id"), F.array(*map(F.lit, labels)).alias("labels"), props.alias("props")))
+    for kind, ends in LINKS.items():
+        for a, ka, b, kb in ends:
+            df = warehouse.read(spark, sf_dir, SHOWN[a][0]).where(F.col(ka).isNotNull() & F.col(kb).isNotNull())
+            edges.append(df.select(F.concat_ws("/", F.lit(a), ka).alias("src"), F.concat_ws("/", F.lit(b), kb).alias("dst"), F.lit(kind).alias("type")))
+    return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges)
+
+
+def seen_sql() -> str:
+    """(label, key, type, required, low, high, uniq) of every column of the six tables by its values."""
+    each = []
+    for label, (t, _, _) in SHOWN.items():
+        for c in COLUMNS[t].split():
+            text = f"CASE WHEN typeof({c}) = 'TIMESTAMP' THEN strftime({c}::TIMESTAMP, '%Y-%m-%d %H:%M:%S') ELSE CAST({c} AS VARCHAR) END"
+            kinds = " ".join(f"WHEN bool_and(regexp_matches(v, '{look}')) THEN '{kind}'" for kind, look in LOOKS.items())
+            each.append(f"SELECT '{label}' AS label, '{c}' AS key, CASE {kinds} ELSE 'string' END AS type, count(v) = count(*) AS required, min(TRY_CAST(v AS DOUBLE)) AS low, max(TRY_CAST(v AS DOUBLE)) AS high, count(DISTINCT v) = count(*) AS uniq FROM (SELECT {text} AS v FROM {t}) HAVING count(v) > 0")
+    return " UNION ALL ".join(each)
+
+
+add("catalog_properties", lambda s, d: Catalog(*whole_elements(s, d)).declared(), f"SELECT label, key, type, required, CASE WHEN type IN ('int', 'float') THEN low END AS low, CASE WHEN type IN ('int', 'float') THEN high END AS high FROM ({seen_sql()})")
+add("catalog_types", lambda s, d: Catalog(*whole_elements(s, d)).types(), f"""WITH k AS (SELECT label, key, row_number() OVER (PARTITION BY label ORDER BY type = 'int' DESC, key) AS r FROM ({seen_sql()}) WHERE uniq AND required),
+t(label, parent, abstract) AS (SELECT unnest(['Customer', 'Supplier', 'Party', 'Nation', 'Region', 'Part', 'Order']), unnest(['Party', 'Party', NULL, NULL, NULL, NULL, NULL]), unnest([false, false, true, false, false, false, false]))
+SELECT t.label, parent, abstract, key FROM t LEFT JOIN k ON k.label = t.label AND r = 1""")
+
+
+def links_sql() -> str:
+    return " UNION ALL ".join(f"SELECT '{kind}' AS type, '{a}/' || {ka} AS src, '{b}/' || {kb} AS dst FROM {SHOWN[a][0]} JOIN (SELECT {SHOWN[b][1]} AS k FROM {SHOWN[b][0]}) ON k = {kb}" for kind, ends in LINKS.items() for a, ka, b, kb in ends)
+
+
+add("catalog_edges", lambda s, d: Catalog(*whole_elements(s, d)).relations(), f"""WITH e AS ({links_sql()}), o AS (SELECT type, max(n) AS n FROM (SELECT type, src, count(*) AS n FROM e GROUP BY type, src) GROUP BY type), i AS (SELECT type, max(n) AS n FROM (SELECT type, dst, count(*) AS n FROM e GROUP BY type, dst) GROUP BY type),
+p AS (SELECT type, list(DISTINCT split_part(src, '/', 1)) AS a, list(DISTINCT split_part(dst, '/', 1)) AS b FROM e GROUP BY type), up(x) AS (SELECT unnest(['Customer', 'Supplier']))
+SELECT p.type, CASE WHEN len(a) = 1 THEN a[1] ELSE 'Party' END AS src, CASE WHEN len(b) = 1 THEN b[1] ELSE 'Party' END AS dst, CASE WHEN i.n > 1 THEN 'many' ELSE 'one' END || '-to-' || CASE WHEN o.n > 1 THEN 'many' ELSE 'one' END AS cardinality FROM p JOIN o ON o.type = p.type JOIN i ON i.type = p.type""")
+
+#: Columns by family whose values are compared, with their tables.
+COMPARED = {
+    "whole": "region.r_regionkey nation.n_nationkey nation.n_regionkey customer.c_custkey customer.c_nationkey supplier.s_suppkey supplier.s_nationkey part.p_partkey part.p_size orders.o_orderkey orders.o_custkey lineitem.l_orderkey lineitem.l_partkey lineitem.l_suppkey lineitem.l_linenumber",
+    "text": "region.r_name nation.n_name customer.c_name customer.c_mktsegment supplier.s_name part.p_name part.p_brand part.p_type orders.o_orderstatus orders.o_orderpriority lineitem.l_returnflag lineitem.l_linestatus",
+    "number": "customer.c_acctbal supplier.s_acctbal part.p_retailprice orders.o_totalprice lineitem.l_quantity lineitem.l_extendedprice lineitem.l_discount lineitem.l_tax",
+    "time": "orders.o_orderdate lineitem.l_shipdate",
+}
+
+
+def star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {n: warehouse.read(spark, sf_dir, n) for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
+
+
+def inclusions_sql() -> str:
+    """Every pair of columns of one family by anti-joins; targets have no repeats."""
+    columns = [(kind, *x.split(".")) for kind, own in COMPARED.items() for x in own.split()]
+    facts = ", ".join(f"{c}_d AS (SELECT {c} AS v, count(*) AS k FROM {t} WHERE {c} IS NOT NULL GROUP BY {c})" for _, t, c in columns)
+    each = " UNION ALL ".join(
+        f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", '{u}' AS of_table, '{d}' AS of_column, (SELECT count(*) FROM {c}_d) AS n, (SELECT count(*) FROM {d}_d) AS of_n WHERE (SELECT max(k) FROM {d}_d) = 1 AND (SELECT count(*) FROM {c}_d) > 0 AND (SELECT count(*) FROM {c}_d) <= (SELECT count(*) FROM {d}_d) AND NOT EXISTS (SELECT 1 FROM {c}_d WHERE v NOT IN (SELECT v FROM {d}_d))"
+        for kind, t, c in columns for other, u, d in columns if kind == other and c != d
+    )
+    return f"WITH {facts} {each}"
+
+
+add("discover_inclusions", lambda s, d: discover.inclusions(star(s, d)), inclusions_sql())
+add("discover_foreign_keys", lambda s, d: discover.foreign_keys(star(s, d)), f"""SELECT "table", "column", of_table, of_column FROM (SELECT *, row_number() OVER (PARTITION BY "table", "column" ORDER BY of_n, of_table, of_column) AS r FROM ({inclusions_sql()}) WHERE "table" <> of_table AND split_part("column", '_', 2) = split_part(of_column, '_', 2)) WHERE r = 1""")
+
+
+def least_keys_sql(table: str, columns: list[str], most: int = 3) -> str:
+    """Sets of columns without repeats and nulls, none of whose parts is one."""
+    from itertools import combinations
+
+    sets = [s for n in range(1, most + 1) for s in combinations(columns, n)]
+    each = " UNION ALL ".join(f"SELECT [{', '.join(map(quoted, s))}] AS s WHERE (SELECT count(*) FROM {table} WHERE {' OR '.join(f'{c} IS NULL' for c in s)}) = 0 AND NOT EXISTS (SELECT 1 FROM {table} GROUP BY {', '.join(s)} HAVING count(*) > 1)" for s in sets)
+    return f"(WITH u AS ({each}) SELECT '{table}' AS \"table\", array_to_string(s, ',') AS columns FROM u WHERE NOT EXISTS (SELECT 1 FROM u AS w WHERE len(w.s) < len(u.s) AND list_has_all(u.s, w.s)))"
+
+
+KEYS_OF = {"lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate", "conversations": "conv_id turn role text", "nation": "n_nationkey n_name n_regionkey", "events": "event_id ts user_id event_type value props"}
+add("discover_keys", lambda s, d: discover.keys_of({t: warehouse.read(s, d, t) for t in KEYS_OF}).select("table", F.array_join("columns", ",").alias("columns")), " UNION ALL ".join(least_keys_sql(t, c.split()) for t, c in KEYS_OF.items()))
