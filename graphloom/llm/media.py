@@ -126,25 +126,44 @@ def _gzip(b: bytes, at: int) -> int:
     return 0
 
 
-def _zip(b: bytes, at: int) -> int:
-    end = b.find(b"PK\x05\x06", at)
-    while 0 <= end and end + 22 <= len(b):
-        size, start = struct.unpack_from("<II", b, end + 12)
-        if at + start + size == end and (not size or b[at + start : at + start + 4] == b"PK\x01\x02"):
-            return end + 22 + struct.unpack_from("<H", b, end + 20)[0] - at
-        end = b.find(b"PK\x05\x06", end + 4)
-    return 0
-
-
-def _ogg(b: bytes, at: int) -> int:
-    pos = at
-    while b[pos : pos + 5] == b"OggS\0" and pos + 27 <= len(b):
-        table_ = b[pos + 27 : pos + 27 + b[pos + 26]]
-        last = b[pos + 5] & 4
-        pos += 27 + len(table_) + sum(table_)
-        if last:
-            return pos - at if pos <= len(b) else 0
-    return 0
+class _Ends:
+    """Where archives and page chains that start at a place of the data end, worked out in one pass for all places."""
+
+    def __init__(self, b: bytes) -> None:
+        self.data = b
+        self.zips: dict[int, int] | None = None
+        self.oggs: dict[int, int] = {}
+
+    def zip(self, at: int) -> int:
+        """The length of the archive whose directory, as its end record tells, starts counting at `at`; of several the shortest."""
+        if self.zips is None:
+            b, self.zips = self.data, {}
+            end = b.find(b"PK\x05\x06")
+            while 0 <= end and end + 22 <= len(b):
+                size, start = struct.unpack_from("<II", b, end + 12)
+                first = end - size - start
+                if first >= 0 and (not size or b[first + start : first + start + 4] == b"PK\x01\x02"):
+                    self.zips.setdefault(first, end + 22 + struct.unpack_from("<H", b, end + 20)[0] - first)
+                end = b.find(b"PK\x05\x06", end + 4)
+        return self.zips.get(at, 0)
+
+    def ogg(self, at: int) -> int:
+        """The length of the chain of pages from `at` to the last one; pages that lie in a chain are followed once."""
+        b, pos, chain, end = self.data, at, [], 0
+        while b[pos : pos + 5] == b"OggS\0" and pos + 27 <= len(b):
+            if pos in self.oggs:
+                end = self.oggs[pos]
+                break
+            chain.append(pos)
+            table_ = b[pos + 27 : pos + 27 + b[pos + 26]]
+            last = b[pos + 5] & 4
+            pos += 27 + len(table_) + sum(table_)
+            if last:
+                end = pos if pos <= len(b) else 0
+                break
+        self.oggs.update(dict.fromkeys(chain, end))
+        end = self.oggs.get(at, 0)
+        return end - at if end else 0
 
 
 def _pdf(b: bytes, at: int) -> int:
@@ -163,8 +182,6 @@ VALIDATORS = {
     "image/jpeg": _jpeg,
     "image/bmp": _bmp,
     "application/gzip": _gzip,
-    "application/zip": _zip,
-    "application/ogg": _ogg,
     "application/pdf": _pdf,
 }
 
@@ -185,11 +202,12 @@ def automaton():
 
 def sniff(data: bytes) -> list[tuple[str, int, int]]:
     """(type, offset, length) of the confirmed media, in order; one inside another of the same pass is listed too."""
-    out = []
+    out, ends = [], _Ends(data)
+    validators = VALIDATORS | {"application/zip": lambda _, at: ends.zip(at), "application/ogg": lambda _, at: ends.ogg(at)}
     for end, (n, kinds) in automaton().iter(data.decode("latin-1")):
         at = end + 1 - n
         for kind in kinds:
-            if length := VALIDATORS[kind](data, at):
+            if length := validators[kind](data, at):
                 out.append((kind, at, length))
     return out
 
