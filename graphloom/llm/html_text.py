@@ -10,6 +10,9 @@ All else stays, inside and outside of articles. A mate with the very same lines
 role words that mark boilerplate do not hide an article inside the marked element, unless another article lies outside of
 all such elements; an article that is marked as a comment itself is one.
 
+Marks are whole names made of marking words (`ad-slot`, `site-footer`), not words in other names (`share-price`); ids count
+outside of articles only, and on a page without an article no mark hides the element that holds most of the text.
+
 Null and empty pages give an empty text; null URLs and URLs without `://` have an empty host and path. Pages without a
 mate keep what is not boilerplate. Repeated pages get equal texts, and ties between neighbours go to the earlier one.
 Pages of any length are read whole. An empty table gives no rows. Other columns of pages are not read, so none can clash;
@@ -32,14 +35,23 @@ from .common import Scratch, arrow_map, materialise, no_clash, table
 from .url_filter import split_url
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAMES = re.compile(r"""(?:^|\s)(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Elements whose content is never text, elements that are boilerplate, blocks, and elements that never have an end (fixed values).
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "title", "head", "object", "canvas", "video", "audio"}
 BOILER = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "header"}
 BLOCKS = set("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of class, id and role that mark boilerplate (fixed values).
-MARKS = re.compile(r"(?:^|[^a-z])(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|popup|modal|overlay|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side-bar|footer|masthead|contentinfo|complementary|search|comments?|disqus|respond|reply|replies|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|widget|pagination|pager|toolbar|skip-link)(?:[^a-z]|$)")
+#: Words of class, id, role and label that mark boilerplate, and words that only say what sort of box or place it is (fixed values).
+MARKS = set("ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promos promotion promotions banner cookie cookies consent gdpr notice notices popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead contentinfo complementary search comment comments disqus respond reply replies newsletter subscribe signup login share sharing social related recommended widget widgets pagination pager toolbar skip".split())
+PLACES = set("area bar block bottom box button buttons card cards col column container content div feed form global group header icon icons inline inner item items left link links list main mobile module outer page panel post posts primary region right row secondary section site slot strip this top unit wrap wrapper".split())
+
+
+def is_mark(token: str) -> bool:
+    """Whether a class name, as site-footer or ad_slot2, is made of words that mark boilerplate and such as name a place; at least one marks it."""
+    words = [w for w in re.split("[^a-z]+", re.sub("([a-z])([A-Z])", r"\1-\2", token).lower()) if w]
+    return any(w in MARKS for w in words) and all(w in MARKS or w in PLACES for w in words)
+
+
 #: Words that make an article a reader's comment (fixed values).
 COMMENTS = re.compile(r"(?:^|[^a-z])(?:comments?|disqus|respond|reply|replies)(?:[^a-z]|$)")
 #: An end tag closes open elements up to its own start, but not past these.
@@ -51,15 +63,15 @@ _BY_NAME, _HELD = 4, 8
 
 def page_lines(page: str) -> list[tuple[str, int]]:
     """(line, flags) of each block that has text, in order."""
-    out: list[tuple[str, int]] = []
-    stack: list[tuple[str, int]] = []
+    out: list[tuple[str, int, int]] = []
+    stack: list[tuple[str, int, int]] = []
     buffer: list[str] = []
-    flags, pos = 0, 0
+    flags, pos, marker, markers = 0, 0, 0, 0  # marker: the outermost element around that marks make boilerplate
 
     def flush():
         line = " ".join("".join(buffer).split()) if buffer else ""
         if line:
-            out.append((line, flags))
+            out.append((line, flags, marker))
         buffer.clear()
 
     while pos < len(page):
@@ -90,38 +102,84 @@ def page_lines(page: str) -> list[tuple[str, int]]:
         if ends:
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if at is not None:
-                flags = stack[at][1]
+                _, flags, marker = stack[at]
                 del stack[at:]
             continue
         if name in CLOSES and stack and stack[-1][0] in CLOSES[name]:
-            flags = stack.pop()[1]
+            _, flags, marker = stack.pop()
         if attributes.rstrip().endswith("/"):
             continue
-        stack.append((name, flags))
+        stack.append((name, flags, marker))
         if name == "article" or name == "main" or (name == "div" and "role" in attributes.lower() and re.search(r"role\s*=\s*[\"']?(?:main|article)\b", attributes, re.I)):
             flags |= IN_ARTICLE | (_HELD if flags & IS_BOILER and not flags & _BY_NAME else 0)
-        words = [x.lower() for found in _NAMES.findall(attributes) for x in found if x] if attributes else []
-        if (name in BOILER and not (name == "header" and flags & IN_ARTICLE)) or (name == "article" and any(map(COMMENTS.search, words))):
+        named = [(kind.lower(), a or b or c) for kind, a, b, c in _NAMES.findall(attributes)] if attributes else []
+        if (name in BOILER and not (name == "header" and flags & IN_ARTICLE)) or (name == "article" and any(COMMENTS.search(x.lower()) for _, x in named)):
             flags = (flags | IS_BOILER | _BY_NAME) & ~_HELD
-        elif name not in ("html", "body", "article", "main") and any(map(MARKS.search, words)):
-            flags = (flags | IS_BOILER) & ~_HELD
+        elif name not in ("html", "body", "article", "main"):
+            # ids in an article are made from its headings; a label is one name
+            tokens = [t for kind, x in named if kind != "id" or not flags & IN_ARTICLE for t in ([x] if kind == "aria-label" else x.split())]
+            if any(map(is_mark, tokens)):
+                flags = (flags | IS_BOILER) & ~_HELD
+                if not marker:
+                    markers += 1
+                    marker = markers
     flush()
-    if not any(f & IN_ARTICLE and not f & IS_BOILER for _, f in out):
-        out = [(x, f & ~IS_BOILER if f & _HELD else f) for x, f in out]
-    return [(x, f & (IN_ARTICLE | IS_BOILER)) for x, f in out]
+    if not any(f & IN_ARTICLE and not f & IS_BOILER for _, f, _ in out):
+        # a page without an article outside of marked elements: marks hide no article inside them, and no element with most of the text
+        size: dict[int, int] = {}
+        for x, f, k in out:
+            if not f & _BY_NAME:
+                size[k] = size.get(k, 0) + len(x)
+        most = {k for k, n in size.items() if k and 2 * n > sum(size.values())}
+        out = [(x, f & ~IS_BOILER if f & _HELD or (k in most and not f & _BY_NAME) else f, k) for x, f, k in out]
+    return [(x, f & (IN_ARTICLE | IS_BOILER)) for x, f, _ in out]
 
 
-def common_lines(a: list, b: list) -> list[bool]:
-    """For each entry of a whether a longest common subsequence of a and b holds it; rows of the table are bit sets."""
+#: Bits of the table that one step of `common_lines` holds: 16 MB.
+TABLE_BITS = 1 << 27
+
+
+def _states(a: list, b: list) -> list[int]:
+    """The rows of the table for prefixes of a: in each, bit j is 0 where b's entry j makes the longest common subsequence longer."""
     masks: dict = {}
     for j, x in enumerate(b):
         masks[x] = masks.get(x, 0) | 1 << j
-    state, rows, full = (1 << len(b)) - 1, [], (1 << len(b)) - 1
+    full = (1 << len(b)) - 1
+    state, rows = full, []
     for x in a:
-        m = masks.get(x, 0)
-        u = state & m
+        u = state & masks.get(x, 0)
         state = ((state + u) | (state - u)) & full
         rows.append(state)
+    return rows
+
+
+def _lengths(a: list, b: list) -> np.ndarray:
+    """The length of a longest common subsequence of a and each prefix of b, from the empty one on; one row is held at a time."""
+    asked, masks = set(a), {}
+    for j, x in enumerate(b):
+        if x in asked:
+            masks.setdefault(x, []).append(j)
+    # a mask is made when it is used: all of them together would be a table
+    mask = lambda js: sum(1 << j for j in js) if len(js) < 64 else int.from_bytes(np.packbits(np.isin(np.arange(len(b)), js), bitorder="little").tobytes(), "little")
+    bits = {x: mask(js) for x, js in masks.items() if len(js) >= 64}  # fewer than len(b) / 64 of them
+    full = (1 << len(b)) - 1
+    state = full
+    for x in a:
+        if x not in masks:
+            continue
+        u = state & (bits[x] if x in bits else mask(masks[x]))
+        state = ((state + u) | (state - u)) & full
+    row = np.unpackbits(np.frombuffer(state.to_bytes((len(b) + 7) // 8 or 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - row.astype(np.int64))])
+
+
+def common_lines(a: list, b: list) -> list[bool]:
+    """For each entry of a whether a longest common subsequence of a and b holds it. A table of more than TABLE_BITS is halved until its parts fit, so memory is bounded."""
+    if len(a) * len(b) > TABLE_BITS and len(a) > 1:
+        half = len(a) // 2
+        at = int(np.argmax(_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]))
+        return common_lines(a[:half], b[:at]) + common_lines(a[half:], b[at:])
+    rows = _states(a, b)
     found, i, j = [False] * len(a), len(a), len(b)
     while i and j:
         if rows[i - 1] >> (j - 1) & 1:
