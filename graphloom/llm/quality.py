@@ -122,10 +122,12 @@ def remainder(key: str):
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_train: int = MAX_TRAIN, metadata: tuple[str, ...] = ()) -> FactorisationMachine:
-    """Fit on the labelled rows whose remainder is not 2; at most max_train of them, by the hash of their id."""
+    """Fit on the labelled rows whose remainder is not 2; at most max_train of them, by the hash of their id. Of rows that share id and label the least counts."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & (remainder(key) != 2)).select(F.col(key).alias("__key"), F.col(label).cast("double").alias("label"))
     chosen = known.orderBy(F.xxhash64("__key"), "__key", "label").limit(max_train)  # at most max_train short rows: small at every input size
-    joined = docs.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("text"), *(F.col(m).alias(f"m{i}") for i, m in enumerate(metadata))).join(F.broadcast(chosen), "__key").select("__key", "text", "label", *(f"m{i}" for i in range(len(metadata))))
+    joined = docs.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("text"), *(F.col(m).alias(f"m{i}") for i, m in enumerate(metadata))).join(F.broadcast(chosen), "__key").select("__key", "label", F.struct("text", *(f"m{i}" for i in range(len(metadata)))).alias("row"))
+    # an id that is repeated, here or among the labels, is one row of each label: at most max_train rows reach the driver
+    joined = joined.groupBy("__key", "label").agg(F.min("row").alias("row")).select("__key", "row.text", "label", *(f"row.m{i}" for i in range(len(metadata))))
 
     def run(batches):
         for batch in batches:
