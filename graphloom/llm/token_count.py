@@ -23,6 +23,7 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
+from itertools import accumulate, pairwise
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -34,7 +35,7 @@ from .common import arrow_map, no_clash, table, texts, tokenizer_text
 #: The pre-tokenizer of the byte-level vocabularies (fixed value).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-CHUNK = 1 << 16
+CHUNK, SHORT = 1 << 16, 64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -151,6 +152,23 @@ class ByteTransducer:
             total += emitted
         return total
 
+    def running(self, word: bytes, places: list[int]) -> list[int]:
+        """Tokens of each beginning of a pre-token, given by ascending numbers of bytes: what the transitions have emitted so far. Time is in proportion to the word, memory to max_states."""
+        out, state, total, done = [], 0, 0, 0
+        for place in places:
+            for byte in word[done:place]:
+                if len(self.states) > self.max_states:
+                    kept = self.states[state]
+                    self.reset()
+                    state = self.known.setdefault(kept, len(self.states))
+                    if state == len(self.states):
+                        self.states.append(kept)
+                state, emitted = self.edges.get(state << 8 | byte) or self.compile(state, byte)
+                total += emitted
+            done = place
+            out.append(total)
+        return out
+
 
 class ChunkMap(NamedTuple):
     """What a chunk does: `head` joins what came before, `tail` what comes after. No cut inside: all is head, tail is None."""
@@ -170,6 +188,8 @@ class TokenCounter:
         self.pre = regex.compile(PRE_TOKEN)
         self.cut = re.compile(r"\s ")
         self.safe = regex.compile(r"(?<=\S)(?= )")
+        # every border that no pre-token can cross, whatever stands around it: the ends of runs of letters, of numbers and of marks; a mark before a letter may be a contraction's
+        self.wide = regex.compile(r"(?<=\S)(?=\s)|(?<=[\p{L}\p{N}])(?=[^\s\p{L}\p{N}])|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])")
         self.max_symbols = max_symbols
         outer = self
 
@@ -219,7 +239,7 @@ class TokenCounter:
         for size in (256, 4096, len(chunk)):
             base = max(0, len(chunk) - size)
             found = None
-            for found in self.safe.finditer(chunk, base):
+            for found in self.wide.finditer(chunk, base):
                 pass
             if found is not None:
                 yield found
@@ -232,7 +252,7 @@ class TokenCounter:
         if a.tail is None:
             joined = self.chunk_map(a.head + b.head)
             return ChunkMap(joined.head, joined.emitted + self.plain(joined.tail) + b.emitted, b.tail) if joined.tail is not None else ChunkMap(joined.head, b.emitted, b.tail)
-        joined = self.chunk_map(a.tail + b.head)  # the tail starts with a blank after a non-blank: a safe cut
+        joined = self.chunk_map(a.tail + b.head)  # the tail starts at a border that no pre-token crosses
         if b.tail is None:
             return ChunkMap(a.head, a.emitted + (self.plain(joined.head) + joined.emitted if joined.tail is not None else 0), joined.tail if joined.tail is not None else joined.head)
         return ChunkMap(a.head, a.emitted + self.plain(a.tail + b.head) + b.emitted, b.tail)
@@ -248,6 +268,92 @@ class TokenCounter:
     def finish(self, m: ChunkMap) -> int:
         return self.plain(m.head) + m.emitted + (self.plain(m.tail) if m.tail else 0)
 
+    def open_prefixes(self, pieces: list[str]) -> list[int]:
+        """Tokens up to the end of each piece of a text that starts at a pre-token's start: long runs are followed once, by the transducer's state."""
+        text, ends = "".join(pieces), list(accumulate(map(len, pieces)))
+        out, before, start, wanted = [0] * len(ends), 0, 0, 0
+        cuts = (m.start() for m in self.wide.finditer(text))
+        while wanted < len(ends):
+            border = next(cuts, len(text))
+            if border <= start and border < len(text):
+                continue
+            inside = []
+            while wanted < len(ends) and (ends[wanted] < border or border == len(text)):
+                inside.append(wanted)
+                wanted += 1
+            own = text[start:border]
+            for k, n in zip(inside, self._within(own, [ends[k] - start for k in inside]), strict=True):
+                out[k] = before + n
+            if wanted < len(ends):
+                before += self.stretch(own)
+                start = border
+        return out
+
+    def _within(self, text: str, places: list[int]) -> list[int]:
+        """Tokens of the beginnings of a text that holds no border, by ascending places."""
+        if not places:
+            return []
+        words, at = [], 0
+        for w in self.pre.findall(text):
+            words.append((at, at + len(w)))
+            at += len(w)
+        out, done, i, asked = [], 0, 0, {}
+        for p in places:  # the word that each place lies in, and the tokens before that word
+            while i < len(words) and words[i][1] < p:
+                done += self.stretch(text[slice(*words[i])])
+                i += 1
+            if i == len(words) or p - words[i][0] < SHORT or text[p - 1].isspace():
+                # white space at an end is one pre-token, in the middle two
+                first = words[i][0] if i < len(words) else at
+                back = len(text[:p].rstrip()) if p and text[p - 1].isspace() else first
+                if back < first:
+                    out.append(self.stretch(text[:back]) + self.stretch(text[back:p]) if p - back < SHORT else self.stretch(text[:back]) + self.fst.running(text[back:p].encode("utf-8", "replace"), [len(text[back:p].encode("utf-8", "replace"))])[0])
+                else:
+                    out.append(done + self.stretch(text[first:p]))
+            else:
+                asked.setdefault(i, []).append((len(out), p))
+                out.append(done)
+        for i, own in asked.items():
+            word = text[slice(*words[i])]
+            sizes = [len(word[: p - words[i][0]].encode("utf-8", "replace")) for _, p in own] if len(own) < 3 else list(accumulate(len(word[a - words[i][0] : b - words[i][0]].encode("utf-8", "replace")) for a, b in pairwise([words[i][0], *(p for _, p in own)])))
+            for (k, _), n in zip(own, self.fst.running(word.encode("utf-8", "replace"), sizes), strict=True):
+                out[k] += n
+        return out
+
+    def _long(self, text: str, chunk: int) -> list[int]:
+        """Tokens up to the end of each chunk of a text without special tokens, by a scan of the chunks' maps.
+
+        Chunks that hold no border at all only make the open part before them longer: each such row of chunks is followed once, and the map behind it counts it."""
+        maps = [self.chunk_map(text[at : at + chunk]) for at in range(0, len(text), chunk)]
+        row, rows = [], []  # (first, last + 1) of the rows of chunks without a border
+        for k, m in enumerate([*maps, ChunkMap("", 0, "")]):
+            if k < len(maps) and m.tail is None:
+                row.append(k)
+            else:
+                if len(row) > 1:
+                    rows.append((row[0], row[-1] + 1))
+                row = []
+        kept, extra = {k: m for k, m in enumerate(maps)}, {}
+        for first, end in rows:
+            opening = [maps[first - 1].tail] if first else []
+            pieces = [*opening, *(m.head for m in maps[first:end])]
+            closed = end < len(maps)
+            counts = self.open_prefixes([*pieces, maps[end].head] if closed else pieces)
+            if first:
+                kept[first - 1] = ChunkMap(kept[first - 1].head, kept[first - 1].emitted, "")
+                extra[first - 1] = counts[0]
+            for k, n in zip(range(first, end), counts[len(opening) :], strict=False):
+                kept[k], extra[k] = None, n
+            if closed:
+                kept[end] = ChunkMap("", counts[-1] + maps[end].emitted, kept[end].tail)
+        order = [k for k in range(len(maps)) if kept[k] is not None]
+        done = dict(zip(order, map(self.finish, self.scan([kept[k] for k in order])), strict=True))
+        out, last = [], 0
+        for k in range(len(maps)):
+            last = done.get(k, last)
+            out.append(last + extra.get(k, 0))
+        return out
+
     def prefixes(self, text: str, chunk: int = CHUNK) -> list[int]:
         """Tokens up to the end of each chunk; the last number is the text's count."""
         parts = [text]
@@ -256,10 +362,7 @@ class TokenCounter:
                 parts = [x for p in parts for x in p.split(s)]
         out, before = [], 0
         for i, p in enumerate(parts):
-            if len(p) <= chunk:
-                own = [self.plain(p)]
-            else:
-                own = [self.finish(m) for m in self.scan([self.chunk_map(p[at : at + chunk]) for at in range(0, len(p), chunk)])]
+            own = [self.plain(p)] if len(p) <= chunk else self._long(p, chunk)
             own[-1] += i + 1 < len(parts)  # the special token behind it
             out += [before + n for n in own]
             before = out[-1]
