@@ -169,9 +169,21 @@ def forest(findings: DataFrame, words: list[str], trees: int = TREES, depth: int
     return every[0] / F.lit(float(count))
 
 
+_FORESTS: dict[tuple, Column] = {}
+
+
+def default_forest(spark: SparkSession, words: tuple[str, ...]) -> Column:
+    """The forest of the labelled findings, which do not depend on the data: fitted once for a Spark application and word list."""
+    key = (spark.sparkContext.applicationId, words)
+    if key not in _FORESTS:
+        _FORESTS.clear()
+        _FORESTS[key] = forest(labelled_findings(spark), list(words))
+    return _FORESTS[key]
+
+
 def scan(docs: DataFrame, words: list[str], findings: DataFrame | None = None, key: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
     """A row for each candidate: key, start, candidate, score, is_secret."""
-    score = forest(labelled_findings(docs.sparkSession) if findings is None else findings, words)
+    score = default_forest(docs.sparkSession, tuple(words)) if findings is None else forest(findings, words)
     judged = candidates(docs, key, text, path).withColumns(features(words)).withColumn("score", score)
     return judged.select(F.col("key").alias(key), "start", "candidate", "score", (F.col("score") >= 0.5).alias("is_secret"))
 
