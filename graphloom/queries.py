@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Callable
 from functools import partial, reduce
@@ -11,11 +12,11 @@ from pyspark.sql import functions as F
 
 from .models import revisions, warehouse
 from .operators import drift as drifts
-from .operators import discover, infer, profile
+from .operators import discover, infer, profile, versions
 from .operators.catalog import LOOKS, Catalog
 from .functions.types import parse_type
 from .operators.audit import plan_audit
-from .operators.graph import PropertyGraph, checkpoint_folder, to_model
+from .operators.graph import PropertyGraph, checkpoint_folder, remove_path, to_model
 from .operators.match import match, reachable
 from .operators.migrate import Step, apply_steps, change_impact, lost_values, migrate_graph, step_impact, uncarried
 from .streaming import stateful
@@ -565,6 +566,20 @@ UNION ALL {line_edges_sql('HAS_LINE', 'Order->LineItem', 'true')} UNION ALL {lin
 UNION ALL SELECT 'supplied', 'edge SUPPLIED_BY LineItem->Supplier', 'endpoints', (SELECT count(*) FROM lineitem WHERE l_suppkey IS NOT NULL))""")
 
 
+def applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and customers written as a version, migrated on disk to customers keyed by name, and the edges as a reader of the new version has them."""
+    g, after = warehouse.graph(spark, sf_dir), keyed("Customer", "c_name")
+    kept = PropertyGraph(g.model, {k: g.vertices[k] for k in ("Customer", "Order")}, {k: g.edges[k] for k in (("PLACED_BY", "Order", "Customer"),)})
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/graph-{uuid.uuid4().hex}"
+    atexit.register(remove_path, spark, folder)
+    versions.write_graph(kept, folder, 1)
+    versions.migrate_folder(spark, folder, g.model, after)
+    return versions.open_graph(spark, folder, after).edges["PLACED_BY", "Order", "Customer"]
+
+
+add("migrate_versioned_apply", applied, ORACLE["migrate_key_other_column"])
+
+
 # models, keys and foreign keys from data alone
 SHOWN = {"Customer": ("customer", "c_custkey", ["Customer", "Party"]), "Supplier": ("supplier", "s_suppkey", ["Party", "Supplier"]), "Nation": ("nation", "n_nationkey", ["Nation"]), "Region": ("region", "r_regionkey", ["Region"]), "Part": ("part", "p_partkey", ["Part"]), "Order": ("orders", "o_orderkey", ["Order"])}
 LINKS = {"BASED_IN": [("Customer", "c_custkey", "Nation", "c_nationkey"), ("Supplier", "s_suppkey", "Nation", "s_nationkey")], "IN_REGION": [("Nation", "n_nationkey", "Region", "n_regionkey")], "PLACED_BY": [("Order", "o_orderkey", "Customer", "o_custkey")]}
