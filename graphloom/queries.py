@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 from collections.abc import Callable
 from functools import partial, reduce
@@ -17,8 +18,10 @@ from .operators.catalog import LOOKS, Catalog
 from .functions.types import parse_type
 from .operators.audit import plan_audit
 from .operators.graph import PropertyGraph, checkpoint_folder, remove_path, to_model
+from .operators.incremental import AuditStore
 from .operators.match import match, reachable
 from .operators.migrate import Step, apply_steps, change_impact, lost_values, migrate_graph, step_impact, uncarried
+from .sources import triples
 from .streaming import stateful
 from .streaming.audit import audit_files
 
@@ -164,6 +167,29 @@ KEYED += [("cardinality", "IN_REGION to-cardinality at Nation", degree_sql("n_na
 add("streaming_audit_keys", audited_keys, " UNION ALL ".join(f"SELECT {quoted(c)} AS code, {quoted(x)} AS label, violations FROM ({s})" for c, x, s in KEYED))
 
 
+def kept_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of customers and orders kept up by a change: begun without finished orders, then these come and the pending ones go."""
+    m, orders, customers = warehouse.model(), warehouse.read(spark, sf_dir, "orders"), warehouse.read(spark, sf_dir, "customer")
+
+    def some(status: str, **more: DataFrame) -> PropertyGraph:
+        rows = orders.where(status)
+        g = PropertyGraph(m, {"Order": to_model(rows, m, "Order"), **more})
+        return g.bind_edge("PLACED_BY", "Order", "Customer", rows, ["o_orderkey"], ["o_custkey"])
+
+    begun = some("o_orderstatus IS NULL OR o_orderstatus <> 'F'", Customer=to_model(customers, m, "Customer"))
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/audit-{uuid.uuid4().hex}"
+    atexit.register(remove_path, spark, folder)
+    store = AuditStore(spark, folder, plan_audit(m).only(*KEPT_UP), begun)
+    store.build(begun)
+    store.change(added=some("o_orderstatus = 'F'"), removed=some("o_orderstatus = 'P'"))
+    return store.violations()
+
+
+KEPT_UP = {AUDITS[x][0]: x for x in ("key_unique_orders", "cardinality_max_customer_orders", "fk_orders_customer", "cardinality_one_customer", "range_acctbal", "enum_mktsegment", "required_order_date", "disjoint_order_status_priority", "key_present_orders")}
+LEFT = "WITH left_over AS (SELECT * FROM orders WHERE o_orderstatus IS NULL OR o_orderstatus <> 'P') "
+add("audit_kept_up", kept_up, LEFT + " UNION ALL ".join(f"SELECT {quoted(AUDITS[x][1])} AS code, {quoted(AUDITS[x][0])} AS label, violations FROM ({re.sub(r'\borders\b', 'left_over', AUDITS[x][2])})" for x in KEPT_UP.values()))
+
+
 # patterns
 def matched(pattern: str, group: dict[str, str], spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of a pattern counted by some columns."""
@@ -566,6 +592,21 @@ UNION ALL {line_edges_sql('HAS_LINE', 'Order->LineItem', 'true')} UNION ALL {lin
 UNION ALL SELECT 'supplied', 'edge SUPPLIED_BY LineItem->Supplier', 'endpoints', (SELECT count(*) FROM lineitem WHERE l_suppkey IS NOT NULL))""")
 
 
+# tables as statements and back
+def stated(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """Parties, nations and regions with their edges, as they come back from their statements."""
+    g = warehouse.graph(spark, sf_dir)
+    some = PropertyGraph(g.model, {k: g.vertices[k] for k in ("Customer", "Supplier", "Nation", "Region")}, {k: df for k, df in g.edges.items() if k[0] in ("BASED_IN", "IN_REGION")})
+    return triples.from_triples(triples.to_triples(some), g.model)
+
+
+add("triples_customers", lambda s, d: stated(s, d).vertices["Customer"], "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey IS NOT NULL")
+add("triples_edges", lambda s, d: stated(s, d).edges["BASED_IN", "Supplier", "Nation"], "SELECT s_suppkey AS src_s_suppkey, n_nationkey AS dst_n_nationkey FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+STATED = ["range_acctbal", "enum_mktsegment", "required_customer", "unique_region_name", "cardinality_based_in"]
+add("triples_audit", lambda s, d: plan_audit(warehouse.model()).only(*(AUDITS[x][0] for x in STATED)).run(stated(s, d)), " UNION ALL ".join(f"SELECT {quoted(AUDITS[x][1])} AS code, {quoted(AUDITS[x][0])} AS label, violations FROM ({AUDITS[x][2]})" for x in STATED))
+add("triples_statements", lambda s, d: triples.to_triples(PropertyGraph(warehouse.model(), {"Part": warehouse.graph(s, d).vertices["Part"]})).groupBy("p").agg(F.count("*").alias("n")).where(F.col("p").startswith("https://example.org/warehouse#")), " UNION ALL ".join(f"SELECT 'https://example.org/warehouse#{c}' AS p, n FROM (SELECT count({c}) AS n FROM part WHERE p_partkey IS NOT NULL) WHERE n > 0" for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")))
+
+
 def applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders and customers written as a version, migrated on disk to customers keyed by name, and the edges as a reader of the new version has them."""
     g, after = warehouse.graph(spark, sf_dir), keyed("Customer", "c_name")

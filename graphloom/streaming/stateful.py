@@ -14,44 +14,22 @@ number of distinct keys, and a key of any length is kept as its SHA-256.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
-from ..operators.audit import AuditPlan, Check, bound, frame
+from ..operators.audit import AuditPlan, Check, Keyed, frame
 from ..operators.graph import PropertyGraph
+from ..operators.keyrows import key_rows, keyed_checks
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROWS = "`check` int, key string, nodes long, edges long"
 
 
-def keyed_checks(plan: AuditPlan, graph: PropertyGraph) -> list[Check]:
-    """The plan's checks that are decided by key, and whose tables the graph has: the node's and, for edges' ends, the edge's."""
-    return [c for c in plan.checks if c.keyed and bound(graph, c.table) and all(bound(graph, t) for t, *_ in c.keyed.sides(graph))]
-
-
-def key_text(columns: list[str]) -> Column:
-    """A key as text of a fixed length; columns go by their place, since both sides of a check name them differently."""
-    return F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(columns)))), 256)
-
-
-def key_rows(graph: PropertyGraph, checks: list[Check]) -> DataFrame:
-    """(check, key, nodes, edges): what each row of each table adds to each check, by the check's place in the list. A table is read once for all its checks."""
-    asked: dict[tuple[str, ...], list[Column]] = {}
-    for i, c in enumerate(checks):
-        for table, columns, is_node, nulls in c.keyed.sides(graph):
-            entry = F.struct(F.lit(i).alias("check"), key_text(columns).alias("key"), F.lit(int(is_node)).cast("long").alias("nodes"), F.lit(int(not is_node)).cast("long").alias("edges"))
-            whole = F.lit(True) if nulls else reduce(lambda a, b: a & b, [F.col(f"`{x}`").isNotNull() for x in columns])
-            asked.setdefault(table, []).append(F.when(whole, entry))
-    parts = [frame(graph, table).select(F.inline(F.array_compact(F.array(*entries)))) for table, entries in asked.items()]
-    return reduce(DataFrame.unionByName, parts)
-
-
 def _added_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         summed = pa.Table.from_batches([batch]).group_by(["check", "key"]).aggregate([("nodes", "sum"), ("edges", "sum")])
@@ -89,8 +67,6 @@ class _Violations:
         self.kind, self.least, self.most = check.keyed.kind, check.keyed.least, check.keyed.most
 
     def __call__(self, nodes: int, edges: int) -> int:
-        from ..operators.audit import Keyed
-
         return int(Keyed(self.kind, None, self.least, self.most).violations(nodes, edges))
 
 
