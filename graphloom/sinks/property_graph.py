@@ -7,6 +7,7 @@ import re
 from ..functions.types import ValueType
 from ..plans.model import Model, NodeType
 
+#: Type spellings of two databases (fixed values).
 LADYBUG = {
     "string": "STRING", "int8": "INT8", "int16": "INT16", "int32": "INT32", "int": "INT64", "int128": "INT128", "uint8": "UINT8", "uint16": "UINT16", "uint32": "UINT32", "uint64": "UINT64",
     "float32": "FLOAT", "float": "DOUBLE", "decimal": "DECIMAL", "boolean": "BOOL", "date": "DATE", "datetime": "TIMESTAMP", "zoneddatetime": "TIMESTAMP_TZ", "duration": "INTERVAL", "uuid": "UUID", "blob": "BLOB", "json": "JSON",

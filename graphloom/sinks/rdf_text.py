@@ -6,10 +6,12 @@ import json
 
 from ..plans.model import Constraint, EdgeType, Model, Property
 
+#: Datatypes by scalar (fixed values).
 XSD = {
     "string": "string", "int8": "byte", "int16": "short", "int32": "int", "int": "long", "int128": "integer", "uint8": "unsignedByte", "uint16": "unsignedShort", "uint32": "unsignedInt", "uint64": "unsignedLong",
     "float32": "float", "float": "double", "decimal": "decimal", "boolean": "boolean", "date": "date", "datetime": "dateTime", "zoneddatetime": "dateTimeStamp", "duration": "duration", "uuid": "string", "blob": "base64Binary", "json": "string",
 }
+#: Terms of severities (fixed values).
 SEVERITIES = {"violation": "Violation", "warning": "Warning", "info": "Info"}
 
 
@@ -30,8 +32,9 @@ def camel(name: str) -> str:
 
 def _shape(model: Model, p: Property, key: tuple[str, ...]) -> str:
     facts = [f"sh:path {model.prefix}:{p.name}"]
-    enum = model.enum(p.enum)
-    facts.append(f"sh:in ({' '.join(map(_text, enum.values))})" if enum else f"sh:datatype xsd:{XSD[p.scalar]}")
+    facts.append(f"sh:datatype xsd:{XSD[p.scalar]}")
+    if enum := model.enum(p.enum):
+        facts.append(f"sh:in ({' '.join(map(_text, enum.values))})")
     if not p.is_list:
         facts.append("sh:maxCount 1")
     if p.required or p.name in key:
@@ -44,6 +47,7 @@ def _shape(model: Model, p: Property, key: tuple[str, ...]) -> str:
 
 
 def _assertion(model: Model, c: Constraint) -> str:
+    """What a shape of its own says for a constraint; message and severity stand where the results come from: with the path, or on the shape for choices."""
     path = lambda p: f"{model.prefix}:{p}"
     also = (f" ; sh:message {_text(c.message)}" if c.message else "") + (f" ; sh:severity sh:{SEVERITIES[c.severity]}" if c.severity != "violation" else "")
     one = lambda p: f"[ sh:property [ sh:path {path(p)} ; sh:minCount 1 ] ]"
@@ -51,9 +55,9 @@ def _assertion(model: Model, c: Constraint) -> str:
         case "lessThan" | "lessThanOrEquals" | "equals" | "disjoint":
             return f"sh:property [ sh:path {path(c.props[0])} ; sh:{c.kind} {path(c.props[1])}{also} ]"
         case "atLeastOne":
-            return f"sh:or ( {' '.join(map(one, c.props))} )"
+            return f"sh:or ( {' '.join(map(one, c.props))} ){also}"
         case "exactlyOne":
-            return f"sh:xone ( {' '.join(map(one, c.props))} )"
+            return f"sh:xone ( {' '.join(map(one, c.props))} ){also}"
     bounds = (f" ; sh:qualifiedMinCount {c.bound.least}" if c.bound.least else "") + (f" ; sh:qualifiedMaxCount {c.bound.most}" if c.bound.most is not None else "")
     of = f"[ sh:class {path(c.of)} ]" if c.of else "[ ]"
     return f"sh:property [ sh:path {path(camel(c.edge))} ; sh:qualifiedValueShape {of}{bounds}{also} ]"
@@ -76,10 +80,12 @@ def shacl(model: Model) -> str:
         if n.extends:
             facts.append(f"sh:node {model.prefix}:{n.extends}Shape")
         facts += [_shape(model, p, n.key) for p in n.props if not p.inherited_from]
-        facts += [x for e in model.edges for x in _ends(model, e, n.name)] + [_assertion(model, c) for c in n.constraints]
+        facts += [x for e in model.edges for x in _ends(model, e, n.name)]
         if not n.open and not n.abstract:
             facts.append("sh:closed true ; sh:ignoredProperties ( rdf:type )")
         out.append(f"{model.prefix}:{n.name}Shape a sh:NodeShape ;\n  " + " ;\n  ".join(facts) + " ." + (f"\n{n.raw_shacl}" if n.raw_shacl else ""))
+        # a shape for each constraint, so that a message tells of it alone
+        out += [f"{model.prefix}:{n.name}_{c.name}Shape a sh:NodeShape ;\n  sh:targetClass {model.prefix}:{n.name} ;\n  {_assertion(model, c)} ." for c in n.constraints]
         if n.extends:
             out.append(f"{model.prefix}:{n.name} rdfs:subClassOf {model.prefix}:{n.extends} .")
     for e in model.edges:

@@ -175,9 +175,16 @@ def import_turtle(text: str) -> tuple[Model, list[Diagnostic]]:
             bound = {k: tight(getattr(old, k), v, max if k.startswith("min") else min) for k, v in bound.items()}
         return Property(name, kind, enum=enum, pattern=one(p, SH + "pattern"), required=(number(one(p, SH + "minCount")) or 0) > 0 or bool(old and old.required), **bound)
 
+    def told(shape: str) -> dict[str, str]:
+        """The message and severity of what a shape reports."""
+        severity = local(one(shape, SH + "severity") or "Violation").lower()
+        return {"message": one(shape, SH + "message") or "", "severity": severity if severity in ("violation", "warning", "info") else "violation"}
+
     for s in shapes:
         for target in facts[s][SH + "targetClass"]:
             owner = local(target)
+            own = re.fullmatch(rf"{re.escape(owner)}_(\w+)Shape", local(s))
+            title = lambda other, own=own: own[1] if own else other
             if one(s, SH + "closed") == "true":
                 closed.add(owner)
             for p in facts[s][SH + "property"]:
@@ -187,10 +194,10 @@ def import_turtle(text: str) -> tuple[Model, list[Diagnostic]]:
                 compared = next((k for k in ("lessThan", "lessThanOrEquals", "equals", "disjoint") if facts[p][SH + k]), None)
                 least, most = number(one(p, SH + "minCount")) or 0, number(one(p, SH + "maxCount"))
                 if compared:
-                    constraints[owner].append(Constraint(f"{name}_{compared}", compared, (name, local(one(p, SH + compared))), message=one(p, SH + "message") or ""))
+                    constraints[owner].append(Constraint(title(f"{name}_{compared}"), compared, (name, local(one(p, SH + compared))), **told(p)))
                 elif facts[p][SH + "qualifiedValueShape"]:
                     of = one(one(p, SH + "qualifiedValueShape"), SH + "class")
-                    constraints[owner].append(Constraint(f"{name}_count", "count", edge=upper(name), of=of and local(of), bound=Bound(number(one(p, SH + "qualifiedMinCount")) or 0, number(one(p, SH + "qualifiedMaxCount")))))
+                    constraints[owner].append(Constraint(title(f"{name}_count"), "count", edge=upper(name), of=of and local(of), bound=Bound(number(one(p, SH + "qualifiedMinCount")) or 0, number(one(p, SH + "qualifiedMaxCount"))), **told(p)))
                 elif owner in reified and name.endswith(("Subject", "Object")):
                     edge = edges.get(owner) or EdgeType(owner)
                     side = {"source": local(to or "")} if name.endswith("Subject") else {"target": local(to or "")}
@@ -203,8 +210,8 @@ def import_turtle(text: str) -> tuple[Model, list[Diagnostic]]:
                     props[owner][name] = property_of(p, name, owner)
             for kind, predicate in (("atLeastOne", "or"), ("exactlyOne", "xone")):
                 for head in facts[s][SH + predicate]:
-                    names = tuple(local(one(one(x, SH + "property"), SH + "path")) for x in items(head))
-                    constraints[owner].append(Constraint("_".join(names), kind, names))
+                    names = tuple(local(one(x, SH + "path") or one(one(x, SH + "property"), SH + "path")) for x in items(head))
+                    constraints[owner].append(Constraint(title("_".join(names)), kind, names, **told(s)))
     nodes = []
     for c in sorted(classes):
         name = local(c)

@@ -292,3 +292,27 @@ def test_turtle_syntax():
     triples, prefixes = read_triples('@prefix x: <http://x#> . x:a a x:B ; x:p "q\\"r"@en, 3.5 ; x:l ( x:c "d" ) . # end\nPREFIX y: <http://y#>\ny:z x:p [ x:q true ] .')
     assert prefixes == {"x": "http://x#", "y": "http://y#"} and len(triples) == 10 and ("http://x#a", "http://x#p", 'q"r') in triples
     assert import_turtle("<a> <b> [")[1][0].code == "turtle-syntax"
+
+
+def test_shapes_keep_messages_and_severities():
+    from graphloom.sources.importers import import_texts
+
+    m = model_of("""
+namespace: { prefix: hb, iri: "https://example.org/harbour#" }
+enums: { Flag: { values: [malta, oslo] } }
+nodes:
+  Ship:
+    key: [imo]
+    props: { imo: { type: int }, low: { type: float }, high: { type: float }, call: { type: string }, mail: { type: string }, flag: { type: string, enum: Flag } }
+    constraints:
+      - { name: order, assert: { lessThan: [low, high] }, severity: warning, message: "low is below high" }
+      - { name: reached, assert: { atLeastOne: [call, mail] }, severity: warning, message: "no way to reach it" }
+      - { name: oneWay, assert: { exactlyOne: [call, mail] }, severity: info }
+      - { name: towed, assert: { count: { edge: TOWS, of: Ship, max: 2 } }, message: "two at most" }
+edges: { TOWS: { from: Ship, to: Ship } }
+""")
+    text = emit(m, "shacl").content
+    assert "sh:datatype xsd:string ; sh:in" in text and text.count("a sh:NodeShape") == 5
+    back, _ = import_texts({"a.ttl": text})
+    kept = lambda model: [(c.name, c.kind, c.props, c.edge, c.of, c.bound, c.message, c.severity) for c in model.node("Ship").constraints]
+    assert kept(back) == kept(m)
