@@ -4,10 +4,14 @@ Elements are DataFrames with `id`, `labels` (array) and `props` (a map or a JSON
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .graph import Workspace
+
 SAMPLE = 1000
 
 
@@ -53,9 +57,28 @@ def census(vertices: DataFrame, props: str = "props") -> DataFrame:
     return pairs(vertices, props).groupBy(F.array_sort("labels").alias("labels")).agg(F.array_sort(F.collect_set(F.struct("key", "value_type"))).alias("properties"), F.count_distinct("id").alias("n"))
 
 
+def _numbered(df: DataFrame, *order) -> DataFrame:
+    """df with `rank`, its place in an order: rows are dealt out by ranges of the order, numbered within each, and moved on by the rows of the ranges before it, so no task has all of them."""
+    spark = df.sparkSession
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = Workspace(spark).put(dealt.withColumns({"_part": F.spark_partition_id(), "_in": F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33) + 1}), keep=True)
+    sizes = sorted((r["_part"], r["n"]) for r in ordered.groupBy("_part").agg(F.count("*").alias("n")).collect())  # a number for each range
+    before = list(accumulate([0, *(n for _, n in sizes)]))
+    moved = spark.createDataFrame([(p, b) for (p, _), b in zip(sizes, before, strict=False)], "_part int, _before long")
+    return ordered.join(F.broadcast(moved), "_part").withColumn("rank", F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
+
+
 def type_ranking(df: DataFrame, *by: str, of: str, ties: bool = False) -> DataFrame:
-    """(by..., of, n, rank): values of `of` by frequency, then by value; `ambiguous` marks a first place that is shared."""
+    """(by..., of, n, rank): values of `of` by frequency, then by value; `ambiguous` marks a first place that is shared.
+
+    Without `by` all values are ranked together, over ranges of the order; they lie in a table under the checkpoint folder until the Python process ends."""
     n = df.groupBy(*by, of).agg(F.count("*").alias("n"))
+    if not by:
+        ranked = _numbered(n, F.desc("n"), F.col(of))
+        if ties:
+            most = ranked.orderBy("rank").limit(2).collect()
+            ranked = ranked.withColumn("ambiguous", F.lit(len(most) == 2 and most[0]["n"] == most[1]["n"]))
+        return ranked
     w = Window.partitionBy(*by)
     ranked = n.withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), F.col(of))))
     if ties:
