@@ -5,7 +5,10 @@ then confirms the structure from there and measures the length; what passes is a
 type, which corrects the declared one; the others are embedded media and can be carved out.
 
 Stored payloads are 8-bit mono WAV samples. Null texts count as empty; an empty payload is 64 zero bytes. Bytes without
-a known signature keep their declared type, with an empty list of media. Lengths are unlimited but for a row's 2 GB.
+a known signature keep their declared type, with an empty list of media. Lengths are unlimited but for a row's 2 GB, and a
+worker holds one batch of payloads (a single one if it is large) at a time; ends of archives and page chains are found once for all signatures. Repeated rows are
+stored one by one, an empty table gives no rows. `store` reads key and text alone; `identify` keeps all other columns and
+replaces those of the names that it adds.
 """
 
 from __future__ import annotations

@@ -7,6 +7,8 @@ combination is removed as many times as the histogram holds it. The plan has a f
 many bins it stands for. Pieces then find their bin by their rank among the pieces of their length: each task ranks
 its own pieces, and the tasks' counts are summed up in front of them, so no length is gathered in one task.
 
+A worker holds one batch of texts and the ids of one text at a time, and the plan of the histogram.
+
 Texts: null counts as empty; an empty text is the end token alone. Repeated documents are packed one by one. An empty table
 gives no pieces. Pieces of equal length are interchangeable, and ranks break the tie. Columns besides key and text are not
 read; the key may have any name but those of the columns that are returned.

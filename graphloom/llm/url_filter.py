@@ -6,7 +6,8 @@ joined with each path prefix whose length some rule has; a binary search over th
 stored string settles collisions. The longest rule that fits wins (of equally long ones, that with the longer host).
 
 Null URLs and URLs without `://` have an empty host and path and take the default verdict, as do URLs that no rule
-fits. Repeated rows are judged one by one. A rule given twice counts once; given with two verdicts, it is an error.
+fits. Repeated rows are judged one by one, an empty table gives no rows. A URL is read whole at any length; its probes are at most its host's
+suffixes times the rules' different path lengths. A rule given twice counts once; given with two verdicts, it is an error.
 """
 
 from __future__ import annotations
