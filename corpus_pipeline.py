@@ -37,7 +37,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of any benchmark item; those without words stay."""
+    """Documents without a window of any benchmark item; null and empty texts have no words and stay, repeated rows stay or go together."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
