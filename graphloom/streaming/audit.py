@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.audit import AuditPlan
-from ..operators.graph import checkpoint_folder, PropertyGraph, to_model
+from ..operators.graph import PropertyGraph, checkpoint_folder, remove_path, to_model
 
 
 def row_checks(plan: AuditPlan, node: str) -> AuditPlan:
@@ -25,8 +26,9 @@ def audit_stream(stream: DataFrame, plan: AuditPlan, node: str, sink: Callable[[
 
 
 def audit_files(spark: SparkSession, plan: AuditPlan, node: str, path: str) -> DataFrame:
-    """All files of a path as a stream until none is left, the batches' counts added up. Counts are written under the checkpoint folder by batch number, so that a batch that is run again replaces its own."""
+    """All files of a path as a stream until none is left, the batches' counts added up. Counts are written under the checkpoint folder by batch number, so that a batch that is run again replaces its own; they go when the Python process ends."""
     out = f"{checkpoint_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    atexit.register(remove_path, spark, out)
     seen: set[int] = set()
 
     def sink(df: DataFrame, n: int) -> None:
