@@ -130,7 +130,7 @@ def page_lines(page: str) -> list[tuple[str, int]]:
         for x, f, k in out:
             if not f & _BY_NAME:
                 size[k] = size.get(k, 0) + len(x)
-        most = {k for k, n in size.items() if k and 2 * n > sum(size.values())}
+        most = set() if any(f & _HELD for _, f, _ in out) else {k for k, n in size.items() if k and 2 * n > sum(size.values())}
         out = [(x, f & ~IS_BOILER if f & _HELD or (k in most and not f & _BY_NAME) else f, k) for x, f, k in out]
     return [(x, f & (IN_ARTICLE | IS_BOILER)) for x, f, _ in out]
 
