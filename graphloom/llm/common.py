@@ -85,12 +85,29 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: What modules keep in a worker between tasks, as functions that let go of it.
+HELD: dict[str, Callable[[], None]] = {}
+
+
+def let_go(module: str) -> None:
+    """Free what other modules keep in this worker: a worker is used again by tasks of later stages, and holds the memory of one of them."""
+    for name, free in HELD.items():
+        if name != module:
+            free()
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with batches bounded in rows and, where Spark has the setting, in bytes."""
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(fn, schema)
+    module = fn.__module__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(module)
+        yield from fn(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def look_up(rows: DataFrame, by: str, values: DataFrame, on: list[str], how: str = "inner") -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialise, no_clash, table, texts, tokenizer_text
+from .common import HELD, arrow_map, materialise, no_clash, table, texts, tokenizer_text
 
 CAPACITY, END_ID, MEMO_WORDS = 4096, 1, 900_000
 MARKS = ".,!?%*#$&;:"
@@ -96,6 +96,9 @@ def _ids(spec: str) -> WordIds:
     return WordIds(spec)
 
 
+HELD[__name__] = _ids.cache_clear  # hundreds of thousands of words
+
+
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """A row for each piece: key, piece, start, length, ids_crc32, with `ids` if asked for, and its task and rank there among equal lengths."""
     no_clash(key, "piece", "start", "length", "ids_crc32", "task", "place", "ids", "rank", "before", "sequence_id", "offset")
