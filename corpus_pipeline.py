@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import free_name, materialise, table
+from graphloom.llm.common import files_for, free_name, materialise, table
 from graphloom.llm.decontaminate import drop_contaminated
 from graphloom.llm.line_dedup import drop_lines
 from graphloom.llm.near_dup import drop_near_duplicates
@@ -27,23 +27,23 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that several documents share, but in the largest doc_id (in all rows of that id); n_chars is counted anew. A null text stays null."""
-    left = drop_lines(docs)
+    left = drop_lines(docs).coalesce(files_for(docs))
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: of the least doc_id, null last. Empty and null texts are one class; repeated rows leave one."""
-    return drop_near_duplicates(docs)
+    return drop_near_duplicates(docs).coalesce(files_for(docs))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of any benchmark item; null and empty texts have no words and stay, repeated rows stay or go together."""
-    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark")).coalesce(files_for(docs))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of what is left, packed: an empty or null text is its end token, repeated rows are packed one by one."""
-    return packed(docs)
+    return packed(docs).coalesce(files_for(docs))
 
 
 STAGES = [

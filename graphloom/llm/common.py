@@ -18,6 +18,8 @@ BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Into how many shares the rows of a hot key are cut.
 SALTS = 1024
+#: Bytes of input for which a table gets a file.
+FILE_BYTES = 16 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -32,21 +34,36 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-def write_table(df: DataFrame, name: str) -> str:
-    """Write a table under the shared folder; its path. Later steps restart from it when an executor is lost, so the shuffle files of the job that wrote it go at once."""
+def files_for(source: DataFrame) -> int:
+    """How many files a table made from source is worth: one for each FILE_BYTES that its scans read, in whole rounds of the cores.
+
+    Rows of an RDD, whose size is not known, count as many, so that their tables keep their partitions."""
+    leaves = source._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    cores = max(1, source.sparkSession.sparkContext.defaultParallelism)
+    return min(max(1, -(-size // (FILE_BYTES * cores))) * cores, 1 << 20)
+
+
+def write_table(df: DataFrame, name: str, files: int | None = None) -> str:
+    """Write a table under the shared folder, in at most `files` files; its path.
+
+    Later steps restart from it when an executor is lost, so the shuffle files of the job that wrote it go at once. A file costs
+    more than a few rows do: on a local file system Hadoop starts chmod several times for each one, and each start shows the JVM's
+    memory twice for a moment. `files` must not be given where rows hold the number of their task, for a task then works off
+    several partitions and would give a number twice."""
     spark = df.sparkSession
     path, old = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        (df.coalesce(files) if files else df).write.parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if old is None else spark.conf.set(CLEANUP, old)
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Write a table once and read it again. It is removed when the Python process ends."""
-    path = write_table(df, name)
+    path = write_table(df, name, files)
     atexit.register(_remove, df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -54,10 +71,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 class Scratch:
     """Written tables of one run of an operator, each under a name of its own: writing a name again removes its older table.
 
-    All that is left goes when the block ends, so nothing returned from it may read them."""
+    All that is left goes when the block ends, so nothing returned from it may read them. A table has at most `files` files,
+    except one that is put as `numbered`, whose rows hold the number of their task."""
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.paths = spark, {}
+    def __init__(self, spark: SparkSession, files: int | None = None) -> None:
+        self.spark, self.paths, self.files = spark, {}, files
 
     def __enter__(self) -> Scratch:
         return self
@@ -65,8 +83,8 @@ class Scratch:
     def __exit__(self, *_) -> None:
         self.drop(*list(self.paths))
 
-    def put(self, name: str, df: DataFrame) -> DataFrame:
-        path, old = write_table(df, name), self.paths.get(name)
+    def put(self, name: str, df: DataFrame, numbered: bool = False) -> DataFrame:
+        path, old = write_table(df, name, None if numbered else self.files), self.paths.get(name)
         self.paths[name] = path
         if old:
             _remove(self.spark, old)

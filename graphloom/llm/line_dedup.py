@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, arrow_map, look_up, materialise, table
+from .common import Scratch, arrow_map, files_for, look_up, materialise, table
 
 BLANKS = " \t\n\x0b\x0c\r"
 LEAST_ID = -(1 << 63)
@@ -131,11 +131,11 @@ def apply_bitmap(text: str, bitmap: bytes | None) -> str:
 def keep_bitmaps(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc, body, keep_bitmap, n_dropped) of the documents that lose lines; body is the text's xxhash64."""
     order = [F.col("h1"), F.col("h2"), F.col("doc").desc(), F.col("body")]
-    with Scratch(docs.sparkSession) as scratch:
+    with Scratch(docs.sparkSession, files_for(docs)) as scratch:
         hashes = scratch.put("line-hashes", line_hashes(docs, key, text, min_chars))  # the range partitioner reads it twice
         runs = scratch.put("line-runs", stream_runs(hashes.repartitionByRange(*order).sortWithinPartitions(*order), min_docs))
         scratch.drop("line-hashes")
-        return materialise(_bitmaps(runs, min_docs), "bitmaps")
+        return materialise(_bitmaps(runs, min_docs), "bitmaps", scratch.files)
 
 
 def _bitmaps(runs: DataFrame, min_docs: int) -> DataFrame:

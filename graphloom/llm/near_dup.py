@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SALTS, Scratch, arrow_map, look_up, materialise, table
+from .common import SALTS, Scratch, arrow_map, files_for, look_up, materialise, table
 from .decontaminate import words_of
 
 WORDS, SIMILARITY = 5, 0.8
@@ -302,13 +302,13 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """A row for each row of docs: rid, doc (its key), body (xxhash64 of the text), node (a number shared by equal texts), label (the number of its class) and class_id (the least key of the class, or its substitute)."""
     spark = docs.sparkSession
-    with Scratch(spark) as scratch:
-        return materialise(_classes(docs, key, text, similarity, scratch), "near-classes")
+    with Scratch(spark, files_for(docs)) as scratch:
+        return materialise(_classes(docs, key, text, similarity, scratch), "near-classes", scratch.files)
 
 
 def _classes(docs: DataFrame, key: str, text: str, similarity: float, scratch: Scratch) -> DataFrame:
     spark = docs.sparkSession
-    sets = scratch.put("shingles", shingle_sets(docs, key, text))
+    sets = scratch.put("shingles", shingle_sets(docs, key, text), numbered=True)
     rows = scratch.put("rows", sets.select("rid", "doc", "body", "c1", "c2"))
     sampler = spark.sparkContext.broadcast(Sampler(idf_levels(sets)))  # 1 MB at every input size
     names = [f"k{i}" for i in range(BANDS)]

@@ -6,6 +6,7 @@ import html
 import io
 import itertools
 import os
+import pathlib
 import random
 import re
 import struct
@@ -683,3 +684,45 @@ def test_pipeline_stages_on_odd_rows(spark, small, empty):
     for docs in (odd, empty):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, docs, small).count() <= docs.count()
+
+
+# files of written tables
+def test_small_tables_have_a_file_for_each_core_at_most(spark, tmp_path, monkeypatch):
+    from graphloom.llm import common
+
+    rng, written, real = random.Random(3), {}, common.write_table
+    parts = lambda path: len(list(pathlib.Path(path.removeprefix("file://")).glob("part-*")))
+
+    def counted(df, name, *more):
+        path = real(df, name, *more)
+        written.setdefault(name, []).append(parts(path))
+        return path
+
+    base = [prose(rng, 60) for _ in range(12)]
+    bodies = base + [t + " zeta" for t in base for _ in range(3)] + ["a line that several documents share\n" + prose(rng, 20) for _ in range(30)]
+    given = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string")
+    given.repartition(9).write.parquet(str(tmp_path / "docs"))
+    docs, cores = spark.read.parquet(str(tmp_path / "docs")), spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(common, "write_table", counted)
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for stage in (corpus_pipeline.without_shared_lines, corpus_pipeline.without_near_duplicates):
+            whole = rows_of(stage(spark, given, ""), "doc_id", "text")  # rows of an RDD: as many files as partitions
+            assert max(max(n) for n in written.values()) > cores
+            written.clear()
+            left = stage(spark, docs, "")
+            assert rows_of(left, "doc_id", "text") == whole and left.rdd.getNumPartitions() <= cores
+            assert written and all(max(n) <= cores for name, n in written.items() if name != "shingles"), written
+            written.clear()
+        # a task's number stands for one partition
+        assert near_dup.near_duplicates(docs).select("rid").distinct().count() == len(bodies)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert common.files_for(docs) == cores
+    monkeypatch.setattr(common, "FILE_BYTES", 100)
+    assert common.files_for(docs) > 2 * cores
+    assert common.files_for(given) > 1000
