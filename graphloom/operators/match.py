@@ -6,9 +6,9 @@ type and each step one edge table; branches that no edge table fits are pruned b
 sequence of equi-joins on typed key columns, left to Catalyst, and the branches' results are united. A relationship whose
 ends are both known already is joined on both keys at once. Each row is one match; an edge may serve in several places.
 
-A plain chain is joined from left to right. Any other pattern starts at the place with the fewest rows that fit (counted), and takes up the
-relationship with the fewest edges next, those that close a ring first. Chains that share no variable would be a cross join
-and are refused.
+A plain chain is joined from left to right. Any other pattern is joined in the order that makes the fewest rows in between, as estimated from counted
+rows and edges: a place with few rows and many edges, such as a nation between its customers and its suppliers, comes late. Chains that share
+no variable would be a cross join and are refused.
 
 A relationship without an upper bound stands for each pair of ends that some walk of its length joins, once and with the fewest hops. Its
 walks start at the rows that the joins before it have left: each round takes the newest ends over the edge tables and
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 from functools import reduce
+from math import prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,14 +85,20 @@ def _far_types(graph: PropertyGraph, rel: RelPattern, at: str) -> list[str]:
     return sorted(found)
 
 
+def _edges(graph: PropertyGraph, key: tuple[str, str, str], rel: RelPattern) -> DataFrame:
+    """The rows of an edge table that have the properties of a relationship."""
+    table = graph.edges[key]
+    for p, token in rel.props.items():
+        table = table.where(F.col(f"`{p}`") == _literal(token))
+    return table
+
+
 def _edge_step(graph: PropertyGraph, hop: Hop, rel: RelPattern, here: list[str], there: list[str], shown: bool = False) -> DataFrame:
     """An edge table with the near end's key as `here`, the far end's as `there`, and its properties if shown."""
     key, forwards, _ = hop
     src, dst = endpoint_columns(graph.model, graph.model.edge(key[0]), key[1], key[2])
     near, far = (src, dst) if forwards else (dst, src)
-    table = graph.edges[key]
-    for p, token in rel.props.items():
-        table = table.where(F.col(f"`{p}`") == _literal(token))
+    table = _edges(graph, key, rel)
     own = [F.col(f"`{c}`").alias(f"{rel.variable}_{c}") for c in table.columns if c not in (*src, *dst)] + ([F.lit(key[0]).alias(f"{rel.variable}_type")] if len(rel.types) != 1 else []) if shown else []
     if here == there:  # an edge from a row to itself
         table = table.where(reduce(lambda a, b: a & b, [F.col(f"`{n}`") == F.col(f"`{f}`") for n, f in zip(near, far, strict=True)]))
@@ -168,36 +175,83 @@ def _places(pattern: str) -> _Places:
     return out
 
 
-def _counted(graph: PropertyGraph, places: _Places, allowed: list[list[str]]) -> tuple[list[int], list[int]]:
-    """How many rows fit each place, and how many edges each relationship has. One job; the numbers come to the driver."""
-    parts = []
-    for i, kinds in enumerate(allowed):
-        parts += [_filtered(graph.vertices[k], places.filters[i]).agg(F.count("*").alias("n")).select(F.lit(i).alias("place"), F.lit(0).alias("rel"), "n") for k in kinds]
-    for i, (rel, _, _) in enumerate(places.rels):
-        parts += [graph.edges[k].agg(F.count("*").alias("n")).select(F.lit(i).alias("place"), F.lit(1).alias("rel"), "n") for k in graph.edges if not rel.types or k[0] in rel.types]
-    sizes: dict[tuple[int, int], int] = {}
-    for r in reduce(DataFrame.unionByName, parts).collect():  # a row for each table
-        sizes[r.rel, r.place] = sizes.get((r.rel, r.place), 0) + r.n
-    return [sizes.get((0, i), 0) for i in range(len(allowed))], [sizes.get((1, i), 0) for i in range(len(places.rels))]
-
-
-def _order(places: _Places, rows: list[int], edges: list[int]) -> tuple[int, list[tuple[int, bool]]]:
-    """The first place, and the relationships in the order of their joins with whether each is walked backwards."""
-    # a place that an unbounded walk starts at costs a walk for each row: few rows matter more than few edges
-    first = min(range(len(places.nodes)), key=lambda i: (rows[i], i))
-    known, left, out = {first}, list(range(len(places.rels))), []
-    while left:
-        able = [i for i in left if known & set(places.rels[i][1:])]
-        if not able:
-            raise ValueError("the chains of a pattern must share variables: a cross join is no match")
-        i = min(able, key=lambda i: (not set(places.rels[i][1:]) <= known, places.rels[i][0].most is None, edges[i], i))
-        _, a, b = places.rels[i]
-        out.append((i, a not in known))
-        known |= {a, b}
-        left.remove(i)
-    if len(known) < len(places.nodes):
-        raise ValueError("the chains of a pattern must share variables: a cross join is no match")
-    return first, out
+def _fitting(graph: PropertyGraph, places: _Places, allowed: list[list[str]]) -> list[list[str]]:
+    """Of each place's types those that each of its relationships can join to one of the other end's."""
+    allowed = list(allowed)
+    while True:
+        was = [len(kinds) for kinds in allowed]
+        for rel, a, b in places.rels:
+            reach = {t: set(_far_types(graph, rel, t) if rel.most is None else (p[-1][2] if p else t for p in _paths(graph, rel, t))) for t in allowed[a]}
+            if a == b:
+                allowed[a] = [t for t in allowed[a] if t in reach[t]]
+            else:
+                allowed[a] = [t for t in allowed[a] if reach[t] & set(allowed[b])]
+                allowed[b] = [t for t in allowed[b] if any(t in reach[x] for x in allowed[a])]
+        if was == [len(kinds) for kinds in allowed]:
+            return allowed
+
+
+def _counted(graph: PropertyGraph, places: _Places, allowed: list[list[str]]) -> tuple[list[int], list[int], list[float]]:
+    """How many rows each place has before and after its filters, and about how many pairs of rows each relationship joins before any filter. One job; the numbers come to the driver."""
+    ways = [[path for t in allowed[a] for path in _paths(graph, rel, t) if (path[-1][2] if path else t) in allowed[b]] if rel.most is not None else [] for rel, a, b in places.rels]
+    kinds = sorted({k for own in allowed for k in own} | {hop[2] for paths in ways for path in paths for hop in path[:-1]})
+    parts = [graph.vertices[k].agg(F.count("*").alias("n")).select(F.lit("all").alias("what"), F.lit(j).alias("at"), F.lit(0).alias("of"), "n") for j, k in enumerate(kinds) if k in graph.vertices]
+    for i, own in enumerate(allowed):
+        parts += [_filtered(graph.vertices[k], places.filters[i]).agg(F.count("*").alias("n")).select(F.lit("fit"), F.lit(i), F.lit(0), "n") for k in own if places.filters[i]]
+    tables = list(graph.edges)
+    for i, paths in enumerate(ways):
+        for key in {hop[0]: None for path in paths for hop in path}:
+            parts.append(_edges(graph, key, places.rels[i][0]).agg(F.count("*").alias("n")).select(F.lit("edges"), F.lit(i), F.lit(tables.index(key)), "n"))
+    found: dict[tuple[str, int, int], int] = {}
+    for r in reduce(DataFrame.union, parts).collect():  # a row for each table and place
+        found[r.what, r["at"], r.of] = found.get((r.what, r["at"], r.of), 0) + r.n
+    each = {k: found.get(("all", j, 0), 0) for j, k in enumerate(kinds)}
+    whole = [sum(each[k] for k in own) for own in allowed]
+    rows = [found.get(("fit", i, 0), 0) if places.filters[i] else whole[i] for i in range(len(allowed))]
+    pairs: list[float] = []
+    for i, (rel, a, b) in enumerate(places.rels):
+        n = float(whole[a] * whole[b]) if rel.most is None else 0.0  # a walk of any length may reach all rows
+        for path in ways[i]:
+            n += prod(found["edges", i, tables.index(hop[0])] for hop in path) / prod(max(1, each[hop[2]]) for hop in path[:-1]) if path else sum(each[k] for k in allowed[a])
+        pairs.append(n)
+    return whole, rows, pairs
+
+
+#: How many sets of relationships of one size are followed up.
+SETS = 512
+
+
+def _order(places: _Places, whole: list[int], rows: list[int], pairs: list[float]) -> tuple[int, list[tuple[int, bool]]]:
+    """The first place, and the relationships in the order of their joins with whether each is walked backwards.
+
+    It is the order whose joins make the fewest rows in all, with the filters and the relationships taken as independent: set by set of relationships, from those of one to all of them."""
+    fit = [n / max(1, whole[a] * whole[b]) for n, (_, a, b) in zip(pairs, places.rels, strict=True)]
+    # relationships taken -> rows made so far, the first place, their order, places known, rows that are left
+    best = {(frozenset(), i): (float(rows[i]), i, (), frozenset([i]), float(rows[i])) for i in range(len(places.nodes))}
+    for _ in places.rels:
+        grown: dict = {}
+        for (taken, _), (cost, first, order, known, size) in sorted(best.items(), key=lambda x: x[1][:3])[:SETS]:
+            for r, (rel, a, b) in enumerate(places.rels):
+                if r in taken or not known & {a, b}:
+                    continue
+                here, there = (a, b) if a in known else (b, a)
+                # ends are joined before the far place's filter; a walk takes each start to all that it reaches, whatever is known of the far end
+                made = min(size, whole[here]) * whole[there] if rel.most is None else size if there in known else size * fit[r] * whole[there]
+                left = min(1e99, size * fit[r] * (1 if there in known else rows[there]))
+                state = (cost + min(1e99, made) + left, first, (*order, (r, a not in known)), known | {there}, left)
+                at = (taken | {r}, None)
+                if at not in grown or state[:3] < grown[at][:3]:
+                    grown[at] = state
+        best = grown
+    _, first, order, _, _ = min(best.values(), key=lambda x: x[:3])
+    return first, list(order)
+
+
+def _connected(places: _Places) -> bool:
+    known = {0}
+    for _ in places.rels:
+        known |= {x for _, a, b in places.rels if known & {a, b} for x in (a, b)}
+    return len(known) == len(places.nodes)
 
 
 def _filtered(df: DataFrame, filters: list[tuple[str, object]]) -> DataFrame:
@@ -215,11 +269,15 @@ def match(graph: PropertyGraph, pattern: str) -> DataFrame:
     The variable of an unbounded relationship has <variable>_hops, the fewest hops between the two ends. Rows then lie in tables under the checkpoint folder
     until the Python process ends."""
     places = _places(pattern)
+    if not _connected(places):
+        raise ValueError("the chains of a pattern must share variables: a cross join is no match")
     allowed = [_types(graph, n.labels) for n in places.nodes]
     if places.plain:
         first, order = 0, [(i, False) for i in range(len(places.rels))]
+    elif all(fitting := _fitting(graph, places, allowed)):
+        first, order = _order(places, *_counted(graph, places, fitting))
     else:
-        first, order = _order(places, *_counted(graph, places, allowed))
+        raise ValueError(f"no bound tables fit the pattern {pattern}")
     rels = []
     for i, backwards in order:
         rel, a, b = places.rels[i]

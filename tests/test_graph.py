@@ -448,6 +448,39 @@ def test_rings_and_several_chains(port):
         match(port, "(a:Ship)-[:TOWS]->(b), (b:Berth)-[:CALLS_AT]-(c)")
 
 
+def made_by_joins(df):
+    """How many rows each join of a collected DataFrame made."""
+    out, left = [], [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        if "Join" in node.nodeName():
+            out.append(node.metrics().get("numOutputRows").get().value())
+        own = node.executedPlan() if node.nodeName() == "AdaptiveSparkPlan" else node.plan() if node.nodeName().endswith("QueryStage") else None
+        left += [own] if own is not None else [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
+def test_a_ring_over_a_place_of_many_edges_is_no_product(spark, model):
+    keys = lambda n, name: spark.range(n).selectExpr(f"id AS {name}")
+    vertices = {"Nation": keys(2, "n_nationkey"), "Customer": keys(100, "c_custkey"), "Supplier": keys(100, "s_suppkey"), "Order": keys(300, "o_orderkey"), "LineItem": spark.range(300).selectExpr("id AS l_orderkey", "1 AS l_linenumber")}
+    g = PropertyGraph(model, vertices)
+    g = g.bind_edge("BASED_IN", "Customer", "Nation", spark.range(100).selectExpr("id", "id % 2 AS n"), ["id"], ["n"]).bind_edge("BASED_IN", "Supplier", "Nation", spark.range(100).selectExpr("id", "id DIV 50 AS n"), ["id"], ["n"])
+    g = g.bind_edge("PLACED_BY", "Order", "Customer", spark.range(300).selectExpr("id", "id % 100 AS c"), ["id"], ["c"]).bind_edge("HAS_LINE", "Order", "LineItem", spark.range(300).selectExpr("id", "1 AS n"), ["id"], ["id", "n"])
+    g = g.bind_edge("SUPPLIED_BY", "LineItem", "Supplier", spark.range(300).selectExpr("id", "1 AS n", "id * 7 % 100 AS s"), ["id", "n"], ["s"])
+    found = match(g, "(o:Order)-[:PLACED_BY]->(c:Customer)-[:BASED_IN]->(n:Nation), (o)-[:HAS_LINE]->(l:LineItem)-[:SUPPLIED_BY]->(s:Supplier)-[:BASED_IN]->(n)")
+    assert sorted(r.o_o_orderkey for r in found.collect()) == [o for o in range(300) if o % 2 == o * 7 % 100 // 50]
+    assert len(made := made_by_joins(found)) == 9 and max(made) <= 300, "customers of a nation never meet its suppliers without an order between them"
+
+
+def test_a_filter_at_one_end_of_several_chains_comes_first(spark, port):
+    ships = spark.range(200).selectExpr("id AS imo", "CASE WHEN id = 7 THEN 'oslo' ELSE 'malta' END AS flag")
+    g = PropertyGraph(port.model, {"Ship": ships}, {("TOWS", "Ship", "Ship"): spark.range(2000).selectExpr("id DIV 10 AS src_imo", "id * 13 % 200 AS dst_imo")})
+    found = match(g, "(a:Ship)-[:TOWS]->(b:Ship), (b)-[:TOWS]->(c:Ship {flag: 'oslo'})")
+    ways = [(i // 10, i * 13 % 200) for i in range(2000)]
+    assert sorted((r.a_imo, r.b_imo) for r in found.collect()) == sorted((a, b) for a, b in ways for x, y in ways if b == x and y == 7)
+    assert max(made_by_joins(found)) <= 200
+
+
 def test_edges_to_their_own_row(spark, port):
     loops = PropertyGraph(port.model, port.vertices, {("TOWS", "Ship", "Ship"): spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, 3)], "src_imo long, dst_imo long")})
     assert [r.a_imo for r in match(loops, "(a:Ship)-[:TOWS]->(a)").collect()] == [1, 1], "each edge is a match"
