@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators.catalog import Catalog, merge, properties, sketch
+from graphloom.operators import discover
 from graphloom.operators.discover import foreign_keys, inclusions, keys_of, least_keys
 
 VERTICES = [
@@ -108,3 +109,45 @@ def test_least_keys_against_brute_force(spark, seed):
     df = spark.createDataFrame(rows, ", ".join(f"{c} int" for c in names))
     assert least_keys(df) == [tuple(names[i] for i in s) for s in want]
     assert least_keys(df.limit(0)) == [] and keys_of({"t": df}).count() == len(want)
+
+
+def keys_by_force(rows, names, most=3):
+    found: list[tuple] = []
+    for size in range(1, most + 1):
+        found += [s for s in itertools.combinations(range(len(names)), size) if not any(set(k) <= set(s) for k in found) and len({tuple(r[i] for i in s) for r in rows}) == len(rows)]
+    return [tuple(names[i] for i in s) for s in found]
+
+
+@pytest.mark.parametrize("first", [(), (2_000,), (600, 3_000), (100,)])
+@pytest.mark.parametrize("same", [False, True])
+def test_least_keys_of_a_table_that_the_driver_sees_little_of(spark, monkeypatch, first, same):
+    rng, names = random.Random(5), "abcde"
+    rows = [(i // 3, rng.randrange(40), rng.randrange(30), rng.randrange(300), i) for i in range(900)]
+    rows = [(*r[:4], r[4] if i else 7) for i, r in enumerate(rows)]  # one repeat among 900
+    monkeypatch.setattr(discover, "SEEN", 20)
+    monkeypatch.setattr(discover, "FIRST", first)
+    monkeypatch.setattr(discover, "HASHES", 2_500)
+    if same:  # hashes that differ in a few bits alone: values that differ share them
+        whole = discover._hash
+        monkeypatch.setattr(discover, "_hash", lambda s, kinds, i: whole(s, kinds, i).bitwiseAND(0xFFF))
+    assert least_keys(spark.createDataFrame(rows, ", ".join(f"{c} int" for c in names)).repartition(3)) == keys_by_force(rows, names)
+
+
+def test_keys_tell_microseconds_and_signs_of_zero(spark, monkeypatch):
+    at = "timestamp_micros(1000 * (id DIV 2) + id % 2) AS at"
+    df = spark.range(400).selectExpr(at, "CASE WHEN id = 0 THEN -0.0D WHEN id = 1 THEN 0.0D ELSE double(id) END AS zero", "'a' || id AS text")
+    assert least_keys(df) == [("at",), ("text",)], "0.0 and -0.0 are one value"
+    monkeypatch.setattr(discover, "SEEN", 3)
+    assert least_keys(df) == [("at",), ("text",)]
+
+
+def test_the_search_for_keys_counts_few_sets_over_all_rows(spark, monkeypatch):
+    """Many sets are nearly unique; before, each of them was counted over all rows by value."""
+    df = spark.range(4_000).selectExpr("id DIV 2 AS a", *(f"CAST(pmod(hash(id, {i}), 2000) AS INT) AS c{i}" for i in range(5)))
+    seen = []
+    monkeypatch.setattr(discover, "SEEN", 1_000)
+    whole = discover._repeated
+    monkeypatch.setattr(discover, "_repeated", lambda df, sets, kinds, rows, share, work: seen.extend([s for s in sets if share == 1]) or whole(df, sets, kinds, rows, share, work))
+    rows = [tuple(r) for r in df.collect()]
+    assert least_keys(df) == keys_by_force(rows, df.columns)
+    assert len([s for s in seen if len(s) == 1]) == 0, "some rows show that no column is unique"
