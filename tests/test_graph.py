@@ -580,6 +580,27 @@ def test_streams_count_like_batches_in_any_order_and_after_a_restart(spark, arri
     assert counts() == want, "nothing new, nothing changed"
 
 
+def test_a_stream_of_many_keys_has_few_states(spark, model, tmp_path, monkeypatch):
+    from graphloom.streaming import stateful
+
+    monkeypatch.setattr(stateful, "BUCKETS", 16, raising=False)
+    plan, folder, at = plan_audit(model).only("Customer key (c_custkey)", "PLACED_BY to Customer"), str(tmp_path / "run"), tmp_path / "in"
+    g = build(spark, model, {("PLACED_BY", "Order", "Customer"): [(1, 1)]}, Customer=[{}], Order=[{}])
+    folders = {t: str(at / "-".join(t)) for t in (("Customer",), ("Order",), ("PLACED_BY", "Order", "Customer"))}
+    customer, order = g.vertices["Customer"], g.vertices["Order"]
+    for low in (0, 1500):  # each customer of the second batch is there already, or new
+        customers = spark.range(low // 2, low // 2 + 1500).select(*(F.col("id").alias(c) if c == "c_custkey" else F.lit(None).cast(customer.schema[c].dataType).alias(c) for c in customer.columns))
+        customers.write.mode("append").parquet(folders["Customer",])
+        spark.range(low, low + 1500).selectExpr("id AS src_o_orderkey", "id * 2 AS dst_c_custkey").write.mode("append").parquet(folders["PLACED_BY", "Order", "Customer"])
+        order.write.mode("append").parquet(folders["Order",])
+        run = stateful.audit_keys(stateful.read_tables(spark, g, folders), plan, folder)
+        run.awaitTermination()
+        keys = low // 2 + 1500
+        want = {"Customer key (c_custkey)": max(0, 1500 - 750) if low else 0, "PLACED_BY to Customer": low + 1500 - len([x for x in range(low + 1500) if x * 2 < keys])}
+        assert {r.label: r.violations for r in stateful.violations(g, plan, folder).collect()} == want
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress) <= 16
+
+
 def test_a_batch_that_breaks_is_run_again(spark, arriving, tmp_path, monkeypatch):
     import shutil
 
